@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from pagequarry.functions.binding import let
 from pagequarry.functions.urls import hostname_of, scheme_of
@@ -103,7 +104,7 @@ def ipv4_number(ip: Column) -> Column:
     return let(F.split(ip, r"\."), number)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _ipv6_is_public(ips: pd.Series) -> pd.Series:
     """Public IPv6 addresses; only strings with a colon get here, as Arrow batches."""
     def check(text: str | None) -> bool:

@@ -39,7 +39,8 @@ def robots_rules(bodies: DataFrame, agent: str = AGENT) -> DataFrame:
     )
     nth_delay = F.count_if(F.col("key") == "crawl-delay").over(before)
     numbered = kept.withColumn("nth_delay", nth_delay)
-    delay = F.greatest(F.lit(0.0), F.col("value").try_cast("double"))
+    seconds = F.col("value").try_cast("double")
+    delay = F.when(seconds.isNotNull(), F.greatest(F.lit(0.0), seconds))
     value = (
         F.when(F.col("key") == "crawl-delay", delay.cast("string"))
         .when((F.col("key") == "sitemap") & ~F.col("value").rlike("^https?://"), U.join_url(F.col("base_url"), F.col("value")))

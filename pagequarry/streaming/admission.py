@@ -10,7 +10,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
@@ -28,6 +28,10 @@ def _admit(admitted: deque, micros: int, limit: int, window_micros: int) -> bool
     return True
 
 
+def _micros(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
 def busy_spells(events: DataFrame, key: str, ts: str, window_seconds: int) -> DataFrame:
     """Adds ``spell``: a key's events between pauses longer than the window.
 
@@ -35,11 +39,11 @@ def busy_spells(events: DataFrame, key: str, ts: str, window_seconds: int) -> Da
     and a key's history need not stay in one task. Pauses are found on one row per
     key and window-long slot, not on the events.
     """
-    slot = F.floor(F.unix_micros(ts) / F.lit(window_seconds * 1_000_000)).cast("bigint")
+    slot = F.floor(_micros(ts) / F.lit(window_seconds * 1_000_000)).cast("bigint")
     marked = events.withColumn("slot", slot)
-    slots = marked.groupBy(key, "slot").agg(F.min(ts).alias("low"), F.max(ts).alias("high"))
+    slots = marked.groupBy(key, "slot").agg(F.min(_micros(ts)).alias("low"), F.max(_micros(ts)).alias("high"))
     order = Window.partitionBy(key).orderBy("slot")
-    pause = F.unix_micros("low") - F.unix_micros(F.lag("high").over(order)) > window_seconds * 1_000_000
+    pause = F.col("low") - F.lag("high").over(order) > window_seconds * 1_000_000
     starts = F.when(F.coalesce(pause, F.lit(True)), F.col("slot"))
     spells = slots.withColumn("start", starts).withColumn(
         "spell", F.last("start", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -58,7 +62,7 @@ def admit(
     """
     window_micros = window_seconds * 1_000_000
     rows = busy_spells(events, key, ts, window_seconds).select(
-        F.col(key).cast("string").alias("key"), "spell", F.col(event_id).alias("event_id"), F.unix_micros(ts).alias("micros")
+        F.col(key).cast("string").alias("key"), "spell", F.col(event_id).alias("event_id"), _micros(ts).alias("micros")
     )
     ordered = rows.repartition("key", "spell").sortWithinPartitions("key", "spell", "micros", "event_id")
 
@@ -113,7 +117,7 @@ ADMISSION_SCHEMA = StructType([
 
 def admit_stream(events: DataFrame, limit: int = LIMIT, window_seconds: int = WINDOW_SECONDS) -> DataFrame:
     """Streaming admission over (key, event_id, ts); needs the RocksDB state store."""
-    rows = events.select(F.col("key").cast("string").alias("key"), "event_id", F.unix_micros("ts").alias("micros"))
+    rows = events.select(F.col("key").cast("string").alias("key"), "event_id", _micros("ts").alias("micros"))
     return rows.groupBy("key").transformWithStateInPandas(
         statefulProcessor=AdmissionProcessor(limit, window_seconds), outputStructType=ADMISSION_SCHEMA,
         outputMode="Append", timeMode="ProcessingTime",
