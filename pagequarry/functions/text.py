@@ -65,21 +65,31 @@ def sha256_hex(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of white-space separated words, 0 for blank text."""
-    return let(
-        normalize_whitespace(text),
-        lambda tidy: F.when(tidy == "", F.lit(0)).otherwise(F.size(F.split(tidy, " "))).cast("bigint"),
-    )
+    return let(normalize_whitespace(text), words_of_normalized)
 
 
-_NUMERIC = r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+def words_of_normalized(tidy: Column) -> Column:
+    """Word count of text whose white space is already normalised."""
+    blanks = F.length(tidy) - F.length(F.replace(tidy, F.lit(" "), F.lit("")))
+    return F.when(tidy == "", F.lit(0)).otherwise(blanks + 1).cast("bigint")
 
 
-def _entity_table() -> Column:
+def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether any phrase occurs; plain byte search, several times faster than one alternation."""
+    out = F.contains(text, F.lit(phrases[0]))
+    for phrase in phrases[1:]:
+        out = out | F.contains(text, F.lit(phrase))
+    return out
+
+
+_REFERENCE = r"&(?:[a-zA-Z]{2,8}|#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7});"
+
+
+def _entity_map() -> Column:
     def quote(value: str) -> str:
         return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    rows = (f"struct({quote(f'&{name};')} AS ref, {quote(char)} AS ch)" for name, char in NAMED_ENTITIES.items())
-    return F.expr(f"array({', '.join(rows)})")
+    return F.expr("map(" + ", ".join(f"{quote(f'&{n};')}, {quote(c)}" for n, c in NAMED_ENTITIES.items()) + ")")
 
 
 def _code_point(ref: Column) -> Column:
@@ -95,14 +105,16 @@ def _code_point(ref: Column) -> Column:
 
 
 def _decode(text: Column) -> Column:
-    named = F.aggregate(_entity_table(), text, lambda acc, e: F.replace(acc, e["ref"], e["ch"]))
+    # Only references that occur are replaced; unknown names stay as they are.
+    found = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))), lambda r: r != "&amp;")
 
-    def numeric(value: Column) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(value, F.lit(_NUMERIC), F.lit(0)))
-        folded = F.aggregate(found, value, lambda acc, ref: F.replace(acc, ref, _code_point(ref)))
-        return F.when(F.contains(value, F.lit("&#")), folded).otherwise(value)
+    def char(ref: Column) -> Column:
+        return F.when(F.startswith(ref, F.lit("&#")), _code_point(ref)).otherwise(
+            F.coalesce(F.try_element_at(_entity_map(), ref), ref)
+        )
 
-    return F.replace(let(named, numeric), F.lit("&amp;"), F.lit("&"))
+    decoded = F.aggregate(found, text, lambda acc, ref: F.replace(acc, ref, char(ref)))
+    return F.replace(decoded, F.lit("&amp;"), F.lit("&"))
 
 
 def decode_entities(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions.binding import let
-from pagequarry.operators.rules.base import evidence, finding, text
+from pagequarry.operators.rules.base import emit, evidence, text, when
 from pagequarry.operators.rules.catalog import rule
 
 SHINGLE_WORDS = 6
@@ -36,11 +36,10 @@ def duplicate_titles(profiles: DataFrame) -> DataFrame:
 
 def duplicate_title_findings(profiles: DataFrame) -> DataFrame:
     url = F.col("url")
-    return duplicate_titles(profiles).select(
-        F.inline(F.array(finding(rule("SEO_DUPLICATE_TITLES"),
-                                 text("Duplicate page titles (", F.col("duplicates"), " page(s))"), url,
-                                 evidence("PAGE", url, F.coalesce("title", F.lit(""))))))
-    )
+    return emit(duplicate_titles(profiles), [
+        when(rule("SEO_DUPLICATE_TITLES"), True, text("Duplicate page titles (", F.col("duplicates"), " page(s))"), url,
+             evidence("PAGE", url, F.coalesce("title", F.lit("")))),
+    ])
 
 
 def repeated_openings(profiles: DataFrame) -> DataFrame:
@@ -58,10 +57,10 @@ def repeated_openings(profiles: DataFrame) -> DataFrame:
 
 def repeated_opening_findings(profiles: DataFrame) -> DataFrame:
     url, n = F.col("url"), F.col("copies")
-    return repeated_openings(profiles).select(
-        F.inline(F.array(finding(rule("CONTENT_REPEATED"), text("Repeated content across ", n, " page(s)"), url,
-                                 evidence("PAGE", url, text(n, " pages share identical text prefix")))))
-    )
+    return emit(repeated_openings(profiles), [
+        when(rule("CONTENT_REPEATED"), True, text("Repeated content across ", n, " page(s)"), url,
+             evidence("PAGE", url, text(n, " pages share identical text prefix"))),
+    ])
 
 
 def shingles_of(body: Column) -> Column:
@@ -189,37 +188,49 @@ def first_comparisons(profiles: DataFrame, comparisons: int = 60, most: int = 5)
         profiles.select("scan_id", "seq", "url", "text").where(F.coalesce("text", F.lit("")) != "")
         .withColumn("nth", F.row_number().over(order))
         .where(F.col("nth") <= comparisons + 1)
+        .withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("scan_id")))
+        .withColumn("i", F.col("nth") - 1)
     )
-    numbered = first.withColumn("i", F.col("nth") - 1)
-    many = numbered.groupBy("scan_id").agg(F.count(F.lit(1)).alias("many"))
-    exploded = (
-        numbered.select("scan_id", "seq", "i", "url", shingles_of(F.col("text")).alias("s"))
-        .select("scan_id", "seq", "i", "url", F.size("s").alias("size"), F.explode("s").alias("shingle"))
-        .groupBy("scan_id", "seq", "i", "url", "size", "shingle").agg(F.count(F.lit(1)).alias("n"))
+    counted = (
+        first.select("scan_id", "seq", "i", "many", shingles_of(F.col("text")).alias("s"))
+        .select("scan_id", "seq", "i", "many", F.size("s").alias("size"), F.explode("s").alias("shingle"))
+        .groupBy("scan_id", "seq", "i", "many", "size", *_shingle_keys()).agg(F.count(F.lit(1)).alias("n"))
     )
-    a = exploded.select("scan_id", "shingle", *[F.col(c).alias(f"{c}_a") for c in ("seq", "i", "url", "size", "n")])
-    b = exploded.select("scan_id", "shingle", *[F.col(c).alias(f"{c}_b") for c in ("seq", "i", "url", "size", "n")])
     i, j = F.col("i_a"), F.col("i_b")
-    place = i * F.col("many") - (i * (i + 1) / 2).cast("bigint") + (j - i)
+
+    def place_of(low: Column, high: Column) -> Column:
+        return low * F.col("many") - F.floor(low * (low + 1) / 2) + (high - low)
+
+    # Few pages can be the first of a pair: the home page alone on any larger site.
+    leads = counted.where(place_of(F.col("i"), F.col("i") + 1) <= comparisons)
+    keys = ["scan_id", "h1", "h2"]
+    a = leads.select(*keys, "many", *[F.col(c).alias(f"{c}_a") for c in ("seq", "i", "size", "n")])
+    b = counted.select(*keys, *[F.col(c).alias(f"{c}_b") for c in ("seq", "i", "size", "n")])
     pairs = (
-        a.join(b, ["scan_id", "shingle"]).where(i < j)
-        .join(many, "scan_id").withColumn("place", place).where(F.col("place") <= comparisons)
-        .groupBy("scan_id", "place", "seq_a", "seq_b", "url_a", "url_b", "size_a", "size_b")
+        a.join(b, keys).where((i < j) & (place_of(i, j) <= comparisons))
+        .groupBy("scan_id", place_of(i, j).alias("place"), "seq_a", "seq_b", "size_a", "size_b")
         .agg(F.sum(F.least("n_a", "n_b")).alias("shared"))
         .withColumn("score", F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")))
         .where(F.col("score") >= THRESHOLD)
     )
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("scan_id").orderBy("place")))
-    return ranked.where(F.col("rank") <= most).select("scan_id", "seq_a", "seq_b", "url_a", "url_b", "score")
+    found = ranked.where(F.col("rank") <= most).select("scan_id", "seq_a", "seq_b", "score")
+    named = profiles.select("scan_id", "seq", "url")
+    return found.join(named.select("scan_id", F.col("seq").alias("seq_a"), F.col("url").alias("url_a")), ["scan_id", "seq_a"]).join(
+        named.select("scan_id", F.col("seq").alias("seq_b"), F.col("url").alias("url_b")), ["scan_id", "seq_b"]
+    ).select("scan_id", "seq_a", "seq_b", "url_a", "url_b", "score")
+
+
+def _shingle_keys() -> list[Column]:
+    """Ninety-six bits for a shingle: far less to shuffle than its six words."""
+    return [F.xxhash64("shingle").alias("h1"), F.hash("shingle").alias("h2")]
 
 
 def similarity_findings(profiles: DataFrame, comparisons: int = 60, most: int = 5) -> DataFrame:
     a, score = F.col("url_a"), F.col("score")
     shown = text("similarity_score=", F.format_string("%.2f", F.round(score, 2)), " vs ", F.col("url_b"))
-    return first_comparisons(profiles, comparisons, most).select(
-        F.inline(F.array(finding(
-            rule("CONTENT_POTENTIAL_SIMILARITY"), F.lit("Potential content similarity between two pages"), a,
-            evidence("METRIC", a, shown, similarity_score=F.round(score, 3)), confidence=F.round(score, 2),
-            key1=F.col("seq_a"), key2=F.col("seq_b"),
-        )))
-    )
+    return emit(first_comparisons(profiles, comparisons, most), [
+        when(rule("CONTENT_POTENTIAL_SIMILARITY"), True, F.lit("Potential content similarity between two pages"), a,
+             evidence("METRIC", a, shown, similarity_score=F.round(score, 3)), confidence=F.round(score, 2),
+             key1=F.col("seq_a"), key2=F.col("seq_b")),
+    ])

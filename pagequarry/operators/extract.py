@@ -188,6 +188,24 @@ def inline_scripts(html: Column) -> Column:
     return F.filter(stripped, lambda b: b != "")
 
 
+def _found(text: Column, pattern: str, group: int, possible: Column) -> Column:
+    """All matches of a pattern, searched for only where a cheap test says there can be any."""
+    return F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
+
+
+def api_paths(text: Column) -> Column:
+    return F.array_distinct(_found(text, API_PATH, 0, F.contains(text, F.lit("/api"))))
+
+
+def emails(text: Column) -> Column:
+    return F.array_distinct(_found(text, EMAIL, 0, F.contains(text, F.lit("@"))))
+
+
+def secret_keywords(text: Column) -> Column:
+    """Keywords of key-like assignments, in order; the values themselves are not kept."""
+    return _found(text, SECRET, 1, let(F.lower(text), lambda t: TX.contains_any(t, ("api", "secret", "token", "password"))))
+
+
 def json_ld_blocks(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(JSON_LD), F.lit(1))
 
@@ -199,14 +217,16 @@ def json_is_valid(block: Column) -> Column:
 def page_profiles(pages: DataFrame) -> DataFrame:
     """One row per page with every fact the rules read. ``html`` stays behind here."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    staged = pages.withColumn("tokens", M.tokens(F.col("html"))).withColumn("scoped", dom.scoped_facts("tokens"))
-    tok = F.col("tokens")
+    # Columns used several times are projected first, so each is computed once.
+    staged = pages.select(
+        "*", M.tokens(F.col("html")).alias("tokens"), F.lower(html).alias("lower_html"),
+        F.lower(F.array_join(inline_scripts(html), "\n")).alias("lower_scripts"),
+    ).withColumn("scoped", dom.scoped_facts("tokens"))
+    tok, lower = F.col("tokens"), F.col("lower_html")
     has_html = F.coalesce(F.col("html") != "", F.lit(False))
-    lower = F.lower(html)
     noindex = F.filter(
-        F.regexp_extract_all(html, F.lit(ROBOTS_META), F.lit(1)), lambda c: F.contains(F.lower(c), F.lit("noindex"))
+        _found(html, ROBOTS_META, 1, F.contains(lower, F.lit("robots"))), lambda c: F.contains(F.lower(c), F.lit("noindex"))
     )
-    scripts = F.array_join(inline_scripts(html), "\n")
     first = staged.select(
         "scan_id", "seq", "url", "final_url", "status_code", "content_type", "depth", "load_time",
         "headers", "cookies", "html_size", has_html.alias("has_html"),
@@ -217,28 +237,29 @@ def page_profiles(pages: DataFrame) -> DataFrame:
         internal_links(tok, F.col("final_url")).alias("internal_links"),
         *[value.alias(name) for name, value in dom.flat_facts("tokens").items()],
         F.col("scoped"),
-        json_ld_blocks(html).alias("json_ld"),
+        F.when(F.contains(lower, F.lit("application/ld+json")), json_ld_blocks(html))
+        .otherwise(F.array().cast("array<string>")).alias("json_ld"),
         F.size(noindex).alias("noindex_metas"),
         F.contains(html, F.lit("og:title")).alias("has_og_title"),
         F.contains(lower, F.lit("privacy")).alias("mentions_privacy"),
         F.contains(lower, F.lit("cookie")).alias("mentions_cookie"),
-        lower.rlike(hint_pattern(CONSENT_HINTS)).alias("mentions_consent"),
-        F.array_distinct(F.regexp_extract_all(html, F.lit(API_PATH), F.lit(0))).alias("api_paths"),
-        F.array_distinct(F.regexp_extract_all(html, F.lit(EMAIL), F.lit(0))).alias("emails"),
-        F.regexp_extract_all(html, F.lit(SECRET), F.lit(1)).alias("secret_keywords"),
-        hint_mask(F.lower(scripts), TRACKER_HINTS).alias("tracker_mask"),
+        TX.contains_any(lower, CONSENT_HINTS).alias("mentions_consent"),
+        api_paths(html).alias("api_paths"),
+        emails(html).alias("emails"),
+        secret_keywords(html).alias("secret_keywords"),
+        hint_mask(F.col("lower_scripts"), TRACKER_HINTS).alias("tracker_mask"),
     )
     validity = F.transform(F.col("json_ld"), json_is_valid)
     return first.select(
         *[c for c in first.columns if c not in ("scoped", "json_ld")],
         "scoped.*",
-        F.when(F.col("has_html"), TX.word_count(F.col("text"))).alias("word_count"),
+        F.when(F.col("has_html"), TX.words_of_normalized(F.col("text"))).alias("word_count"),
         F.when(F.coalesce(F.col("text") != "", F.lit(False)), F.sha2(F.substring("text", 1, OPENING_CHARS), 256)).alias("opening_sha"),
         F.size("json_ld").alias("json_ld_count"),
         F.filter(
             F.transform(validity, lambda ok, i: F.when(~ok, i)), lambda i: i.isNotNull()
         ).alias("json_ld_bad"),
-        F.lower(F.coalesce(F.col("text"), F.lit(""))).rlike(hint_pattern(CTA_HINTS)).alias("has_cta_text"),
+        let(F.lower(F.coalesce("text", F.lit(""))), lambda t: TX.contains_any(t, CTA_HINTS)).alias("has_cta_text"),
     )
 
 
@@ -258,12 +279,6 @@ TRACKER_HINTS = (
 )
 
 
-def hint_pattern(hints: tuple[str, ...]) -> str:
-    import re
-
-    return "|".join(re.escape(h).replace(r"\ ", " ") for h in hints)
-
-
 def hint_mask(text: Column, hints: tuple[str, ...]) -> Column:
     """Bit i is set when ``hints[i]`` occurs; masks of pages combine with bit_or."""
     mask = F.lit(0).cast("bigint")

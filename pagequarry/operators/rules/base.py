@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,24 +19,23 @@ TITLE_CHARS = 500
 
 def text(*parts: Column | str) -> Column:
     """Concatenate literals and columns; numbers are printed as they are."""
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
 def evidence(kind: str, source: Column, value: Column, **metadata: Column) -> Column:
+    """One piece of evidence as a one-element array."""
     pairs = [x for name, v in metadata.items() for x in (F.lit(name), v.cast("string"))]
-    meta = F.create_map(*pairs) if pairs else F.create_map()
-    return F.array(
-        F.struct(
-            F.lit(kind).alias("evidence_type"), source.alias("source"), value.alias("value"),
-            meta.cast("map<string,string>").alias("metadata"),
-        )
-    )
+    meta = F.create_map(*pairs) if pairs else F.lit(None)
+    return F.array(F.struct(F.lit(kind), source, value, meta)).cast(EVIDENCE_TYPE)
 
 
 def no_evidence() -> Column:
     return F.array().cast(EVIDENCE_TYPE)
 
 
+_DRAFT = f"struct<rule_order:int,key1:bigint,key2:bigint,title:string,affected_url:string,evidence:{EVIDENCE_TYPE},confidence:double>"
+
+
 def finding(
     rule: Rule,
     title: Column,
@@ -46,45 +44,61 @@ def finding(
     confidence: Column | None = None,
     key1: Column | None = None,
     key2: Column | None = None,
-    scan_id: Column | None = None,
 ) -> Column:
-    """Struct of one finding. Its id is made of the scan, the rule and the row's own
-    key, so it needs no numbering and stays the same when a scan is analysed again."""
-    scan = F.col("scan_id") if scan_id is None else scan_id
-    k1 = (F.lit(0) if key1 is None else key1).cast("bigint")
-    k2 = (F.lit(0) if key2 is None else key2).cast("bigint")
-    conf = F.lit(rule.confidence) if confidence is None else confidence
+    """What a rule says about one row; ``complete`` adds what the catalog knows."""
+    nothing = F.lit(None)
     return F.struct(
-        F.concat_ws("|", scan, F.lit(rule.category), F.lit(rule.rule_id), k1, k2).alias("finding_id"),
-        scan.alias("scan_id"),
-        F.lit(rule.category).alias("category"),
-        F.lit(rule.rule_id).alias("rule_id"),
-        F.lit(rule.order).alias("rule_order"),
-        k1.alias("key1"),
-        k2.alias("key2"),
-        F.substring(title, 1, TITLE_CHARS).alias("title"),
-        F.lit(rule.description).alias("description"),
-        F.lit(rule.severity).alias("severity"),
-        conf.cast("double").alias("confidence"),
-        F.lit(rule.impact).alias("impact"),
-        F.lit(rule.effort).alias("effort"),
-        (F.lit(None) if affected_url is None else affected_url).cast("string").alias("affected_url"),
-        (no_evidence() if evidence is None else evidence).cast(EVIDENCE_TYPE).alias("evidence"),
+        F.lit(rule.order), F.lit(0) if key1 is None else key1, F.lit(0) if key2 is None else key2, title,
+        nothing if affected_url is None else affected_url, nothing if evidence is None else evidence,
+        nothing if confidence is None else confidence,
+    ).cast(_DRAFT)
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _catalog_map(rules: list[Rule]) -> Column:
+    """The rules' constants as one map literal, folded once and looked up per finding."""
+    rows = ", ".join(
+        f"{r.order}, named_struct('category', {_sql_text(r.category)}, 'rule_id', {_sql_text(r.rule_id)},"
+        f" 'description', {_sql_text(r.description)}, 'severity', '{r.severity}',"
+        f" 'confidence', CAST({'NULL' if r.confidence is None else r.confidence} AS DOUBLE), 'impact', '{r.impact}', 'effort', '{r.effort}')"
+        for r in rules
+    )
+    return F.expr(f"map({rows})")
+
+
+def complete(drafts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Drafts (scan_id plus the draft fields) to finding rows.
+
+    A finding's id is made of the scan, the rule and the row's own key, so it needs
+    no numbering and stays the same when a scan is analysed again.
+    """
+    known = drafts.withColumn("c", F.try_element_at(_catalog_map(rules), F.col("rule_order")))
+    return known.select(
+        F.concat_ws("|", "scan_id", "c.category", "c.rule_id", "key1", "key2").alias("finding_id"),
+        "scan_id", "c.category", "c.rule_id", "rule_order", "key1", "key2",
+        F.substring("title", 1, TITLE_CHARS).alias("title"), "c.description", "c.severity",
+        F.coalesce("confidence", "c.confidence").alias("confidence"), "c.impact", "c.effort", "affected_url",
+        F.coalesce("evidence", no_evidence()).alias("evidence"),
     )
 
 
 @dataclass(frozen=True)
 class ScanRule:
-    """A rule decided on one facts row per scan: condition and the finding it gives."""
+    """A rule decided on one row: its condition and the draft it gives."""
 
+    rule: Rule
     when: Column
-    finding: Column
+    draft: Column
 
 
-def emit(facts: DataFrame, rules: list[ScanRule]) -> DataFrame:
-    """All findings of all scans by one projection and one explode; no shuffle."""
-    rows = F.filter(F.array(*[F.when(r.when, r.finding) for r in rules]), lambda f: f.isNotNull())
-    return facts.select(F.inline(rows))
+def when(rule: Rule, condition: Column | bool, title: Column, *args: Column | None, **kwargs: Column) -> ScanRule:
+    return ScanRule(rule, F.lit(condition) if isinstance(condition, bool) else condition, finding(rule, title, *args, **kwargs))
 
 
-RuleSet = Callable[[], list[ScanRule]]
+def emit(rows: DataFrame, rules: list[ScanRule]) -> DataFrame:
+    """All findings the rules give for the rows, by projections and one explode; no shuffle."""
+    drafts = F.filter(F.array(*[F.when(r.when, r.draft) for r in rules]), lambda d: d.isNotNull())
+    return complete(rows.select("scan_id", F.inline(drafts)), [r.rule for r in rules])

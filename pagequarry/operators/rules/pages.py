@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.operators.extract import TRACKER_HINTS
-from pagequarry.operators.rules.base import ScanRule, emit, evidence, finding, text
+from pagequarry.operators.rules.base import ScanRule, emit, evidence, text, when
 from pagequarry.operators.rules.catalog import rule
 
 THIN_WORDS = 150
@@ -102,7 +102,7 @@ def _counted(
     shown = F.coalesce(first["value"] if value is None else value, F.lit(""))
     meta = {"count": n} if counted else {}
     parts = [n if p is None else p for p in title]
-    return ScanRule(n >= least, finding(rule(rule_id, category), text(*parts), url, evidence(kind, url, shown, **meta)))
+    return when(rule(rule_id, category), n >= least, text(*parts), url, evidence(kind, url, shown, **meta))
 
 
 def accessibility_rules() -> list[ScanRule]:
@@ -132,11 +132,8 @@ def performance_rules() -> list[ScanRule]:
     size = F.col("html_bytes")
     unsized = F.col("unsized_img")
     return [
-        ScanRule(
-            size > LARGE_HTML_BYTES,
-            finding(rule("PERF_LARGE_HTML"), F.lit("Large HTML payload"),
+        when(rule("PERF_LARGE_HTML"), size > LARGE_HTML_BYTES, F.lit("Large HTML payload"),
                     evidence=evidence("METRIC", F.lit("pages"), text("html_bytes=", size), bytes=size, pages=F.col("pages"))),
-        ),
         _counted("PERF_IMAGES_NO_DIMENSIONS", "unsized_img",
                  ["Images missing width/height attributes on ", None, " page(s)"], "HTML_ELEMENT",
                  text("pages=", unsized["n"]), least=2),
@@ -147,21 +144,12 @@ def privacy_rules() -> list[ScanRule]:
     base = F.col("base_url")
     third = F.filter(F.col("home.cookies"), lambda c: F.coalesce(c["domain"] != "", F.lit(False)))
     return [
-        ScanRule(
-            ~F.col("mentions_privacy"),
-            finding(rule("PRIV_PRIVACY_POLICY_MISSING"), F.lit("No privacy policy reference detected"), base,
+        when(rule("PRIV_PRIVACY_POLICY_MISSING"), ~F.col("mentions_privacy"), F.lit("No privacy policy reference detected"), base,
                     evidence("HTML_ELEMENT", base, F.lit("no privacy policy reference found"))),
-        ),
-        ScanRule(
-            F.col("mentions_cookie") & ~F.col("mentions_consent"),
-            finding(rule("PRIV_CONSENT_UI_NOT_OBSERVED"), F.lit("Cookies observed but no consent UI signals detected"), base,
+        when(rule("PRIV_CONSENT_UI_NOT_OBSERVED"), F.col("mentions_cookie") & ~F.col("mentions_consent"), F.lit("Cookies observed but no consent UI signals detected"), base,
                     evidence("COOKIE", base, F.lit("cookie signals present"))),
-        ),
-        ScanRule(
-            F.size(third) > 0,
-            finding(rule("PRIV_THIRD_PARTY_COOKIES"), text("Potential third-party cookies observed (", F.size(third), ")"), base,
+        when(rule("PRIV_THIRD_PARTY_COOKIES"), F.size(third) > 0, text("Potential third-party cookies observed (", F.size(third), ")"), base,
                     evidence("COOKIE", base, _cookie_names(third), count=F.size(third))),
-        ),
     ]
 
 
@@ -188,54 +176,38 @@ def security_rules() -> list[ScanRule]:
 
     def cookie_rule(rule_id: str, title: str, flag: str) -> ScanRule:
         lacking = F.filter(F.col("home.cookies"), lambda c: ~F.coalesce(c[flag], F.lit(False)))
-        return ScanRule(
-            F.size(lacking) > 0,
-            finding(rule(rule_id), F.lit(title), evidence=evidence("COOKIE", base, _cookie_names(lacking), count=F.size(lacking))),
-        )
+        return when(rule(rule_id), F.size(lacking) > 0, F.lit(title), evidence=evidence("COOKIE", base, _cookie_names(lacking), count=F.size(lacking)))
 
     max_age = F.regexp_extract(hsts, r"max-age=\s*([+-]?[0-9]+)\s*(?:;|$)", 1).try_cast("decimal(38,0)")
     frames = F.coalesce(F.contains(F.lower(csp), F.lit("frame-ancestors")), F.lit(False))
     return [
-        ScanRule(F.startswith(base, F.lit("http://")),
-                 finding(rule("SEC_HTTPS_ABSENT"), F.lit("Site is served over unencrypted HTTP"), base,
-                         evidence("URL", base, F.lit("http:// scheme observed")))),
-        ScanRule(hsts.isNull(),
-                 finding(rule("SEC_HSTS_MISSING"), F.lit("HTTP Strict Transport Security (HSTS) header is missing"),
-                         evidence=absent("strict-transport-security: (absent)"))),
-        ScanRule(~F.contains(hsts, F.lit("includeSubDomains")),
-                 finding(rule("SEC_HSTS_NO_SUBDOMAINS"), F.lit("HSTS does not include subdomains"),
-                         evidence=seen("strict-transport-security", hsts))),
-        ScanRule(max_age < HSTS_SECONDS,
-                 finding(rule("SEC_HSTS_SHORT_MAXAGE"), F.lit("HSTS max-age is shorter than recommended (180 days)"),
-                         evidence=seen("strict-transport-security", hsts))),
-        ScanRule(csp.isNull(),
-                 finding(rule("SEC_CSP_MISSING"), F.lit("Content Security Policy (CSP) header is missing"),
-                         evidence=absent("content-security-policy: (absent)"))),
-        ScanRule(F.contains(F.lower(csp), F.lit("unsafe-inline")),
-                 finding(rule("SEC_CSP_UNSAFE_INLINE"), F.lit("CSP allows 'unsafe-inline'"),
-                         evidence=seen("content-security-policy", csp))),
-        ScanRule(F.contains(F.lower(csp), F.lit("unsafe-eval")),
-                 finding(rule("SEC_CSP_UNSAFE_EVAL"), F.lit("CSP allows 'unsafe-eval'"),
-                         evidence=seen("content-security-policy", csp))),
-        ScanRule(~_header("x-content-type-options").eqNullSafe("nosniff"),
-                 finding(rule("SEC_XCTO_MISSING"), F.lit("X-Content-Type-Options header is missing or not 'nosniff'"),
-                         evidence=absent("x-content-type-options: (absent)"))),
-        ScanRule(_header("referrer-policy").isNull(),
-                 finding(rule("SEC_REFERRER_POLICY_MISSING"), F.lit("Referrer-Policy header is missing"),
-                         evidence=absent("referrer-policy: (absent)"))),
-        ScanRule(_header("permissions-policy").isNull() & _header("feature-policy").isNull(),
-                 finding(rule("SEC_PERMISSIONS_POLICY_MISSING"), F.lit("Permissions-Policy header is missing"),
-                         evidence=absent("permissions-policy: (absent)"))),
-        ScanRule(~frames & _header("x-frame-options").isNull(),
-                 finding(rule("SEC_FRAME_PROTECTION_MISSING"),
+        when(rule("SEC_HTTPS_ABSENT"), F.startswith(base, F.lit("http://")), F.lit("Site is served over unencrypted HTTP"), base,
+                         evidence("URL", base, F.lit("http:// scheme observed"))),
+        when(rule("SEC_HSTS_MISSING"), hsts.isNull(), F.lit("HTTP Strict Transport Security (HSTS) header is missing"),
+                         evidence=absent("strict-transport-security: (absent)")),
+        when(rule("SEC_HSTS_NO_SUBDOMAINS"), ~F.contains(hsts, F.lit("includeSubDomains")), F.lit("HSTS does not include subdomains"),
+                         evidence=seen("strict-transport-security", hsts)),
+        when(rule("SEC_HSTS_SHORT_MAXAGE"), max_age < HSTS_SECONDS, F.lit("HSTS max-age is shorter than recommended (180 days)"),
+                         evidence=seen("strict-transport-security", hsts)),
+        when(rule("SEC_CSP_MISSING"), csp.isNull(), F.lit("Content Security Policy (CSP) header is missing"),
+                         evidence=absent("content-security-policy: (absent)")),
+        when(rule("SEC_CSP_UNSAFE_INLINE"), F.contains(F.lower(csp), F.lit("unsafe-inline")), F.lit("CSP allows 'unsafe-inline'"),
+                         evidence=seen("content-security-policy", csp)),
+        when(rule("SEC_CSP_UNSAFE_EVAL"), F.contains(F.lower(csp), F.lit("unsafe-eval")), F.lit("CSP allows 'unsafe-eval'"),
+                         evidence=seen("content-security-policy", csp)),
+        when(rule("SEC_XCTO_MISSING"), ~_header("x-content-type-options").eqNullSafe("nosniff"), F.lit("X-Content-Type-Options header is missing or not 'nosniff'"),
+                         evidence=absent("x-content-type-options: (absent)")),
+        when(rule("SEC_REFERRER_POLICY_MISSING"), _header("referrer-policy").isNull(), F.lit("Referrer-Policy header is missing"),
+                         evidence=absent("referrer-policy: (absent)")),
+        when(rule("SEC_PERMISSIONS_POLICY_MISSING"), _header("permissions-policy").isNull() & _header("feature-policy").isNull(), F.lit("Permissions-Policy header is missing"),
+                         evidence=absent("permissions-policy: (absent)")),
+        when(rule("SEC_FRAME_PROTECTION_MISSING"), ~frames & _header("x-frame-options").isNull(),
                          F.lit("No frame protection (X-Frame-Options / CSP frame-ancestors)"),
-                         evidence=absent("x-frame-options: (absent); csp frame-ancestors: (absent)"))),
-        ScanRule(powered.isNotNull(),
-                 finding(rule("SEC_TECH_DISCLOSURE"), F.lit("Server technology disclosed via X-Powered-By header"),
-                         evidence=seen("x-powered-by", powered))),
-        ScanRule((F.lower(server) != "cloudflare") & server.rlike(r"[0-9]+\.[0-9]+"),
-                 finding(rule("SEC_SERVER_VERSION_DISCLOSURE"), F.lit("Web server version disclosed"),
-                         evidence=seen("server", server))),
+                         evidence=absent("x-frame-options: (absent); csp frame-ancestors: (absent)")),
+        when(rule("SEC_TECH_DISCLOSURE"), powered.isNotNull(), F.lit("Server technology disclosed via X-Powered-By header"),
+                         evidence=seen("x-powered-by", powered)),
+        when(rule("SEC_SERVER_VERSION_DISCLOSURE"), (F.lower(server) != "cloudflare") & server.rlike(r"[0-9]+\.[0-9]+"), F.lit("Web server version disclosed"),
+                         evidence=seen("server", server)),
         cookie_rule("SEC_COOKIE_MISSING_SECURE", "Cookies set without the Secure attribute", "secure"),
         cookie_rule("SEC_COOKIE_MISSING_HTTPONLY", "Cookies without the HttpOnly attribute", "httponly"),
     ]
@@ -251,19 +223,15 @@ def seo_rules() -> list[ScanRule]:
                  F.lit("no meta description")),
         _counted("SEO_CANONICAL_MISSING", "no_canonical", ["No canonical URL on ", None, " page(s)"], "PAGE",
                  F.lit("no canonical link"), least=2),
-        ScanRule(F.col("home.has_html") & ~F.col("home.has_og_title"),
-                 finding(rule("SEO_OG_MISSING"), F.lit("Open Graph tags not found on the homepage"), base,
-                         evidence("HTML_ELEMENT", base, F.lit("og:title missing")))),
-        ScanRule((F.col("link_count") == 0) & (F.col("pages") == 1),
-                 finding(rule("SEO_NO_INTERNAL_LINKS"), F.lit("No internal links detected"), base)),
+        when(rule("SEO_OG_MISSING"), F.col("home.has_html") & ~F.col("home.has_og_title"), F.lit("Open Graph tags not found on the homepage"), base,
+                         evidence("HTML_ELEMENT", base, F.lit("og:title missing"))),
+        when(rule("SEO_NO_INTERNAL_LINKS"), (F.col("link_count") == 0) & (F.col("pages") == 1), F.lit("No internal links detected"), base),
         _counted("SEO_URL_STRUCTURE", "messy_url", ["URLs with uppercase characters/underscores (", None, ")"], "URL",
                  F.lit("uppercase or underscore in path")),
         _counted("A11Y_HEADING_ORDER", "heading_skip", ["Heading hierarchy skips levels (", None, " instance(s))"],
                  "HTML_ELEMENT", counted=True, category="SEO"),
-        ScanRule(blocks == 0,
-                 finding(rule("SEO_STRUCTURED_DATA_MISSING"), F.lit("No structured data (JSON-LD) detected"), base)),
-        ScanRule(F.col("json_ld_valid") > 0,
-                 finding(rule("SEO_STRUCTURED_DATA_PRESENT"), F.lit("Valid structured data detected"), base)),
+        when(rule("SEO_STRUCTURED_DATA_MISSING"), blocks == 0, F.lit("No structured data (JSON-LD) detected"), base),
+        when(rule("SEO_STRUCTURED_DATA_PRESENT"), F.col("json_ld_valid") > 0, F.lit("Valid structured data detected"), base),
         _counted("SEO_NOINDEX_PAGES", "noindex", [None, " page(s) blocked from indexing (noindex)"], "HTML_ELEMENT",
                  text("noindex count=", F.col("noindex")["n"]), site_wide=True),
     ]
@@ -273,18 +241,14 @@ def ux_rules() -> list[ScanRule]:
     base = F.col("base_url")
     home = F.col("home")
     return [
-        ScanRule(home["has_html"] & (home["nav_links"] >= NAV_LINKS),
-                 finding(rule("UX_NAV_COMPLEXITY"), text("Navigation contains ", home["nav_links"], " links"), base,
-                         evidence("HTML_ELEMENT", base, text("nav_links=", home["nav_links"])))),
-        ScanRule(home["has_html"] & ~home["has_cta_text"] & ~home["has_button"],
-                 finding(rule("UX_NO_CTA"), F.lit("No clear call-to-action detected on the homepage"), base,
-                         evidence("HTML_ELEMENT", base, F.lit("no CTA found")))),
-        ScanRule(F.col("form_max") >= LONG_FORM_FIELDS,
-                 finding(rule("UX_FORM_COMPLEXITY"), text("Long form with ", F.col("form_max"), " fields"), F.col("form_url"),
-                         evidence("HTML_ELEMENT", F.col("form_url"), text("field_count=", F.col("form_max"))))),
-        ScanRule(home["has_html"] & ~home["has_viewport"],
-                 finding(rule("UX_NO_VIEWPORT"), F.lit("Mobile viewport meta tag is missing"), base,
-                         evidence("HTML_ELEMENT", base, F.lit("no viewport meta")))),
+        when(rule("UX_NAV_COMPLEXITY"), home["has_html"] & (home["nav_links"] >= NAV_LINKS), text("Navigation contains ", home["nav_links"], " links"), base,
+                         evidence("HTML_ELEMENT", base, text("nav_links=", home["nav_links"]))),
+        when(rule("UX_NO_CTA"), home["has_html"] & ~home["has_cta_text"] & ~home["has_button"], F.lit("No clear call-to-action detected on the homepage"), base,
+                         evidence("HTML_ELEMENT", base, F.lit("no CTA found"))),
+        when(rule("UX_FORM_COMPLEXITY"), F.col("form_max") >= LONG_FORM_FIELDS, text("Long form with ", F.col("form_max"), " fields"), F.col("form_url"),
+                         evidence("HTML_ELEMENT", F.col("form_url"), text("field_count=", F.col("form_max")))),
+        when(rule("UX_NO_VIEWPORT"), home["has_html"] & ~home["has_viewport"], F.lit("Mobile viewport meta tag is missing"), base,
+                         evidence("HTML_ELEMENT", base, F.lit("no viewport meta"))),
         _counted("UX_MULTIPLE_H1", "many_h1", ["Multiple H1 headings on ", None, " page(s)"], "HTML_ELEMENT", F.lit("multiple h1")),
         _counted("UX_CONTENT_DENSITY", "dense", ["Very dense content on ", None, " page(s)"], "PAGE",
                  text("words=", F.col("dense")["first"]["value"])),
@@ -295,12 +259,10 @@ def architecture_rules() -> list[ScanRule]:
     base = F.col("base_url")
     mean_depth = F.col("depth_sum") / F.col("pages")
     return [
-        ScanRule(F.col("pages") <= 1,
-                 finding(rule("ARCH_SINGLE_PAGE"), F.lit("Site appears to consist of a single page"), base)),
-        ScanRule(mean_depth > 2.5,
-                 finding(rule("ARCH_DEEP_NESTING"),
+        when(rule("ARCH_SINGLE_PAGE"), F.col("pages") <= 1, F.lit("Site appears to consist of a single page"), base),
+        when(rule("ARCH_DEEP_NESTING"), mean_depth > 2.5,
                          text("Pages require deep navigation (average depth ",
-                              F.format_string("%.1f", F.round(mean_depth, 1)), ")"))),
+                              F.format_string("%.1f", F.round(mean_depth, 1)), ")")),
     ]
 
 
@@ -334,14 +296,11 @@ def unclear_purpose(profiles: DataFrame) -> DataFrame:
     per_scan = first_pages.where(unclear).groupBy("scan_id").agg(
         F.count(F.lit(1)).alias("n"), F.min_by("url", "seq").alias("url")
     )
-    return per_scan.select(
-        F.inline(
-            F.array(
-                finding(rule("UX_UNCLEAR_PURPOSE"), text("Unclear page purpose on ", F.col("n"), " page(s)"), F.col("url"),
-                        evidence("PAGE", F.col("url"), F.lit("no title and no h1")))
-            )
-        )
-    )
+    url = F.col("url")
+    return emit(per_scan, [
+        when(rule("UX_UNCLEAR_PURPOSE"), True, text("Unclear page purpose on ", F.col("n"), " page(s)"), url,
+             evidence("PAGE", url, F.lit("no title and no h1"))),
+    ])
 
 
 def _ranked(hits: DataFrame, keep: int) -> DataFrame:
@@ -378,12 +337,10 @@ def listed_pages(profiles: DataFrame, facts: DataFrame) -> DataFrame:
     return emit(
         joined,
         [
-            ScanRule(kind == "thin",
-                     finding(rule("CONTENT_THIN"), text("Thin content on ", thin["n"], " page(s)"), thin_url,
-                             evidence("PAGE", thin_url, named, pages=listed))),
-            ScanRule(kind == "broken",
-                     finding(rule("SEO_BROKEN_PAGES"), text("Pages returning errors (", broken["n"], ")"), broken_url,
-                             evidence("PAGE", broken_url, text("status ", broken["first"]["value"]), urls=listed))),
+            when(rule("CONTENT_THIN"), kind == "thin", text("Thin content on ", thin["n"], " page(s)"), thin_url,
+                             evidence("PAGE", thin_url, named, pages=listed)),
+            when(rule("SEO_BROKEN_PAGES"), kind == "broken", text("Pages returning errors (", broken["n"], ")"), broken_url,
+                             evidence("PAGE", broken_url, text("status ", broken["first"]["value"]), urls=listed)),
         ],
     )
 
@@ -415,12 +372,12 @@ def exposure(profiles: DataFrame, facts: DataFrame) -> DataFrame:
     return emit(
         hits,
         [
-            ScanRule(kind == "api", finding(rule("SEC_OBSERVABLE_API"),
-                     F.lit("Observable API endpoints referenced in page code"), base, evidence("URL", base, shown))),
-            ScanRule(kind == "email", finding(rule("SEC_PUBLIC_EMAIL"),
-                     F.lit("Public email address(es) exposed on the site"), base, evidence("HTML_ELEMENT", base, shown))),
-            ScanRule(kind == "secret", finding(rule("SEC_EXPOSED_SECRET_PATTERN"),
-                     F.lit("Possible API key or secret pattern in page code"), base, evidence("SCRIPT", base, shown))),
+            when(rule("SEC_OBSERVABLE_API"), kind == "api",
+                     F.lit("Observable API endpoints referenced in page code"), base, evidence("URL", base, shown)),
+            when(rule("SEC_PUBLIC_EMAIL"), kind == "email",
+                     F.lit("Public email address(es) exposed on the site"), base, evidence("HTML_ELEMENT", base, shown)),
+            when(rule("SEC_EXPOSED_SECRET_PATTERN"), kind == "secret",
+                     F.lit("Possible API key or secret pattern in page code"), base, evidence("SCRIPT", base, shown)),
         ],
     )
 
@@ -430,13 +387,7 @@ def invalid_json_ld(profiles: DataFrame, facts: DataFrame) -> DataFrame:
     bad = profiles.select("scan_id", "seq", F.explode("json_ld_bad").alias("block"))
     joined = bad.join(facts.select("scan_id", "base_url"), "scan_id")
     base = F.col("base_url")
-    return joined.select(
-        F.inline(
-            F.array(
-                finding(rule("SEO_STRUCTURED_DATA_INVALID"), F.lit("Invalid JSON-LD structured data"), base,
-                        evidence("HTML_ELEMENT", base, F.lit("invalid application/ld+json")),
-                        key1=F.col("seq"), key2=F.col("block"))
-            )
-        )
-    )
-
+    return emit(joined, [
+        when(rule("SEO_STRUCTURED_DATA_INVALID"), True, F.lit("Invalid JSON-LD structured data"), base,
+             evidence("HTML_ELEMENT", base, F.lit("invalid application/ld+json")), key1=F.col("seq"), key2=F.col("block")),
+    ])

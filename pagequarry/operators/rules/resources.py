@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagequarry.operators.rules.base import ScanRule, emit, evidence, finding, text
+from pagequarry.operators.rules.base import emit, evidence, text, when
 from pagequarry.operators.rules.catalog import rule
 from pagequarry.operators.rules.pages import _ranked, tracker_hints_in
 
@@ -141,34 +141,25 @@ def resource_rule_findings(resources: DataFrame, facts: DataFrame) -> DataFrame:
     return emit(
         joined,
         [
-            ScanRule(domain_count >= MANY_DOMAINS,
-                     finding(rule("ARCH_MANY_THIRD_PARTIES"), text("High number of third-party domains (", domain_count, ")"),
-                             evidence=evidence("URL", base, items("domains", 15, 10_000), count=domain_count))),
-            ScanRule((F.coalesce(F.col("cdn_domains"), F.lit(0)) == 0) & (F.col("pages") > 1),
-                     finding(rule("ARCH_NO_CDN"), F.lit("No CDN usage detected"))),
-            ScanRule(requests >= MANY_REQUESTS,
-                     finding(rule("PERF_TOO_MANY_REQUESTS"), text("High number of resource requests (", requests, ")"),
-                             evidence=evidence("METRIC", resources_label, text("count=", requests), count=requests))),
-            ScanRule(external >= MANY_EXTERNAL_REQUESTS,
-                     finding(rule("PERF_MANY_THIRD_PARTY_REQUESTS"), text("High third-party request count (", external, ")"),
-                             evidence=evidence("METRIC", resources_label, text("external_count=", external), count=external))),
-            ScanRule(local >= MANY_LOCAL_SCRIPTS,
-                     finding(rule("PERF_RENDER_BLOCKING_SCRIPTS"), text(local, " local scripts without async/defer detected"),
-                             evidence=evidence("SCRIPT", F.lit("html"), items("local_js", 10, 100_000), count=local))),
-            ScanRule(F.col("analytics_domains") > 0,
-                     finding(rule("PRIV_ANALYTICS_THIRD_PARTIES"),
+            when(rule("ARCH_MANY_THIRD_PARTIES"), domain_count >= MANY_DOMAINS, text("High number of third-party domains (", domain_count, ")"),
+                             evidence=evidence("URL", base, items("domains", 15, 10_000), count=domain_count)),
+            when(rule("ARCH_NO_CDN"), (F.coalesce(F.col("cdn_domains"), F.lit(0)) == 0) & (F.col("pages") > 1), F.lit("No CDN usage detected")),
+            when(rule("PERF_TOO_MANY_REQUESTS"), requests >= MANY_REQUESTS, text("High number of resource requests (", requests, ")"),
+                             evidence=evidence("METRIC", resources_label, text("count=", requests), count=requests)),
+            when(rule("PERF_MANY_THIRD_PARTY_REQUESTS"), external >= MANY_EXTERNAL_REQUESTS, text("High third-party request count (", external, ")"),
+                             evidence=evidence("METRIC", resources_label, text("external_count=", external), count=external)),
+            when(rule("PERF_RENDER_BLOCKING_SCRIPTS"), local >= MANY_LOCAL_SCRIPTS, text(local, " local scripts without async/defer detected"),
+                             evidence=evidence("SCRIPT", F.lit("html"), items("local_js", 10, 100_000), count=local)),
+            when(rule("PRIV_ANALYTICS_THIRD_PARTIES"), F.col("analytics_domains") > 0,
                              text("Potential analytics-related third parties (", F.col("analytics_domains"), ")"),
-                             evidence=evidence("URL", base, items("analytics", 10)))),
-            ScanRule(F.col("social_domains") > 0,
-                     finding(rule("PRIV_SOCIAL_WIDGETS"),
+                             evidence=evidence("URL", base, items("analytics", 10))),
+            when(rule("PRIV_SOCIAL_WIDGETS"), F.col("social_domains") > 0,
                              text("Potential social media widgets (", F.col("social_domains"), ")"),
-                             evidence=evidence("URL", base, items("social", 10)))),
-            ScanRule((domain_count > 0) & (F.size(hints) >= 2),
-                     finding(rule("PRIV_TRACKER_SCRIPT_PATTERNS"), F.lit("Potential tracking-related script patterns observed"),
-                             evidence=evidence("SCRIPT", base, F.array_join(F.slice(hints, 1, 10), ", ")))),
-            ScanRule(F.startswith(base, F.lit("https://")) & (insecure > 0),
-                     finding(rule("SEC_MIXED_CONTENT"), F.lit("Mixed content: HTTP resources loaded by an HTTPS page"),
-                             evidence=evidence("URL", base, items("insecure", 10), count=insecure))),
+                             evidence=evidence("URL", base, items("social", 10))),
+            when(rule("PRIV_TRACKER_SCRIPT_PATTERNS"), (domain_count > 0) & (F.size(hints) >= 2), F.lit("Potential tracking-related script patterns observed"),
+                             evidence=evidence("SCRIPT", base, F.array_join(F.slice(hints, 1, 10), ", "))),
+            when(rule("SEC_MIXED_CONTENT"), F.startswith(base, F.lit("https://")) & (insecure > 0), F.lit("Mixed content: HTTP resources loaded by an HTTPS page"),
+                             evidence=evidence("URL", base, items("insecure", 10), count=insecure)),
         ],
     )
 
@@ -206,8 +197,7 @@ def largest_files(resources: DataFrame) -> DataFrame:
     return emit(
         ranked,
         [
-            ScanRule((F.col("rule") == name) & (F.col("rank") <= keep),
-                     finding(rule(name), titles[name], F.col("url"), shown, key1=F.col("rank")))
+            when(rule(name), (F.col("rule") == name) & (F.col("rank") <= keep), titles[name], F.col("url"), shown, key1=F.col("rank"))
             for name, _, _, keep in LARGEST_FILES
         ],
     )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pagequarry.operators import duplicates
 from pagequarry.operators.rules import pages as page_rules
 from pagequarry.operators.rules import resources as resource_rules
-from pagequarry.operators.rules.base import evidence, finding, text
+from pagequarry.operators.rules.base import emit, evidence, text, when
 from pagequarry.operators.rules.catalog import Rule
 
 
@@ -59,9 +59,8 @@ def page_predicate_rule(rule: Rule, predicate: Column, title: str, least: int =
         per_scan = inputs.profiles.where(predicate).groupBy("scan_id").agg(
             F.count(F.lit(1)).alias("n"), F.min_by("url", "seq").alias("url")
         )
-        row = finding(rule, text(title, " (", F.col("n"), ")"), F.col("url"),
-                      evidence("PAGE", F.col("url"), text("pages=", F.col("n"))))
-        return per_scan.where(F.col("n") >= least).select(F.inline(F.array(row)))
+        shown = evidence("PAGE", F.col("url"), text("pages=", F.col("n")))
+        return emit(per_scan, [when(rule, F.col("n") >= least, text(title, " (", F.col("n"), ")"), F.col("url"), shown)])
 
     return build
 

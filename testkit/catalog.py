@@ -440,9 +440,7 @@ def document_exposure(spark, d):
     t = F.col("text")
     docs = X.table(spark, d, "documents").select(
         F.col("source").alias("scan_id"), F.col("doc_id").alias("seq"),
-        F.array_distinct(F.regexp_extract_all(t, F.lit(extract.API_PATH), F.lit(0))).alias("api_paths"),
-        F.array_distinct(F.regexp_extract_all(t, F.lit(extract.EMAIL), F.lit(0))).alias("emails"),
-        F.regexp_extract_all(t, F.lit(extract.SECRET), F.lit(1)).alias("secret_keywords"),
+        extract.api_paths(t).alias("api_paths"), extract.emails(t).alias("emails"), extract.secret_keywords(t).alias("secret_keywords"),
     )
     facts = docs.groupBy("scan_id").agg(F.lit("x").alias("base_url"))
     found = flat(page_rules.exposure(docs, facts))

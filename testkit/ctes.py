@@ -394,6 +394,8 @@ _HEAVY = re.compile(r"^(px|tok|run|text|prof|fnd|home|lnk|simsh|res)2?$")
 
 def sql(final: str, **extra: str) -> str:
     """``final`` with the building blocks it names, and those they name, as CTEs."""
+    if final.startswith("WITH"):
+        return final
     parts = PARTS | extra
     names = re.compile(r"\b(" + "|".join(sorted(map(re.escape, parts), key=len, reverse=True)) + r")\b")
     done: dict[str, None] = {}
