@@ -52,10 +52,9 @@ def audit(
     resources = keep(resources, "resources")
     technologies = technology.technologies(pages, resources)
     findings = keep(all_findings(AuditInputs(profiles, facts, resources), families), "findings")
-    scores = scoring.scan_scores(facts, findings)
-    recommendations = correlate.recommendations(findings)
-    ranked = correlate.ranked_recommendations(recommendations, facts)
-    summaries = correlate.summaries(scores, findings, recommendations)
+    scores = keep(scoring.scan_scores(facts, findings), "scores")
+    ranked = keep(correlate.ranked_recommendations(correlate.recommendations(findings), facts), "recommendations")
+    summaries = correlate.summaries(scores, findings, ranked)
     return Audit(pages, profiles, facts, resources, technologies, findings, scores, ranked, summaries)
 
 

@@ -918,9 +918,10 @@ def gap_summaries(spark, d):
 # ---------------------------------------------------------------- changes between scans
 
 _P = "website_id, base_scan_id, compare_scan_id"
-_DIFF = _LATEST | {
+_DIFF = _LATEST | _TECH | C.suffixed(_TECH, "2") | {
     "pairs": "SELECT website_id, website_id AS base_scan_id, website_id || '@2' AS compare_scan_id FROM websites",
-    "techboth": "SELECT scan_id, 'none' AS name FROM base WHERE false",
+    "techdiff": """SELECT website_id, base_scan_id, compare_scan_id, 'added' AS type, a.name AS label FROM pairs JOIN tech2 a ON a.scan_id = compare_scan_id WHERE NOT EXISTS (SELECT 1 FROM tech b WHERE b.scan_id = base_scan_id AND b.name = a.name)
+ UNION ALL SELECT website_id, base_scan_id, compare_scan_id, 'removed', b.name FROM pairs JOIN tech b ON b.scan_id = base_scan_id WHERE NOT EXISTS (SELECT 1 FROM tech2 a WHERE a.scan_id = compare_scan_id AND a.name = b.name)""",
     "labels": """SELECT scan_id, 'pages' AS category, url AS label FROM px UNION SELECT scan_id, 'pages', url FROM px2
  UNION SELECT scan_id, 'resources', url FROM res UNION SELECT scan_id, 'resources', url FROM res2
  UNION SELECT scan_id, 'third_party', domain FROM res WHERE is_external UNION SELECT scan_id, 'third_party', domain FROM res2 WHERE is_external""",
@@ -960,9 +961,8 @@ def set_changes(spark, d):
     return _set_changes(spark, d)
 
 
-@query("technology_changes", f"""SELECT website_id, base_scan_id, compare_scan_id, 'technologies' AS category, 'added' AS type, 'none' AS label FROM pairs WHERE false""", **_DIFF)
+@query("technology_changes", f"SELECT {_P}, 'technologies' AS category, type, label FROM techdiff", **_DIFF)
 def technology_changes(spark, d):
-    """The two scans of a site run the same software, so this must be empty."""
     a, b = audited(spark, d), audited(spark, d, 2)
     known = a.technologies.unionByName(b.technologies)
     empty_pages, empty_res = a.profiles.select("scan_id", "url").where("false"), a.resources.where("false")

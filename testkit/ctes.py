@@ -64,7 +64,7 @@ def _page_select(scan: str, url: str, final_url: str, suffix: str, where: str) -
     )
     return (
         f"SELECT {scan} AS scan_id, page_id AS seq, {url} AS url, {final_url} AS final_url, {X.STATUS} AS status_code,"
-        f" {X.DEPTH} AS depth, {X.LOAD} AS load_time, {headers}, {X.HTML} AS html, page_id FROM pages {where}"
+        f" {X.DEPTH} AS depth, {X.LOAD} AS load_time, {headers}, {X.HTML_AFTER if suffix else X.HTML} AS html, page_id FROM pages {where}"
     )
 
 
@@ -364,6 +364,16 @@ def _rule_ctes(p: str) -> dict[str, str]:
     }
 
 
+def suffixed(ctes: dict[str, str], p: str) -> dict[str, str]:
+    """The same building blocks over the pages of the second scan."""
+    names = set(PARTS) | set(ctes)
+
+    def rename(match: re.Match) -> str:
+        return match.group(1) + (match.group(2) + p if match.group(2) in names else match.group(2))
+
+    return {name + p: re.sub(r"((?:FROM|JOIN)\s+)(\w+)", rename, text) for name, text in ctes.items()}
+
+
 def _build() -> dict[str, str]:
     catalog = ", ".join(
         f"({lit(r.category)}, {lit(r.rule_id)}, {r.order}, {lit(r.severity)}, {'NULL' if r.confidence is None else r.confidence},"

@@ -87,6 +87,9 @@ def _raw(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "pages"))
 
 
+HTML_AFTER = f"replace({HTML}, 'wp-embed', 'ng-app')"
+
+
 def _page_columns(scan: str, url: str, final_url: str, header_suffix: str) -> list[str]:
     names = ", ".join(
         f"'{name}', CASE WHEN page_id % 4 = 1 THEN ({value}) || '{header_suffix}' ELSE {value} END" if header_suffix
@@ -100,7 +103,7 @@ def _page_columns(scan: str, url: str, final_url: str, header_suffix: str) -> li
     return [
         f"{scan} AS scan_id", "page_id AS seq", f"{url} AS url", f"{final_url} AS final_url", f"{STATUS} AS status_code",
         f"{DEPTH} AS depth", f"{LOAD} AS load_time", f"map_filter(map({names}), (k, v) -> v IS NOT NULL) AS headers",
-        f"{cookies} AS cookies", f"{HTML} AS html",
+        f"{cookies} AS cookies", f"{HTML_AFTER if header_suffix else HTML} AS html",
     ]
 
 
@@ -131,7 +134,7 @@ def resources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def second_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """The later scan of every host: some pages moved to a new URL, some headers changed."""
+    """The later scan of every host: some pages moved, some headers and markup changed."""
     changed = "CASE WHEN page_id % 9 = 0 THEN url || '/new' ELSE url END"
     raw = _raw(spark, folder)
     return page_rows(raw.selectExpr(*_page_columns(f"{HOST} || '@2'", changed, changed, "; v2")))
