@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions.binding import let
 from pagequarry.operators.rules.base import emit, evidence, text, when
 from pagequarry.operators.rules.catalog import rule
+from pagequarry.session import materialize
 
 SHINGLE_WORDS = 6
 LEAST_WORDS = 20
@@ -63,35 +66,49 @@ def repeated_opening_findings(profiles: DataFrame) -> DataFrame:
     ])
 
 
-def shingles_of(body: Column) -> Column:
-    """Six-word shingles of a text in order; none for fewer than twenty words."""
+def _over_shingles(body: Column, of: Callable[[Column], Column], kind: str) -> Column:
+    """``of`` applied to each run of six words; nothing for fewer than twenty words."""
     words = F.regexp_extract_all(F.lower(body), F.lit("[a-z0-9]{3,}"), F.lit(0))
 
     def build(w: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(w) - SHINGLE_WORDS + 1)
-        return F.when(
-            F.size(w) >= LEAST_WORDS, F.transform(starts, lambda i: F.array_join(F.slice(w, i, SHINGLE_WORDS), " "))
-        ).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(w) >= LEAST_WORDS, F.transform(starts, lambda i: of(F.slice(w, i, SHINGLE_WORDS)))).otherwise(
+            F.array().cast(f"array<{kind}>")
+        )
 
     return let(words, build)
 
 
+def shingles_of(body: Column) -> Column:
+    """Six-word shingles of a text in order."""
+    return _over_shingles(body, lambda six: F.array_join(six, " "), "string")
+
+
+def shingle_hashes(body: Column) -> Column:
+    """The same shingles as 64-bit hashes: eight bytes to shuffle and sort instead of six words."""
+    return _over_shingles(body, lambda six: F.xxhash64(six), "bigint")
+
+
 def shingle_counts(docs: DataFrame, group: str, doc: str, body: str) -> DataFrame:
     """Shingle multisets: one row per document and shingle with its count."""
     rows = docs.select(group, doc, F.explode(shingles_of(F.col(body))).alias("shingle"))
     return rows.groupBy(group, doc, "shingle").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _fingerprint(hashes: Column) -> Column:
+    """Equal for equal shingle multisets."""
+    return F.sha2(F.array_join(F.transform(F.sort_array(hashes), lambda h: F.hex(h)), ","), 256)
+
+
 def copy_groups(docs: DataFrame, group: str, doc: str, body: str) -> DataFrame:
     """Each document with the first document of its group that has the same shingles.
 
     ``representative`` equals the document itself for the first of each set of copies.
     Documents too short for shingles are left out: they are similar to nothing.
+    Texts are read once; the rest works on a narrow stage table.
     """
-    fingerprint = F.sha2(F.array_join(F.array_sort("shingles"), "\n"), 256)
-    prints = docs.select(group, doc, shingles_of(F.col(body)).alias("shingles")).where(F.size("shingles") > 0).select(
-        group, doc, fingerprint.alias("fingerprint")
-    )
+    hashed = docs.select(group, doc, shingle_hashes(F.col(body)).alias("hashes")).where(F.size("hashes") > 0)
+    prints = materialize(hashed.select(group, doc, _fingerprint(F.col("hashes")).alias("fingerprint")), "fingerprints")
     firsts = prints.groupBy(group, "fingerprint").agg(
         F.min(doc).alias("representative"), F.count(F.lit(1)).alias("copies")
     )
@@ -109,37 +126,38 @@ def similar_pairs(
     filtering: in rare-first token order two texts that similar must share one of
     the first n - ceil(t n) + 1 tokens, so wording common to a whole site makes no
     candidates. Tokens still shared by many texts are split into blocks whose pairs
-    are spread over tasks.
+    are spread over tasks. Texts are read once; each later step starts from a
+    written stage table.
     """
-    fingerprint = F.sha2(F.array_join(F.array_sort("shingles"), "\n"), 256)
-    prints = docs.select(group, doc, shingles_of(F.col(body)).alias("shingles")).where(F.size("shingles") > 0)
+    hashed = docs.select(group, doc, shingle_hashes(F.col(body)).alias("hashes")).where(F.size("hashes") > 0)
+    prints = materialize(hashed.withColumn("fingerprint", _fingerprint(F.col("hashes"))), "hashes")
     firsts = (
-        prints.select(group, doc, fingerprint.alias("fingerprint"))
-        .groupBy(group, "fingerprint")
-        .agg(F.min(doc).alias(doc), F.count(F.lit(1)).alias("copies"))
-        .drop("fingerprint")
+        prints.groupBy(group, "fingerprint").agg(F.min(doc).alias(doc), F.count(F.lit(1)).alias("copies")).drop("fingerprint")
     )
-    kept = prints.join(firsts, [group, doc])
+    kept = prints.drop("fingerprint").join(firsts, [group, doc])
     counted = (
-        kept.select(group, doc, "copies", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
-        .groupBy(group, doc, "copies", "size", F.xxhash64("shingle").alias("h"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        kept.select(group, doc, "copies", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
+        .groupBy(group, doc, "copies", "size", "h").agg(F.count(F.lit(1)).alias("n"))
     )
     # The k-th occurrence of a shingle is a token of its own: multisets become sets.
-    tokens = counted.select(
+    numbered = counted.select(
         group, doc, "copies", "size", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"), "h"
     ).select(group, doc, "copies", "size", F.xxhash64("h", "k").alias("token"))
+    tokens = materialize(numbered, "tokens")
     frequency = tokens.groupBy(group, "token").agg(F.count(F.lit(1)).alias("df"))
     # One array per text, rarest tokens first: it serves both the prefix and the check.
     texts = (
         tokens.join(frequency, [group, "token"])
         .groupBy(group, doc, "copies", "size")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ordered"))
+        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ordered"))
     )
     prefix_length = F.col("size") - F.ceil(F.col("size") * F.lit(threshold)).cast("int") + 1
-    prefixed = texts.select(
-        group, doc, "copies", "size", F.transform("ordered", lambda o: o["token"]).alias("tokens"),
-        F.filter(F.slice("ordered", F.lit(1), prefix_length), lambda o: o["df"] > 1).alias("prefix"),
+    prefixed = materialize(
+        texts.select(
+            group, doc, "copies", "size", F.transform("ordered", lambda o: o["token"]).alias("tokens"),
+            F.filter(F.slice("ordered", F.lit(1), prefix_length), lambda o: o["df"] > 1).alias("prefix"),
+        ),
+        "prefixes",
     )
     index = prefixed.select(group, doc, "size", F.inline("prefix"))
     blocks = F.ceil(F.col("df") / F.lit(block)).cast("int")
@@ -192,9 +210,9 @@ def first_comparisons(profiles: DataFrame, comparisons: int = 60, most: int = 5)
         .withColumn("i", F.col("nth") - 1)
     )
     counted = (
-        first.select("scan_id", "seq", "i", "many", shingles_of(F.col("text")).alias("s"))
-        .select("scan_id", "seq", "i", "many", F.size("s").alias("size"), F.explode("s").alias("shingle"))
-        .groupBy("scan_id", "seq", "i", "many", "size", *_shingle_keys()).agg(F.count(F.lit(1)).alias("n"))
+        first.select("scan_id", "seq", "i", "many", shingle_hashes(F.col("text")).alias("s"))
+        .select("scan_id", "seq", "i", "many", F.size("s").alias("size"), F.explode("s").alias("h"))
+        .groupBy("scan_id", "seq", "i", "many", "size", "h").agg(F.count(F.lit(1)).alias("n"))
     )
     i, j = F.col("i_a"), F.col("i_b")
 
@@ -203,7 +221,7 @@ def first_comparisons(profiles: DataFrame, comparisons: int = 60, most: int = 5)
 
     # Few pages can be the first of a pair: the home page alone on any larger site.
     leads = counted.where(place_of(F.col("i"), F.col("i") + 1) <= comparisons)
-    keys = ["scan_id", "h1", "h2"]
+    keys = ["scan_id", "h"]
     a = leads.select(*keys, "many", *[F.col(c).alias(f"{c}_a") for c in ("seq", "i", "size", "n")])
     b = counted.select(*keys, *[F.col(c).alias(f"{c}_b") for c in ("seq", "i", "size", "n")])
     pairs = (
@@ -221,11 +239,6 @@ def first_comparisons(profiles: DataFrame, comparisons: int = 60, most: int = 5)
     ).select("scan_id", "seq_a", "seq_b", "url_a", "url_b", "score")
 
 
-def _shingle_keys() -> list[Column]:
-    """Ninety-six bits for a shingle: far less to shuffle than its six words."""
-    return [F.xxhash64("shingle").alias("h1"), F.hash("shingle").alias("h2")]
-
-
 def similarity_findings(profiles: DataFrame, comparisons: int = 60, most: int = 5) -> DataFrame:
     a, score = F.col("url_a"), F.col("score")
     shown = text("similarity_score=", F.format_string("%.2f", F.round(score, 2)), " vs ", F.col("url_b"))

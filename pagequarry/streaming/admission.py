@@ -57,8 +57,9 @@ def admit(
 ) -> DataFrame:
     """Adds ``admitted`` to each event, deciding in time order (ties by event id).
 
-    Each busy spell is one group, read as a stream of batches: memory is the last
-    ``limit`` admitted times, whatever the length of the spell.
+    Spells are spread over tasks and each task reads its sorted rows as a stream of
+    Arrow batches. Memory is the last ``limit`` admitted times of the current spell,
+    whatever its length, and short spells cost no call of their own.
     """
     window_micros = window_seconds * 1_000_000
     rows = busy_spells(events, key, ts, window_seconds).select(
@@ -68,18 +69,17 @@ def admit(
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         admitted: deque = deque()
-        last = None
+        current = None
         for batch in batches:
-            times = batch["micros"].tolist()
-            if times and (times != sorted(times) or (last is not None and times[0] < last)):
-                raise ValueError("events of a spell must arrive in time order")
-            last = times[-1] if times else last
-            yield batch.assign(admitted=[_admit(admitted, t, limit, window_micros) for t in times])[
-                ["key", "event_id", "micros", "admitted"]
-            ]
-
-    schema = "key string, event_id bigint, micros bigint, admitted boolean"
-    return ordered.groupBy("key", "spell").applyInPandas(decide, schema)
+            flags = []
+            for key_value, spell, micros in zip(batch["key"], batch["spell"], batch["micros"].tolist(), strict=True):
+                if (key_value, spell) != current:
+                    current = (key_value, spell)
+                    admitted.clear()
+                flags.append(_admit(admitted, micros, limit, window_micros))
+            yield batch[["key", "event_id", "micros"]].assign(admitted=flags)
+
+    return ordered.mapInPandas(decide, "key string, event_id bigint, micros bigint, admitted boolean")
 
 
 class AdmissionProcessor(StatefulProcessor):

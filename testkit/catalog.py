@@ -160,7 +160,7 @@ _SOURCE = "source || '.example.org'"
  regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g') AS printable FROM documents""")
 def document_text_helpers(spark, d):
     t = F.col("text")
-    return X.table(spark, d, "documents").select(
+    return X.documents(spark, d).select(
         "doc_id", TX.normalize_whitespace(t).alias("normalized"), TX.truncate(t, 80).alias("truncated"),
         TX.sha256_hex(t).alias("sha"), TX.strip_control(t).alias("printable"),
     )
@@ -385,12 +385,12 @@ _DOCS = dict(
 
 @query("shingles", "SELECT source, doc_id, shingle, n FROM docsh", **_DOCS)
 def shingles(spark, d):
-    return duplicates.shingle_counts(X.table(spark, d, "documents"), "source", "doc_id", "text")
+    return duplicates.shingle_counts(X.documents(spark, d), "source", "doc_id", "text")
 
 
 @query("copy_groups", "SELECT source, doc_id, representative, copies FROM docrep", **_DOCS)
 def copy_groups(spark, d):
-    return duplicates.copy_groups(X.table(spark, d, "documents"), "source", "doc_id", "text")
+    return duplicates.copy_groups(X.documents(spark, d), "source", "doc_id", "text")
 
 
 @query("similar_pairs", """SELECT p.source, a, b, ra.copies AS copies_a, rb.copies AS copies_b, round(score, 9) AS score FROM (
@@ -398,11 +398,11 @@ def copy_groups(spark, d):
  FROM docsh x JOIN docsh y ON x.source = y.source AND x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY x.source, x.doc_id, y.doc_id, x.size, y.size) p
  JOIN docrep ra ON ra.doc_id = a AND ra.representative = a JOIN docrep rb ON rb.doc_id = b AND rb.representative = b WHERE score >= 0.55""", **_DOCS)
 def similar_pairs(spark, d):
-    return duplicates.similar_pairs(X.table(spark, d, "documents"), "source", "doc_id", "text").withColumn("score", F.round("score", 9))
+    return duplicates.similar_pairs(X.documents(spark, d), "source", "doc_id", "text").withColumn("score", F.round("score", 9))
 
 
 def _doc_profiles(spark, d):
-    return X.table(spark, d, "documents").select(
+    return X.documents(spark, d).select(
         F.col("source").alias("scan_id"), F.col("doc_id").alias("seq"), F.concat(F.lit("/d/"), "doc_id").alias("url"), "text",
         F.sha2(F.substring("text", 1, extract.OPENING_CHARS), 256).alias("opening_sha"), F.substring("text", 1, 20).alias("title"),
     )
@@ -438,7 +438,7 @@ def repeated_openings(spark, d):
  SELECT source, doc_id, unnest(m) AS v, unnest(range(len(m))) AS i FROM (SELECT source, doc_id, regexp_extract_all(text, '(?i)(api[_-]?key|secret|token|password)\\s*[=:]\\s*[''"][A-Za-z0-9_\\-]{12,}[''"]', 1) AS m FROM documents))) WHERE r <= 3 GROUP BY source)""")
 def document_exposure(spark, d):
     t = F.col("text")
-    docs = X.table(spark, d, "documents").select(
+    docs = X.documents(spark, d).select(
         F.col("source").alias("scan_id"), F.col("doc_id").alias("seq"),
         extract.api_paths(t).alias("api_paths"), extract.emails(t).alias("emails"), extract.secret_keywords(t).alias("secret_keywords"),
     )

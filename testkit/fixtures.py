@@ -83,6 +83,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"))
+
+
 def _raw(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "pages"))
 
