@@ -66,13 +66,18 @@ def repeated_opening_findings(profiles: DataFrame) -> DataFrame:
     ])
 
 
-def _over_shingles(body: Column, of: Callable[[Column], Column], kind: str) -> Column:
-    """``of`` applied to each run of six words; nothing for fewer than twenty words."""
+def _over_shingles(body: Column, of: Callable[[list[Column]], Column], kind: str) -> Column:
+    """``of`` applied to each run of six words; nothing for fewer than twenty words.
+
+    Words are picked one by one: slicing would copy the whole text at every position.
+    """
     words = F.regexp_extract_all(F.lower(body), F.lit("[a-z0-9]{3,}"), F.lit(0))
 
     def build(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(w) - SHINGLE_WORDS + 1)
-        return F.when(F.size(w) >= LEAST_WORDS, F.transform(starts, lambda i: of(F.slice(w, i, SHINGLE_WORDS)))).otherwise(
+        starts = F.sequence(F.lit(0), F.size(w) - SHINGLE_WORDS)
+        return F.when(
+            F.size(w) >= LEAST_WORDS, F.transform(starts, lambda i: of([F.get(w, i + k) for k in range(SHINGLE_WORDS)]))
+        ).otherwise(
             F.array().cast(f"array<{kind}>")
         )
 
@@ -81,12 +86,12 @@ def _over_shingles(body: Column, of: Callable[[Column], Column], kind: str) -> C
 
 def shingles_of(body: Column) -> Column:
     """Six-word shingles of a text in order."""
-    return _over_shingles(body, lambda six: F.array_join(six, " "), "string")
+    return _over_shingles(body, lambda six: F.concat_ws(" ", *six), "string")
 
 
 def shingle_hashes(body: Column) -> Column:
     """The same shingles as 64-bit hashes: eight bytes to shuffle and sort instead of six words."""
-    return _over_shingles(body, lambda six: F.xxhash64(six), "bigint")
+    return _over_shingles(body, lambda six: F.xxhash64(*six), "bigint")
 
 
 def shingle_counts(docs: DataFrame, group: str, doc: str, body: str) -> DataFrame:
