@@ -875,14 +875,14 @@ def site_competitors(spark, d):
  SELECT q.website_id AS comparison_id, 'you' AS key, d.scan_id FROM websites q LEFT JOIN done d ON d.website_id = q.website_id
  UNION ALL SELECT website_id, 'competitor_' || competitor_id, scan_id FROM resolved WHERE competitor_id NOT LIKE 'same:%'
  UNION ALL SELECT w.website_id, 'website_' || n.other, d.scan_id FROM websites w JOIN nextsite n ON n.website_id = w.website_id LEFT JOIN done d ON d.website_id = n.other WHERE n.same_user) s LEFT JOIN long l USING (scan_id)""",
-       nextsite="SELECT website_id, other, user_id = other_user AS same_user FROM (SELECT website_id, user_id, lead(website_id) OVER (ORDER BY website_id) AS other, lead(user_id) OVER (ORDER BY website_id) AS other_user FROM websites) WHERE other IS NOT NULL", **_RESOLVED)
+       nextsite="SELECT w.website_id, f.other, true AS same_user FROM websites w JOIN (SELECT user_id, min(website_id) AS other FROM websites GROUP BY user_id) f ON f.user_id = w.user_id WHERE f.other <> w.website_id", **_RESOLVED)
 def compared_sites(spark, d):
-    from pyspark.sql import Window
-
+    """Each site against its competitors, its owner's first site, and a site of another owner, which is refused."""
     sites, scans = X.websites(spark, d), X.scans(spark, d)
     rivals = X.competitors(spark, d).where(~F.startswith("competitor_id", F.lit("same:")))
-    # One row per site here; the query pairs each site with the next by name.
-    ordered = sites.select("website_id", F.lead("website_id").over(Window.partitionBy(F.lit(1)).orderBy("website_id")).alias("other_website_id"))
+    firsts = sites.groupBy("user_id").agg(F.min("website_id").alias("other_website_id"))
+    foreign = firsts.select(F.pmod(F.col("user_id") + 1, F.lit(3)).alias("user_id"), "other_website_id")
+    ordered = sites.select("user_id", "website_id").join(firsts.unionByName(foreign), "user_id")
     requests = rivals.select(F.col("website_id").alias("comparison_id"), "website_id", "competitor_id", F.lit(None).cast("string").alias("other_website_id")).unionByName(
         ordered.select(F.col("website_id").alias("comparison_id"), "website_id", F.lit(None).cast("string").alias("competitor_id"), "other_website_id"))
     resolved = compare.resolve_competitors(X.competitors(spark, d), sites, scans)
