@@ -166,3 +166,15 @@ o AS (
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, size, source_size, target, (size * times + greatest(0, least(size, extra - ahead)))::BIGINT AS taken FROM o
 """
+
+
+def mix_rows(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
+    """The documents that the mix takes, with their columns and size, source_size, target, taken (replacing columns of those names)."""
+    named = [r.source for r in docs.select(F.col("source").cast("string").alias("source")).distinct().limit(MOST_GROUPS + 1).collect()]
+    weights = {s: i % 3 + 1 for i, s in enumerate(sorted(named, key=lambda s: (s is None, s or "")))}
+    rows = docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.array(F.col("source").cast("string")).alias("sources"),
+        words_in(F.col("text").cast("string")).alias("size"))
+    mixed = mix(rows, "sources", "size", "id", weights, repeats).where("taken > 0")
+    new = ["size", "source_size", "target", "taken"]
+    return mixed.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in new], *new)
