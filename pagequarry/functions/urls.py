@@ -100,6 +100,11 @@ def base_parts(base: Column) -> Column:
     )
 
 
+def clean_link(link: Column) -> Column:
+    """A link as written in markup without its tabs and line ends, and without blanks and control characters around it."""
+    return F.regexp_replace(F.translate(link, "\t\n\r", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
 def resolve(base: Column, link: Column) -> Column:
     """Resolve ``link`` against ``base_parts`` by the RFC 3986 reference rules."""
     def path(link_path: Column) -> Column:
@@ -132,7 +137,7 @@ def resolve(base: Column, link: Column) -> Column:
             )
         )
 
-    return let(link, of)
+    return let(F.translate(link, "\t\n\r", ""), of)
 
 
 def join_url(base: Column, link: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -156,7 +157,10 @@ def similar_pairs(
         .groupBy(group, doc, "copies", "size")
         .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ordered"))
     )
-    prefix_length = F.col("size") - F.ceil(F.col("size") * F.lit(threshold)).cast("int") + 1
+    # The threshold as a ratio of integers: products of floats lose pairs exactly at it.
+    ratio = Fraction(str(threshold))
+    num, den = ratio.numerator, ratio.denominator
+    prefix_length = F.col("size") - F.expr(f"cast((size * {num}L + {den - 1}L) div {den} as int)") + 1
     prefixed = materialize(
         texts.select(
             group, doc, "copies", "size", F.transform("ordered", lambda o: o["token"]).alias("tokens"),
@@ -180,7 +184,7 @@ def similar_pairs(
     candidates = (
         left.join(right, [group, "token", "low", "high"])
         .where((F.col("a") < F.col("b")) & ((F.col("low") == F.col("high")) | (F.col("block_a") != F.col("block_b"))))
-        .where(small >= large * F.lit(threshold))
+        .where(small * F.lit(den) >= large * F.lit(num))
         .select(group, "a", "b")
         .distinct()
     )
@@ -196,7 +200,8 @@ def similar_pairs(
     scored = both.withColumn("shared", shared).withColumn(
         "score", F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
     )
-    return scored.where(F.col("score") >= threshold).select(group, "a", "b", "copies_a", "copies_b", "score")
+    either = F.col("size_a") + F.col("size_b") - F.col("shared")
+    return scored.where(F.col("shared") * F.lit(den) >= either * F.lit(num)).select(group, "a", "b", "copies_a", "copies_b", "score")
 
 
 def first_comparisons(profiles: DataFrame, comparisons: int = 60, most: int = 5) -> DataFrame:

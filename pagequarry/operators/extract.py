@@ -6,6 +6,8 @@ exploded list), and no step needs a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,29 @@ OPENING_CHARS = 400
 INLINE_SCRIPTS_PER_PAGE = 20
 
 
+def _last_of_name(entries: Column) -> Callable[[Column, Column], Column]:
+    """Of header names that differ in case alone, the last counts."""
+    return lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"])
+
+
+COOKIE_FIELDS = {"name": "string", "domain": "string", "secure": "boolean", "httponly": "boolean"}
+
+
+def _cookies(raw: DataFrame) -> Column:
+    """Cookies by field name, whatever other fields they have and in whatever order; missing fields are null."""
+    kind = "array<struct<" + ",".join(f"{n}:{t}" for n, t in COOKIE_FIELDS.items()) + ">>"
+    if "cookies" not in raw.columns:
+        return F.array().cast(kind)
+    given = {f.name.lower(): f.name for f in getattr(getattr(raw.schema["cookies"].dataType, "elementType", None), "fields", [])}
+    if not given:
+        return F.col("cookies").cast(kind)
+
+    def field(cookie: Column, name: str) -> Column:
+        return (cookie[given[name]] if name in given else F.lit(None)).cast(COOKIE_FIELDS[name]).alias(name)
+
+    return F.transform("cookies", lambda c: F.struct(*[field(c, n) for n in COOKIE_FIELDS])).cast(kind)
+
+
 def page_rows(raw: DataFrame) -> DataFrame:
     """Build page rows: lower-case header names; only html content is kept for parsing.
 
@@ -44,10 +69,10 @@ def page_rows(raw: DataFrame) -> DataFrame:
     def column(name: str, kind: str, default: Column) -> Column:
         return (F.col(name) if name in have else default).cast(kind).alias(name)
 
-    cookie_type = "array<struct<name:string,domain:string,secure:boolean,httponly:boolean>>"
     headers = (
-        F.map_from_entries(
-            F.transform(F.map_entries("headers"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+        let(
+            F.transform(F.map_entries("headers"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))),
+            lambda entries: F.map_from_entries(F.filter(entries, _last_of_name(entries))),
         )
         if "headers" in have
         else F.create_map().cast("map<string,string>")
@@ -63,8 +88,8 @@ def page_rows(raw: DataFrame) -> DataFrame:
         column("depth", "int", F.lit(0)),
         column("load_time", "double", F.lit(None)),
         headers.alias("headers"),
-        column("cookies", cookie_type, F.array()),
-        F.length("html").cast("bigint").alias("html_size"),
+        _cookies(raw).alias("cookies"),
+        F.octet_length("html").cast("bigint").alias("html_size"),
         F.when(is_html, F.col("html")).alias("html"),
     )
 
@@ -99,7 +124,7 @@ def internal_links(tokens: Column, page_url: Column) -> Column:
     """Distinct same-host page links in order of appearance, fragments cut."""
     hrefs = F.transform(
         F.filter(tokens, lambda t: M.opens(t, "a") & M.attr(t, "href").isNotNull()),
-        lambda t: F.trim(M.attr(t, "href")),
+        lambda t: U.clean_link(M.attr(t, "href")),
     )
     wanted = F.filter(hrefs, lambda h: (h != "") & ~h.rlike(SKIPPED_TARGETS))
 
@@ -137,7 +162,7 @@ def _resource_row(t: Column, pos: Column, parts: Column) -> Column:
     """Struct (rank, pos, url, resource_type) of one resource-loading tag, else null."""
     tag = t["tag"]
     rank = F.coalesce(*[F.when(tag == name, F.lit(r)) for name, (r, _, _) in _RESOURCE_TAGS.items()])
-    source = F.trim(F.when(tag == "link", M.attr(t, "href")).otherwise(M.attr(t, "src")))
+    source = U.clean_link(F.when(tag == "link", M.attr(t, "href")).otherwise(M.attr(t, "src")))
 
     def of(url: Column) -> Column:
         kind = (
@@ -333,7 +358,7 @@ def script_urls(pages: DataFrame) -> DataFrame:
     tags = F.filter(F.col("tokens"), lambda t: M.opens(t, "script") & M.filled(M.attr(t, "src")))
     sources = let(
         U.base_parts(F.col("url")),
-        lambda parts: F.transform(tags, lambda t: U.resolve(parts, F.trim(M.attr(t, "src")))),
+        lambda parts: F.transform(tags, lambda t: U.resolve(parts, U.clean_link(M.attr(t, "src")))),
     )
     return staged.select("scan_id", "seq", F.posexplode(sources).alias("pos", "script_url")).withColumn(
         "pos", F.col("pos").cast("bigint")

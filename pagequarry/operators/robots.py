@@ -7,11 +7,8 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import urls as U
 
-# Fixed value: the crawler name whose groups apply besides '*'.
-AGENT = "wisewebaibot"
 
-
-def robots_rules(bodies: DataFrame, agent: str = AGENT) -> DataFrame:
+def robots_rules(bodies: DataFrame, agent: str) -> DataFrame:
     """Rules that apply to the agent: (host, pos, kind, value), kind being allow, disallow, sitemap or crawl-delay.
 
     ``bodies`` has host, base_url and body. An agent line replaces the one before

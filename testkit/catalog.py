@@ -290,7 +290,7 @@ def address_policy_ipv6(spark, d):
     return hosts.address_policy(resolved.select("host").distinct(), resolved)
 
 
-_BODY = """'# rules' || chr(10) || 'Disallow: /early' || chr(10) || 'User-agent: otherbot' || chr(10) || 'Disallow: /' || chr(10) || 'User-Agent: wisewebaibot,foo' || chr(10)
+_BODY = """'# rules' || chr(10) || 'Disallow: /early' || chr(10) || 'User-agent: otherbot' || chr(10) || 'Disallow: /' || chr(10) || 'User-Agent: auditbot,foo' || chr(10)
  || 'Disallow: /fr' || chr(10) || 'Allow: /fr/' || CAST(first_page % 9 AS STRING) || chr(10) || 'Crawl-delay: ' || CASE WHEN first_page % 2 = 0 THEN '2.5' ELSE 'soon' END || chr(10)
  || 'Sitemap: /map.xml' || chr(10) || 'User-agent: *' || chr(10) || 'Disallow: /en/1' || chr(10) || 'Disallow:' || chr(10) || 'Crawl-delay: 9'"""
 
@@ -311,14 +311,14 @@ _ROBOT_CTES = dict(
 
 @query("robots_rules", "SELECT host, pos, kind, value FROM robotrules", **_ROBOT_CTES)
 def robots_rules(spark, d):
-    return robots.robots_rules(_bodies(spark, d))
+    return robots.robots_rules(_bodies(spark, d), "auditbot")
 
 
 @query("robots_can_fetch", f"""SELECT page_id, path, EXISTS (SELECT 1 FROM robotrules r WHERE r.host = p.host AND kind = 'allow' AND starts_with(path, value))
  OR NOT EXISTS (SELECT 1 FROM robotrules r WHERE r.host = p.host AND kind = 'disallow' AND starts_with(path, value)) AS allowed
  FROM (SELECT page_id, {X.HOST} AS host, regexp_replace(CASE WHEN {X.PATH} = '' THEN '/' ELSE {X.PATH} END, '/+', '/', 'g') AS path FROM pages) p""", **_ROBOT_CTES)
 def robots_can_fetch(spark, d):
-    rules = robots.robots_rules(_bodies(spark, d))
+    rules = robots.robots_rules(_bodies(spark, d), "auditbot")
     return robots.can_fetch(X.table(spark, d, "pages").select("page_id", "url"), rules).select("page_id", "path", "allowed")
 
 

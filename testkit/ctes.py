@@ -148,7 +148,7 @@ def _page_ctes(p: str) -> dict[str, str]:
  lambda s: trim(regexp_extract(s, '(?is)^<script\\b[^>]*>(.*?)</script\\s*>$', 1))), lambda b: b <> '') AS inline_scripts
  FROM px{p}""",
         f"prof{p}": f"""SELECT x.*, t.text, t.title, t.json_ld, t.noindex_metas, t.inline_scripts, g.* EXCLUDE (scan_id, seq),
- length(x.html) AS html_size, CASE WHEN t.text = '' THEN 0 ELSE len(string_split(t.text, ' ')) END AS word_count,
+ octet_length(encode(x.html)) AS html_size, CASE WHEN t.text = '' THEN 0 ELSE len(string_split(t.text, ' ')) END AS word_count,
  CASE WHEN t.text <> '' THEN sha256(substr(t.text, 1, 400)) END AS opening_sha,
  CASE WHEN g.canonical_href <> '' THEN {join('x.final_url', 'g.canonical_href')} END AS canonical_url,
  CASE WHEN g.description <> '' THEN g.description END AS meta_description,

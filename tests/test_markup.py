@@ -110,3 +110,29 @@ def test_only_html_is_parsed_and_headers_are_lowered(spark):
     )
     a, b = extract.page_rows(df).orderBy("seq").collect()
     assert a.headers == {"x-a": "1"} and a.html == "<h1>x</h1>" and b.html is None and b.html_size == 10
+
+
+def test_page_rows_take_odd_headers_cookies_and_texts(spark):
+    from pagequarry.operators.extract import page_rows
+
+    raw = spark.createDataFrame(
+        [("s", 0, "https://s.example/", "<p>é</p>", {"Server": "one", "server": "two"}, [("/", "d.example", True, "n", False, "Lax")])],
+        "scan_id string, seq int, url string, html string, headers map<string,string>, "
+        "cookies array<struct<path:string,domain:string,httponly:boolean,name:string,secure:boolean,samesite:string>>")
+    row = page_rows(raw).first()
+    assert row.headers == {"server": "two"} and row.html_size == 9
+    assert row.cookies[0].asDict() == {"name": "n", "domain": "d.example", "secure": False, "httponly": True}
+
+
+def test_links_lose_tabs_and_line_ends(spark):
+    from pyspark.sql import functions as F
+
+    from pagequarry.functions import markup as M
+    from pagequarry.functions import urls as U
+    from pagequarry.operators.extract import internal_links
+
+    html = '<a href="\n/x">1</a><a href=" /y\t">2</a><a href="/a\nb">3</a>'
+    pages = spark.createDataFrame([("https://s.example/", html)], "url string, html string").withColumn("tokens", M.tokens(F.col("html")))
+    assert [str(x) for x in pages.select(internal_links(F.col("tokens"), F.col("url"))).first()[0]] == [
+        "https://s.example/x", "https://s.example/y", "https://s.example/ab"]
+    assert pages.select(U.join_url(F.col("url"), F.lit("/p\tq\n"))).first()[0] == "https://s.example/pq"

@@ -90,11 +90,11 @@ def test_layers(spark):
 
 def test_robots(spark):
     body = (
-        "Disallow: /before\r\nUser-agent: other\nDisallow: /\nUser-agent: a, wisewebaibot\nDisallow: /missed\n"
+        "Disallow: /before\r\nUser-agent: other\nDisallow: /\nUser-agent: a, auditbot\nDisallow: /missed\n"
         "User-agent: *\nDisallow: /p # x\nDisallow:\nAllow: /p/ok\nCrawl-delay: -3\nCrawl-delay: 5\nSitemap: s.xml\nnonsense\n"
     )
     bodies = spark.createDataFrame([("s.example", "https://s.example/d/", body)], "host string, base_url string, body string")
-    rules = robots.robots_rules(bodies)
+    rules = robots.robots_rules(bodies, "auditbot")
     assert [(r.kind, r.value) for r in rules.orderBy("pos").collect()] == [
         ("disallow", "/p # x"), ("allow", "/p/ok"), ("crawl-delay", "0.0"), ("sitemap", "https://s.example/d/s.xml")]
     simple = spark.createDataFrame([("s.example", 1, "disallow", "/p"), ("s.example", 2, "allow", "/p/ok")], "host string, pos bigint, kind string, value string")
@@ -189,3 +189,12 @@ def test_writing_a_scan_again_replaces_it(spark, tmp_path):
     replace_scans(spark.createDataFrame([("a", 1), ("b", 2)], "scan_id string, x int"), path)
     replace_scans(spark.createDataFrame([("a", 3), ("a", 4)], "scan_id string, x int"), path)
     assert sorted((r.scan_id, r.x) for r in spark.read.parquet(path).collect()) == [("a", 3), ("a", 4), ("b", 2)]
+
+
+def test_pairs_exactly_at_the_threshold_are_kept(spark):
+    from pagequarry.operators.duplicates import similar_pairs
+
+    shared = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(105)]
+    docs = spark.createDataFrame([("g", 1, " ".join(shared)), ("g", 2, " ".join(shared[:60]))], "g string, d int, t string")
+    rows = similar_pairs(docs, "g", "d", "t", threshold=0.55).collect()
+    assert [(r.a, r.b, r.score) for r in rows] == [(1, 2, 0.55)]
