@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -44,9 +45,11 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), "captured", payload.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("payload_digest", F.sha2(F.encode("payload", "UTF-8"), 256))
     narrow = materialize(rows.select("page_id", "payload_bytes", "payload_digest"), "payloads")
-    several = (
+    # A small table of repeated digests is broadcast by Spark, so payloads aren't shuffled for it; a large one is joined by digest.
+    several = materialize(
         narrow.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("payload_digest")
-        .agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        .agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
+        "repeated-payloads",
     )
     first = F.when((F.col("payload_bytes") >= LEAST_REVISIT) & (F.col("page_id") > F.col("first_page")), F.col("first_page"))
     return rows.join(several, "payload_digest", "left").withColumn("refers_to", first).drop("first_page")
@@ -77,13 +80,13 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(records_: DataFrame, total_bytes: int, path: str, file_bytes: int = FILE_BYTES) -> None:
-    """Write records as archive files of about ``file_bytes``: the closing line ends are the separator of Spark's text writer.
+    """Write records as gzipped archive files of about ``file_bytes`` each before compression: the closing line ends are the separator of Spark's text writer.
 
     Records are dealt at random by their own hash, so equal pages don't meet in one file.
     """
     files = max(1, -(-total_bytes // file_bytes))
     dealt = records_.repartition(files, F.xxhash64("page_id", F.substring("record", 1, 400)))
-    dealt.select(F.col("record").alias("value")).write.option("lineSep", CRLF * 2).text(path)
+    dealt.select(F.col("record").alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
 def url_key(url: str) -> str:
@@ -103,7 +106,7 @@ _FIELD = re.compile(rb"^([\w-]+): ?(.*)$", re.M)
 
 
 def read_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, bytes, header fields, block) of each record of an archive file; lengths come from the headers, never from separators."""
+    """(offset, bytes, header fields, block) of each record of an uncompressed archive file; lengths come from the headers, never from separators."""
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
@@ -125,7 +128,7 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             run = []
-            for offset, size, fields, block in read_records(data.as_py()):
+            for offset, size, fields, block in read_records(gzip.decompress(data.as_py())):
                 head, _, payload = block.partition(b"\r\n\r\n")
                 kind = fields["warc-type"]
                 length = int(dict(_FIELD.findall(head))[b"Content-Length"])
