@@ -2,35 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagequarry.functions.binding import let
 
-# The named character references that are decoded.
-NAMED_ENTITIES = {
-    "lt": "<",
-    "gt": ">",
-    "quot": '"',
-    "apos": "'",
-    "nbsp": " ",
-    "copy": "©",
-    "reg": "®",
-    "trade": "™",
-    "middot": "·",
-    "bull": "•",
-    "hellip": "…",
-    "ndash": "–",
-    "mdash": "—",
-    "lsquo": "‘",
-    "rsquo": "’",
-    "ldquo": "“",
-    "rdquo": "”",
-    "laquo": "«",
-    "raquo": "»",
-    "euro": "€",
-}
-
 RAW_TEXT_ELEMENTS = (
     r"(?is)<!--.*?-->"
     r"|<script\b[^>]*>.*?</script\s*>"
@@ -82,19 +61,23 @@ def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
     return out
 
 
-_REFERENCE = r"&(?:[a-zA-Z]{2,8}|#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7});"
+# What stands behind the "&" of a character reference.
+_REFERENCE = r"^([a-zA-Z][a-zA-Z0-9]{1,31}|#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7});"
+
 
+@functools.cache
+def _named_references() -> str:
+    return "\u0001".join(f"{name[:-1]}\u0002{chars}" for name, chars in html5.items() if name.endswith(";"))
 
-def _entity_map() -> Column:
-    def quote(value: str) -> str:
-        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    return F.expr("map(" + ", ".join(f"{quote(f'&{n};')}, {quote(c)}" for n, c in NAMED_ENTITIES.items()) + ")")
+def _by_name(name: Column) -> Column:
+    """What a named reference stands for, else null. The map is made from constants, so it is folded into one literal."""
+    return F.try_element_at(F.str_to_map(F.lit(_named_references()), F.lit("\u0001"), F.lit("\u0002")), name)
 
 
 def _code_point(ref: Column) -> Column:
-    digits = F.regexp_extract(ref, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
-    is_hex = F.lower(F.substring(ref, 3, 1)) == "x"
+    digits = F.regexp_extract(ref, r"^#[xX]?([0-9a-fA-F]+)$", 1)
+    is_hex = F.lower(F.substring(ref, 2, 1)) == "x"
     number = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).try_cast("bigint")
 
     def to_char(n: Column) -> Column:
@@ -105,20 +88,18 @@ def _code_point(ref: Column) -> Column:
 
 
 def _decode(text: Column) -> Column:
-    # Only references that occur are replaced; unknown names stay as they are.
-    found = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))), lambda r: r != "&amp;")
+    def piece(p: Column, i: Column) -> Column:
+        def of(ref: Column) -> Column:
+            char = F.when(F.startswith(ref, F.lit("#")), _code_point(ref)).otherwise(_by_name(ref))
+            return F.coalesce(F.concat(char, F.substring(p, F.length(ref) + 2, F.length(p))), F.concat(F.lit("&"), p))
 
-    def char(ref: Column) -> Column:
-        return F.when(F.startswith(ref, F.lit("&#")), _code_point(ref)).otherwise(
-            F.coalesce(F.try_element_at(_entity_map(), ref), ref)
-        )
+        return F.when(i == 0, p).otherwise(let(F.regexp_extract(p, _REFERENCE, 1), of))
 
-    decoded = F.aggregate(found, text, lambda acc, ref: F.replace(acc, ref, char(ref)))
-    return F.replace(decoded, F.lit("&amp;"), F.lit("&"))
+    return F.array_join(F.transform(F.split(text, "&"), piece), "")
 
 
 def decode_entities(text: Column) -> Column:
-    """Decode common named and all numeric character references; ``&amp;`` goes last."""
+    """Decode all named and numeric character references, each once, from left to right; unknown names stay."""
     return let(text, lambda t: F.when(F.contains(t, F.lit("&")), _decode(t)).otherwise(t))
 
 

@@ -9,7 +9,8 @@ from pagequarry.operators.compare import latest_finished
 from pagequarry.operators.correlate import ORDER
 from pagequarry.operators.scoring import CATEGORIES
 
-MOST_LISTED = 500
+# Fixed value: the status of a finding nobody has worked on yet.
+NEW_STATUS = "OPEN"
 
 
 def owned(rows: DataFrame, websites: DataFrame, user_id: Column | int, key: str = "website_id") -> DataFrame:
@@ -19,30 +20,38 @@ def owned(rows: DataFrame, websites: DataFrame, user_id: Column | int, key: str
 
 def list_findings(
     findings: DataFrame, scan_id: str | None = None, category: str | None = None, severity: str | None = None,
-    status: str | None = None, limit: int | None = MOST_LISTED, offset: int = 0,
+    status: str | None = None, limit: int | None = None, offset: int = 0,
 ) -> DataFrame:
-    """Filtered findings in alphabetical order of severity; filters reach the scan, limits become a top-k."""
-    out = findings
+    """Filtered findings in alphabetical order of severity; filters reach the scan, limits become a top-k.
+
+    Findings straight from an audit have no status column: they are new.
+    """
+    out = findings if "status" in findings.columns else findings.withColumn("status", F.lit(NEW_STATUS))
     for column, value in (("scan_id", scan_id), ("category", category and category.upper()),
                           ("severity", severity and severity.upper()), ("status", status and status.upper())):
         if value is not None:
             out = out.where(F.col(column) == value)
-    out = out.orderBy("severity", "scan_id", *ORDER)
-    out = out.offset(offset) if offset else out
-    return out if limit is None else out.limit(min(limit, MOST_LISTED))
+    return _part(out.orderBy("severity", "scan_id", *ORDER), limit, offset)
+
+
+def _part(ordered: DataFrame, limit: int | None, offset: int) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit``. An offset alone would send all rows to one task, so it needs a limit."""
+    if limit is None:
+        if offset:
+            raise ValueError("an offset needs a limit")
+        return ordered
+    return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
 
 
 def list_recommendations(
     recommendations: DataFrame, scan_id: str | None = None, category: str | None = None, priority: str | None = None,
-    limit: int | None = MOST_LISTED, offset: int = 0,
+    limit: int | None = None, offset: int = 0,
 ) -> DataFrame:
     out = recommendations
     for column, value in (("scan_id", scan_id), ("category", category and category.upper()), ("priority", priority and priority.upper())):
         if value is not None:
             out = out.where(F.col(column) == value)
-    out = out.orderBy(F.desc("priority_score"), "scan_id", "position")
-    out = out.offset(offset) if offset else out
-    return out if limit is None else out.limit(limit)
+    return _part(out.orderBy(F.desc("priority_score"), "scan_id", "position"), limit, offset)
 
 
 def display_order(recommendations: DataFrame) -> DataFrame:
@@ -81,9 +90,7 @@ def user_stats(websites: DataFrame, scans: DataFrame) -> DataFrame:
 
 
 def newest_first(rows: DataFrame, column: str = "started_at", limit: int | None = None, offset: int = 0, *ties: str) -> DataFrame:
-    out = rows.orderBy(F.desc_nulls_last(column), *ties)
-    out = out.offset(offset) if offset else out
-    return out if limit is None else out.limit(limit)
+    return _part(rows.orderBy(F.desc_nulls_last(column), *ties), limit, offset)
 
 
 def dashboard(websites: DataFrame, scans: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pagequarry.operators import correlate, extract, graph, scoring, technology
 from pagequarry.operators.rules.pages import page_facts
 from pagequarry.plans.registry import AuditInputs, Family, all_findings
 from pagequarry.session import materialize
-from pagequarry.sources.tables import replace_scans
+from pagequarry.sources.tables import write_run
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,7 @@ def audit(
 
 
 def write_audit(result: Audit, folder: str) -> None:
-    """Store every table of an audit; scans already stored are replaced."""
+    """Store every table of an audit; scans already stored are replaced, all tables at once (see ``write_run``)."""
     tables = {
         "page_profiles": result.profiles.drop("text"),
         "resources": result.resources,
@@ -71,5 +71,4 @@ def write_audit(result: Audit, folder: str) -> None:
         "graph_nodes": result.nodes(),
         "graph_edges": result.edges(),
     }
-    for name, table in tables.items():
-        replace_scans(table, f"{folder.rstrip('/')}/{name}")
+    write_run(tables, result.facts, folder)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,13 +28,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def replace_scans(rows: DataFrame, path: str, key: str = "scan_id", buckets: int = 64) -> None:
-    """Write rows so that the scans they hold replace their earlier versions.
+#: The table that says which runs hold a scan; the last of them counts.
+RUNS = "runs"
+
+
+def write_run(tables: dict[str, DataFrame], scans: DataFrame, folder: str, key: str = "scan_id") -> None:
+    """Store the tables of one run; for every scan in ``scans`` they replace whatever earlier runs stored.
 
-    Files are laid out by scan bucket and scan; only the partitions present in
-    ``rows`` are overwritten, so writing a scan again is safe. Rows are spread over
-    tasks at random within a scan, so a large scan is no hot task.
+    A scan of which a table has no row now has none there, too. Each table gets a folder for the run, with files
+    of even size sorted by scan (no folder per scan; a large scan is spread over files). The run counts once its
+    scans are listed in the table of runs, which is written last: readers see all tables of a run or none.
     """
-    bucket = F.pmod(F.hash(key), F.lit(buckets))
-    laid_out = rows.withColumn("scan_bucket", bucket)
-    laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_bucket", key).parquet(path)
+    run = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    root = folder.rstrip("/")
+    for name, rows in tables.items():
+        rows.hint("rebalance", key).sortWithinPartitions(key).write.mode("errorifexists").parquet(f"{root}/{name}/run={run}")
+    scans.select(key).distinct().withColumn("run", F.lit(run)).write.mode("append").parquet(f"{root}/{RUNS}")
+
+
+def read_current(spark: SparkSession, folder: str, name: str, key: str = "scan_id") -> DataFrame:
+    """A stored table with the rows of each scan's last run."""
+    root = folder.rstrip("/")
+    last = spark.read.parquet(f"{root}/{RUNS}").groupBy(key).agg(F.max("run").alias("run"))
+    return spark.read.parquet(f"{root}/{name}").join(last, [key, "run"]).drop("run")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,8 @@ from pagequarry.operators import (
 from pagequarry.operators.rules import pages as page_rules
 from pagequarry.operators.rules import resources as resource_rules
 from pagequarry.plans.audit import Audit, audit
-from pagequarry.session import materialize
+from pagequarry.session import materialize, stage_root
+from pagequarry.sources.tables import read_current, write_run
 from pagequarry.streaming.admission import admit
 from testkit import ctes as C
 from testkit import fixtures as X
@@ -741,7 +743,19 @@ def developer_report_heads(spark, d):
 
 @query("list_findings", "SELECT finding_id, scan_id, severity FROM fnd WHERE category = 'SEO' ORDER BY severity, scan_id, rule_order, key1, key2 LIMIT 500 OFFSET 25")
 def list_findings(spark, d):
-    return reports.list_findings(audited(spark, d).findings, category="seo", offset=25).select("finding_id", "scan_id", "severity")
+    return reports.list_findings(audited(spark, d).findings, category="seo", status="open", limit=500, offset=25).select("finding_id", "scan_id", "severity")
+
+
+@query("rescanned_findings", "SELECT scan_id, finding_id FROM fnd WHERE length(scan_id) % 2 = 1 OR severity = 'HIGH'")
+def rescanned_findings(spark, d):
+    """Findings stored twice: the second run has half of the scans, and of those the severe findings alone."""
+    folder = f"{stage_root(spark).rstrip('/')}/pagequarry-stages/rescan-{uuid.uuid4().hex}"
+    a = audited(spark, d)
+    again = a.facts.select("scan_id").where("length(scan_id) % 2 = 0")
+    severe = a.findings.where("severity = 'HIGH'").join(again, "scan_id", "left_semi")
+    write_run({"findings": a.findings}, a.facts, folder)
+    write_run({"findings": severe}, again, folder)
+    return read_current(spark, folder, "findings").select("scan_id", "finding_id")
 
 
 @query("list_recommendations", "SELECT scan_id, rule_id, priority_score FROM ranked WHERE priority = 'P3' ORDER BY priority_score DESC, scan_id, position LIMIT 100", **_REC)

@@ -73,6 +73,8 @@ def test_text_is_read_whole(spark):
 def test_entities(spark):
     df = spark.createDataFrame([("&lt;b&gt; &amp;lt; &#233;&#x1F600; &copy; &unknown; &#0; a&b",)], "t string")
     assert df.select(TX.decode_entities(F.col("t"))).first()[0] == "<b> &lt; é😀 © &unknown; � a&b"
+    df = spark.createDataFrame([("&#38;lt; &lt; &#38;amp; caf&eacute; &Auml;&frac12;&&;&",)], "t string")
+    assert df.select(TX.decode_entities(F.col("t"))).first()[0] == "&lt; < &amp; café Ä½&&;&"
 
 
 def test_whitespace_truncate_control(spark):

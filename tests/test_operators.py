@@ -2,10 +2,11 @@ import random
 from collections import Counter, deque
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from pagequarry.operators import compare, diff, duplicates, graph, hosts, model_output, robots
-from pagequarry.sources.tables import replace_scans
+from pagequarry.operators import compare, diff, duplicates, graph, hosts, model_output, reports, robots
+from pagequarry.sources.tables import read_current, write_run
 from pagequarry.streaming.admission import admit
 
 
@@ -185,10 +186,28 @@ def test_latest_scans(spark):
 
 
 def test_writing_a_scan_again_replaces_it(spark, tmp_path):
-    path = str(tmp_path / "t")
-    replace_scans(spark.createDataFrame([("a", 1), ("b", 2)], "scan_id string, x int"), path)
-    replace_scans(spark.createDataFrame([("a", 3), ("a", 4)], "scan_id string, x int"), path)
-    assert sorted((r.scan_id, r.x) for r in spark.read.parquet(path).collect()) == [("a", 3), ("a", 4), ("b", 2)]
+    def write(rows, *scans):
+        found = spark.createDataFrame(rows, "scan_id string, x int")
+        write_run({"t": found, "u": found.where("x > 2")}, spark.createDataFrame([(s,) for s in scans], "scan_id string"), str(tmp_path))
+
+    def stored(name):
+        return sorted((r.scan_id, r.x) for r in read_current(spark, str(tmp_path), name).collect())
+
+    write([("a", 1), ("b", 2), ("c", 7), ("c", 8)], "a", "b", "c")
+    assert stored("u") == [("c", 7), ("c", 8)]
+    write([("a", 3), ("a", 4), ("c", 8)], "a", "c")
+    assert stored("t") == [("a", 3), ("a", 4), ("b", 2), ("c", 8)]
+    write([], "c")
+    assert stored("t") == [("a", 3), ("a", 4), ("b", 2)] and stored("u") == [("a", 3), ("a", 4)]
+
+
+def test_listings_keep_the_given_limit_and_know_new_findings(spark):
+    rows = [("s", "HIGH", "SEO", i, 0, 0) for i in range(800)]
+    found = spark.createDataFrame(rows, "scan_id string, severity string, category string, rule_order int, key1 int, key2 int")
+    assert reports.list_findings(found, status="open", limit=700, offset=50).count() == 700
+    assert reports.list_findings(found).count() == 800 and reports.list_findings(found, status="fixed").count() == 0
+    with pytest.raises(ValueError):
+        reports.list_findings(found, offset=5)
 
 
 def test_pairs_exactly_at_the_threshold_are_kept(spark):
