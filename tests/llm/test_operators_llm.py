@@ -244,6 +244,22 @@ def test_large_blocks_of_near_lines_stay_whole(spark):
     assert near <= {r.doc_id for r in got.collect()} and got.select("first_key").distinct().count() == 1
 
 
+def line_groups_of(df, **how):
+    groups = {}
+    for r in fuzzy_lines.line_groups(df, **how).collect():
+        groups.setdefault((r.first_key, r.first_pos), set()).add((r.doc_id, r.pos))
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_lines_that_differ_in_numbers_stay_and_short_ones_are_copies(spark):
+    bills = ["Invoice 1001 of 3 May paid 20 euro", "Invoice 2977 of 9 May paid 845 euro"]
+    han = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65"
+    rows = [(1, "\n".join([*bills, "Menu", "12 34", han])), (2, "\n".join(["menu!", "12, 34", "12 35", han[:-1] + "\u884c", "--"]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert line_groups_of(df) == {frozenset({(1, 2), (2, 0)}), frozenset({(1, 3), (2, 1)}), frozenset({(1, 4), (2, 3)})}
+    assert {r.doc_id: r.text for r in fuzzy_lines.drop_repeated_lines(df).collect()}[1] == rows[0][1]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_agrees_with_its_oracle(spark, name):
     assert compare(queries.QUERIES[name](spark, FOLDER), queries.ORACLES[name], connect(FOLDER)) == ""
