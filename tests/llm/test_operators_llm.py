@@ -244,6 +244,45 @@ def test_large_blocks_of_near_lines_stay_whole(spark):
     assert near <= {r.doc_id for r in got.collect()} and got.select("first_key").distinct().count() == 1
 
 
+def plain_line_groups(docs):
+    """{(key, pos): group} by comparing all lines with one another."""
+    places = {}
+    for key, text in docs:
+        for pos, line in enumerate((text or "").split("\n")):
+            if words := tuple(re.findall(r"[^\W_]+", line.lower())):
+                places.setdefault(words, []).append((key, pos))
+    lines = sorted(places, key=len)
+    parent = list(range(len(lines)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(lines):
+        for j in range(i + 1, len(lines)):
+            b = lines[j]
+            most = len(b) // 5
+            if len(b) - len(a) > most:
+                break
+            if root(i) != root(j) and len(b) - len(set(a) & set(b)) <= most + len(b) - len(set(b)) and edits(a, b) <= most:
+                parent[root(i)] = root(j)
+    groups = {}
+    for i, line in enumerate(lines):
+        groups.setdefault(root(i), []).extend(places[line])
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (x != y)))
+        row = new
+    return row[-1]
+
+
 def line_groups_of(df, **how):
     groups = {}
     for r in fuzzy_lines.line_groups(df, **how).collect():
@@ -251,6 +290,24 @@ def line_groups_of(df, **how):
     return {frozenset(g) for g in groups.values()}
 
 
+def test_line_groups_are_those_of_all_pairs(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    draw = random.Random(9)
+    words = [f"v{i}" for i in range(3000)]
+    extra = []
+    for n in [*range(1, 31), 40, 60, 90] * 3:
+        line = draw.sample(words, n)
+        edited = list(line)
+        for _ in range(n // 5):
+            at = draw.randrange(len(edited))
+            edited[at:at + draw.randrange(2)] = [draw.choice(words)] * draw.randrange(2)
+        extra += [" ".join(line), " ".join(edited)]
+    df = docs.unionByName(spark.createDataFrame([(10_000_000, "\n".join(extra))], docs.schema)).localCheckpoint()
+    want = plain_line_groups([(r.doc_id, r.text) for r in df.dropDuplicates(["doc_id"]).collect()])
+    got = line_groups_of(df)
+    assert got == want and sum(any(k == 10_000_000 for k, _ in g) for g in got) > 40
+
+
 def test_lines_that_differ_in_numbers_stay_and_short_ones_are_copies(spark):
     bills = ["Invoice 1001 of 3 May paid 20 euro", "Invoice 2977 of 9 May paid 845 euro"]
     han = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65"
