@@ -308,6 +308,20 @@ def test_line_groups_are_those_of_all_pairs(spark):
     assert got == want and sum(any(k == 10_000_000 for k, _ in g) for g in got) > 40
 
 
+def test_crowded_blocks_join_what_small_ones_do(spark):
+    draw = random.Random(5)
+    rows = []
+    for family in range(80):
+        words = ["alpha"] * 9 + ["beta"] * 9 + [f"u{family}x{i}" for i in range(6)] + ["gamma"] * 6
+        twin = list(words)
+        for at in draw.sample(range(len(words)), 5):
+            twin[at] = draw.choice(["alpha", "beta", "gamma", f"t{family}"])
+        rows += [(2 * family, " ".join(words)), (2 * family + 1, " ".join(twin))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = plain_line_groups(rows)
+    assert want and line_groups_of(df, small=2, piece=7) == want and line_groups_of(df, small=10_000) == want
+
+
 def test_lines_that_differ_in_numbers_stay_and_short_ones_are_copies(spark):
     bills = ["Invoice 1001 of 3 May paid 20 euro", "Invoice 2977 of 9 May paid 845 euro"]
     han = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65"
