@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,9 @@ from pagequarry.session import materialize
 
 #: A word is a run of anything but blank, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Members of a block that are compared in pairs at once; larger blocks go by their leader first and are then compared in pieces.
+SMALL_BLOCK = 32
+PIECE = 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -138,3 +141,41 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
             smallest.select("u", F.col("m").alias("v"))
         )
         now = materialize(small.distinct(), label)
+
+
+def shared_blocks(dealt: DataFrame, label: str) -> DataFrame:
+    """(h, block, size) of the blocks of ``dealt`` (h, block) that have several members."""
+    sized = dealt.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("block")))
+    return materialize(sized.where("size > 1"), f"{label}-blocks")
+
+
+def links_of_blocks(
+    shared: DataFrame, facts: DataFrame, fits: Column, verified: Callable[[DataFrame], DataFrame], label: str,
+    small: int = SMALL_BLOCK, piece: int = PIECE,
+) -> DataFrame:
+    """Links (a, b) between members (by ``h``) that share a block and are ``verified``, enough of them to join all that are.
+
+    ``facts`` has h, a weight n and the columns that ``fits`` (a condition on the structs x and y) reads. Blocks of up to
+    ``small`` members are compared in pairs. In a larger one each member is first compared with the heaviest one. What
+    is similar to that is joined already, so only the others are compared with all members, in pieces of about
+    ``piece`` of them. Both ways join the same members.
+    """
+    blocked = shared.join(facts, "h")
+    member = F.struct(*[c for c in facts.columns if c != "n"])
+    few = blocked.where(F.col("size") <= small).groupBy("block").agg(F.sort_array(F.collect_list(member)).alias("all"))  # ``small`` members at most
+    each = few.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.slice("all", F.col("i") + 2, F.lit(small))).alias("y"))
+    a_b = [F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")]
+    links = materialize(verified(each.where(fits).select(*a_b).distinct()), f"{label}-links")
+
+    crowded = materialize(blocked.where(F.col("size") > small).select("block", "size", "n", member.alias("x")), f"{label}-crowded")
+    if not crowded.take(1):
+        return links
+    leaders = crowded.groupBy("block").agg(F.max(F.struct("n", "x")).alias("top")).select("block", F.col("top.x").alias("y"))
+    star = crowded.join(leaders, "block").where("x.h <> y.h")
+    led = materialize(verified(star.where(fits).select(*a_b).distinct()), f"{label}-leaders")
+    pieces = F.ceil(F.col("size") / piece).cast("int")
+    others = star.select("block", "size", "x", *a_b).join(led, ["a", "b"], "left_anti").select(
+        "block", "x", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+    all_of = crowded.select("block", F.col("x").alias("y"), F.pmod(F.col("x.h"), pieces.cast("bigint")).cast("int").alias("piece"))
+    met = others.join(all_of, ["block", "piece"]).where("x.h <> y.h").where(fits).select(*a_b).distinct()
+    return links.unionByName(led).unionByName(materialize(verified(met), f"{label}-others"))

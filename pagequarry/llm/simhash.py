@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import functools
 import itertools
-import random
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import connected_components, per_row, slices
+from pagequarry.llm.common import SMALL_BLOCK, connected_components, links_of_blocks, per_row, shared_blocks, slices
 from pagequarry.session import materialize
 
 SEED = 42
@@ -22,6 +20,8 @@ BITS = 64
 #: Fingerprints that one BK-tree holds at most; larger shards are split by more bits.
 TREE_NODES = 1024
 ALL = (1 << BITS) - 1
+#: Counters of how many texts have a shingle, and the share of texts they are taken from.
+COUNTERS, SAMPLE = 1 << 16, 16
 _hash = functools.partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
@@ -50,18 +50,6 @@ def majority(hashes: np.ndarray, block: int = 1 << 15) -> int:
     return sum(1 << int(i) for i in np.flatnonzero(2 * counts > len(hashes)))
 
 
-def damped(text: bytes | None, block: int = 1 << 15) -> int:
-    """A fingerprint of single words, each weighing the root of its count: a few changed words move few bits,
-    and words that every text has don't make all texts alike."""
-    counted = Counter((text or b"").lower().split())
-    hashes = np.fromiter(map(_hash, counted), np.uint64, len(counted))
-    weights = np.sqrt(np.fromiter(counted.values(), np.float64, len(counted)))
-    sums = np.zeros(BITS)
-    for start in range(0, len(hashes), block):
-        sums += weights[start:start + block] @ (_bit_rows(hashes[start:start + block]) * 2.0 - 1.0)
-    return sum(1 << int(i) for i in np.flatnonzero(sums > 0))
-
-
 def fingerprints(docs: DataFrame, key: str = "doc_id", body: str = "text", size: int = 3) -> DataFrame:
     """(key, fp bigint) of every row: the majority fingerprint of its word shingles."""
     rows = docs.select(F.col(key).alias("id"), F.col(body).cast("string").alias("body"))
@@ -130,13 +118,6 @@ def pigeonhole_masks(radius: int, blocks: int, fixed: int = 0) -> list[int]:
     return [fixed | sum(some) for some in itertools.combinations(parts, max(1, blocks - radius))]
 
 
-def sampled_masks(tables: int, bits: int, seed: int = SEED) -> list[int]:
-    """Masks of ``bits`` bits drawn by a seed. Values at distance d share one with probability
-    1 - (1 - (1 - d / 64) ** bits) ** tables, about."""
-    draw = random.Random(seed)
-    return [sum(1 << i for i in draw.sample(range(BITS), bits)) for _ in range(tables)]
-
-
 def _links_of_shards(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.zeros(0, np.int64)] * 3
@@ -222,79 +203,58 @@ def _text_key(body: str) -> list:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2")]
 
 
+def _shingle_levels(rows: DataFrame, size: int) -> np.ndarray:
+    """Roughly the logarithm of how many texts of a sample have a shingle of each counter; any values give the same links."""
+    sample = rows.where(F.pmod("t1", F.lit(SAMPLE)) == 0)
+    hits = per_row(sample, ["body"], "hits array<int>", lambda c: [[np.unique(shingle_hashes(t, size) % COUNTERS).tolist() for t in c[0]]])
+    levels = np.zeros(COUNTERS, np.uint8)
+    for row in hits.select(F.explode("hits").alias("c")).groupBy("c").count().toLocalIterator():  # COUNTERS rows at most
+        levels[row["c"]] = 2 * (1 + row["count"]).bit_length()
+    return levels
+
+
 def near_copies(
-    docs: DataFrame, key: str = "doc_id", body: str = "text", size: int = 5, similarity: float = 0.8,
-    radius: int = 8, tables: int = 40, bits: int = 24,
+    docs: DataFrame, key: str = "doc_id", body: str = "text", size: int = 5, similarity: float = 0.8, small: int = SMALL_BLOCK,
 ) -> DataFrame:
     """(t1, t2, key, group_id) of every text: texts linked by a Jaccard similarity of at least ``similarity`` of
     their ``size``-word shingle sets share the smallest key among them.
 
-    Candidates come from ``damped`` fingerprints in BK-trees over shards of sampled bits. First each candidate
-    group is compared with its middle text (nearest to the bitwise majority of the group), which settles
-    groups of many copies of one text in linear work; whatever isn't similar to the middle is compared along
-    all its candidate links. Every link that counts is checked on whole texts.
+    Exact: of n shingles, rare ones first, the first n - ceil(similarity * n) + 1 hold one that a similar text has among
+    its first, so texts that share one of these are compared, in full shingle sets.
     Texts of fewer than ``size`` words have one shingle, the whole text. Texts without a word (null, empty or
-    blank) and rows without a key are left out. (t1, t2) is the hash of the text, so equal texts are one row.
+    blank) and rows without a key are left out. (t1, t2) is the hash of the text, so equal texts are one row; links go by t1.
     """
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(body).cast("string").alias("body"), *_text_key(body))
-    prints = per_row(
-        rows, ["body"], "fp bigint, words int",
-        lambda c: [[_signed(damped(t)) for t in c[0]], [len((t or b"").split()) for t in c[0]]],
-    ).where("words > 0").select("key", "t1", "t2", "fp")
+    levels = docs.sparkSession.sparkContext.broadcast(_shingle_levels(rows, size))
+
+    def firsts(text: bytes | None) -> tuple[int, list[int]]:
+        hashes = np.unique(shingle_hashes(text, size))
+        rare = hashes[np.argsort(levels.value[(hashes % COUNTERS).astype(np.int64)], kind="stable")]
+        return len(hashes), rare[:len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1].view(np.int64).tolist()
+
+    dealt = per_row(rows, ["body"], "shingles int, blocks array<bigint>", lambda c: list(zip(*map(firsts, c[0]), strict=True))).where("shingles > 0")
     texts = materialize(
-        prints.groupBy("t1", "t2").agg(F.min("key").alias("key"), F.first("fp").alias("fp")), "texts",
-    )
-    nodes = materialize(texts.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
-    links = materialize(
-        hamming_links(nodes.select(F.col("fp").alias("id"), "fp"), radius, sampled_masks(tables, bits))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links",
-    )
-    roots = connected_components(links, "candidates").select(F.col("node").alias("fp"), "root")
-    # Texts of one fingerprint are candidates of one another too.
-    several = texts.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
-    grouped = texts.join(roots.select("fp", "root").unionByName(several.select("fp", F.col("fp").alias("root")))
-                         .groupBy("fp").agg(F.min("root").alias("root")), "fp")
-    members = materialize(grouped.select("key", "t1", "t2", "fp", "root"), "members")
-    votes = members.groupBy("root").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(BITS)],
-    )
-    bit = [F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(_signed(1 << i))).otherwise(F.lit(0)) for i in range(BITS)]
-    centre = votes.select("root", functools.reduce(lambda x, y: x.bitwiseOR(y), bit).alias("centre"))
-    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("centre")))
-    middle = members.join(centre, "root").groupBy("root").agg(F.min(F.struct(far.alias("far"), "key", "t1", "t2")).alias("m"))
-    middle = materialize(middle.select("root", F.col("m.key").alias("mid"), F.col("m.t1").alias("m1"), F.col("m.t2").alias("m2")), "middles")
-    # One pass over the texts that are candidates: their shingle sets.
-    wanted = members.select("t1", "t2", "key")
-    bodies = rows.join(wanted, ["t1", "t2", "key"], "left_semi").dropDuplicates(["t1", "t2"])
-    shingles = materialize(
-        per_row(bodies, ["body"], "shingles array<bigint>",
-                lambda c: [[np.unique(shingle_hashes(t, size)).view(np.int64).tolist() for t in c[0]]]).select("key", "t1", "t2", "shingles"),
-        "shingles",
-    )
-    similar = F.size(F.array_intersect("s", "r")) >= F.lit(similarity) * F.size(F.array_union("s", "r"))
-    own = shingles.select("key", F.col("shingles").alias("s"))
-    mids = middle.join(shingles.select(F.col("key").alias("mid"), F.col("shingles").alias("r")), "mid").select("root", "mid", "r")
-    tried = materialize(
-        members.select("key", "fp", "root").join(own, "key").join(mids, "root")
-        .select("key", "fp", "root", "mid", F.when(F.col("key") == F.col("mid"), True).otherwise(similar).alias("alike")), "tried",
-    )
-    first = tried.where("alike and key <> mid").select(F.col("key").alias("a"), F.col("mid").alias("b"))
-    # What isn't like the middle of its group: along its links, and against the other texts of its fingerprint.
-    others = tried.where("not alike").select("key", "fp")
-    by_print = tried.groupBy("fp").agg(F.min("key").alias("head"))
-    reach = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(
-        by_print.select(F.col("fp").alias("a"), F.col("fp").alias("b")))
-    pairs = (
-        others.join(reach, others["fp"] == reach["a"]).join(by_print.select(F.col("fp").alias("b"), "head"), "b")
-        .where("key <> head").select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
-    )
-    second = (
-        pairs.join(own.select(F.col("key").alias("a"), "s"), "a").join(own.select(F.col("key").alias("b"), F.col("s").alias("r")), "b")
-        .where(similar).select("a", "b")
-    )
-    groups = connected_components(first.unionByName(second), "near-copies").select(F.col("node").alias("key"), "root")
-    return texts.join(groups, "key", "left").select(
-        "t1", "t2", F.col("key").alias(key), F.coalesce("root", "key").alias("group_id"))
+        dealt.groupBy("t1", "t2").agg(F.min("key").alias("key"), F.first("shingles").alias("shingles"), F.first("blocks").alias("blocks")), "texts")
+    shared = shared_blocks(texts.select(F.col("t1").alias("h"), F.explode("blocks").alias("block")), "text")
+    facts = texts.select(F.col("t1").alias("h"), F.lit(1).alias("n"), "shingles")
+    least, most = F.least("x.shingles", "y.shingles"), F.greatest("x.shingles", "y.shingles")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "text-pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("t1")).distinct()
+        wanted = texts.join(ends, "t1", "left_semi").select("t1", "t2", "key")
+        bodies = rows.join(wanted, ["t1", "t2", "key"], "left_semi")
+        sets = materialize(
+            per_row(bodies, ["body"], "s array<bigint>", lambda c: [[np.unique(shingle_hashes(t, size)).view(np.int64).tolist() for t in c[0]]])
+            .select("t1", "s").dropDuplicates(["t1"]), "shingles")
+        both = pairs.join(sets.select(F.col("t1").alias("a"), "s"), "a").join(sets.select(F.col("t1").alias("b"), F.col("s").alias("r")), "b")
+        return both.where(F.size(F.array_intersect("s", "r")) >= F.lit(similarity) * F.size(F.array_union("s", "r")) - 1e-9).select("a", "b")
+
+    links = links_of_blocks(shared, facts, least >= F.lit(similarity) * most - 1e-9, verified, "text", small)
+    roots = connected_components(links, "near-copies").select(F.col("node").alias("t1"), "root")
+    placed = materialize(texts.select("t1", "t2", "key").join(roots, "t1", "left").withColumn("root", F.coalesce("root", "t1")), "near-groups")
+    smallest = placed.groupBy("root").agg(F.min("key").alias("group_id"))
+    return placed.join(smallest, "root").select("t1", "t2", F.col("key").alias(key), "group_id")
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", body: str = "text", **how) -> DataFrame:

@@ -82,6 +82,29 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert sorted((r.doc_id for r in simhash.drop_near_copies(docs).collect())) == [2, 3, 7]
 
 
+def test_near_copies_are_those_of_all_pairs(spark):
+    draw = random.Random(11)
+    texts = []
+    for k in range(40):
+        words = [f"n{draw.randrange(4000)}" for _ in range(draw.randrange(60, 200))]
+        n = len(words)
+        added = [f"m{draw.randrange(4000)}" for _ in range((10 + k % 16) * n // 100)]
+        texts += [words, words + added, words[:(78 + k % 14) * n // 100], [w if draw.random() > 0.02 else "other" for w in words]]
+    texts += [texts[0][:3], [*texts[0][:3], "more"], texts[0][:3]]
+    rows = [(k, " ".join(words)) for k, words in enumerate(texts)]
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    group = list(range(len(sets)))
+    links = [(i, j) for j in group for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in range(4):
+        for i, j in links + links[::-1]:
+            group[i] = group[j] = min(group[i], group[j])
+    kept = [k for k, g in enumerate(group) if k == g]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert len(links) > 80
+    for small in (32, 2):
+        assert sorted(r.doc_id for r in simhash.drop_near_copies(df, small=small).collect()) == kept
+
+
 def test_fingerprints_and_components_against_counting(spark):
     docs = common.table(spark, FOLDER, "documents").select("doc_id", "text")
     prints = {}
