@@ -1,4 +1,4 @@
-"""Benchmark decontamination: spaced seeds find passages, and overlaps around the hits are checked word by word."""
+"""Benchmark decontamination: short runs of equal words find passages, and overlaps around them are checked word by word."""
 
 from __future__ import annotations
 
@@ -14,19 +14,17 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm.common import per_row
 
-#: Places of a window that a seed looks at; the others may hold any word. With nine of twelve places, windows with one
-#: substitution anywhere, and most with two or three, keep at least one seed.
-SEEDS = ("111010110111", "110111101011", "111101001111", "101101111011")
-SPAN = 12
 #: Items of fewer words match everywhere and prove nothing; they are left out.
 LEAST_WORDS = 5
 #: An overlap counts with this share of equal words ...
 SIMILAR = 0.75
-#: ... over at least so many words, or the whole item if it is shorter.
+#: ... of the whole item, or over at least so many words.
 LEAST_OVERLAP = 12
 #: Words of benchmark text that are sent to tasks at once; larger benchmarks take several passes.
 SLICE_WORDS = 1_000_000
-_WORD = re.compile(r"[^\W_]+")
+#: Letters of scripts without blanks are words of their own.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[^\W_{_UNSPACED}]+|(?!_)\w")
 _hash = functools.partial(xxhash.xxh64_intdigest, seed=5)
 
 
@@ -36,13 +34,19 @@ def words_of(text: bytes | None) -> np.ndarray:
     return np.fromiter(map(_hash, words), np.uint64, len(words))
 
 
-def _mixed(words: np.ndarray, places: list[int], span: int, salt: int) -> np.ndarray:
-    """A hash of the words at the seed's places of each window."""
-    windows = len(words) - span + 1
+def run_length(n: int) -> int:
+    """Words in a row that an item of ``n`` words keeps, wherever the substitutions that ``SIMILAR`` allows lie."""
+    edits = int((1 - SIMILAR) * n + 1e-9)
+    return -(-(n - edits) // (edits + 1))
+
+
+def _mixed(words: np.ndarray, run: int) -> np.ndarray:
+    """A hash of each run of so many words."""
+    windows = len(words) - run + 1
     if windows <= 0:
         return np.zeros(0, np.uint64)
-    total = np.full(windows, (salt * 0x9E3779B97F4A7C15) % (1 << 64), np.uint64)
-    for p in places:
+    total = np.full(windows, (run * 0x9E3779B97F4A7C15) % (1 << 64), np.uint64)
+    for p in range(run):
         total = (total ^ words[p:p + windows]) * np.uint64(0xD6E8FEB86659FD93)
         total ^= total >> np.uint64(32)
     return total
@@ -50,33 +54,31 @@ def _mixed(words: np.ndarray, places: list[int], span: int, salt: int) -> np.nda
 
 @dataclass
 class Index:
-    """Seed hashes of a slice of the benchmark, sorted, with their items and places."""
+    """Hashes of word runs of a slice of the benchmark, sorted, with their items and places."""
 
     items: list[tuple[int, np.ndarray]]
-    seeds: list[tuple[list[int], int]]
+    runs: list[int]
     tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @staticmethod
     def build(items: list[tuple[int, np.ndarray]]) -> Index:
-        """Items shorter than a seed's span get a seed of their own length that looks at every word."""
-        short = sorted({len(w) for _, w in items if len(w) < SPAN})
-        seeds = [([i for i, c in enumerate(s) if c == "1"], SPAN) for s in SEEDS] + [(list(range(n)), n) for n in short]
-        tables = []
-        for salt, (places, span) in enumerate(seeds):
-            found = [(_mixed(w, places, span, salt), k) for k, (_, w) in enumerate(items) if (len(w) == span if span < SPAN else len(w) >= SPAN)]
+        """Each item by all its runs of ``run_length`` words, but no more than 3, so that long passages of an item are found too."""
+        own = [min(3, run_length(len(w))) for _, w in items]
+        runs, tables = sorted(set(own)), []
+        for run in runs:
+            found = [(_mixed(w, run), k) for k, (_, w) in enumerate(items) if own[k] == run]
             hashes = np.concatenate([h for h, _ in found] or [np.zeros(0, np.uint64)])
             item = np.concatenate([np.full(len(h), k, np.int64) for h, k in found] or [np.zeros(0, np.int64)])
             place = np.concatenate([np.arange(len(h)) for h, _ in found] or [np.zeros(0, np.int64)])
             order = np.argsort(hashes, kind="stable")
             tables.append((hashes[order], item[order], place[order]))
-        return Index(items, seeds, tables)
+        return Index(items, runs, tables)
 
     def hits(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(item, offset of the item's first word in the text) of every seed hit; an offset may be negative."""
+        """(item, offset of the item's first word in the text) of every run in common; an offset may be negative."""
         found: set[tuple[int, int]] = set()
-        for salt, (places, span) in enumerate(self.seeds):
-            hashes, item, place = self.tables[salt]
-            mine = _mixed(words, places, span, salt)
+        for run, (hashes, item, place) in zip(self.runs, self.tables, strict=True):
+            mine = _mixed(words, run)
             if not len(mine) or not len(hashes):
                 continue
             low = np.searchsorted(hashes, mine, "left")
@@ -95,6 +97,12 @@ class Index:
             own = self.items[item][1]
             low, high = max(0, -offset), min(len(own), len(words) - offset)
             equal = own[low:high] == words[low + offset:high + offset]
+            total = int(equal.sum())
+            if total <= best.get(item, (0, 0, 0))[2]:
+                continue
+            if total >= SIMILAR * len(own):
+                best[item] = (low + offset, high - low, total)
+                continue
             start, length, same = _best_stretch(equal)
             if length >= min(LEAST_OVERLAP, len(own)) and same >= SIMILAR * length and same > best.get(item, (0, 0, 0))[2]:
                 best[item] = (low + offset + start, length, same)

@@ -105,6 +105,25 @@ def test_near_copies_are_those_of_all_pairs(spark):
         assert sorted(r.doc_id for r in simhash.drop_near_copies(df, small=small).collect()) == kept
 
 
+def test_edited_items_are_found_at_every_length(spark):
+    draw = random.Random(2)
+    items, docs = [], []
+    for k in range(240):
+        n = 5 + k % 40
+        words = [f"q{draw.randrange(10**9)}" for _ in range(n)]
+        items.append((k, " ".join(words)))
+        for edits in {n // 4, n // 8}:
+            edited = list(words)
+            for at in draw.sample(range(n), edits):
+                edited[at] = "other"
+            docs.append((k, f"some text before it {' '.join(edited)} and after it"))
+    items.append((1000, "\u4eca\u5929\u5929\u6c14\u5f88\u597d"))
+    docs.append((1000, "\u4ed6\u8bf4\u4eca\u5929\u5929\u6c14\u4e0d\u597d\u4e86"))
+    got = decontaminate.contamination(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted((k, k) for k, _ in docs)
+
+
 def test_fingerprints_and_components_against_counting(spark):
     docs = common.table(spark, FOLDER, "documents").select("doc_id", "text")
     prints = {}
