@@ -39,12 +39,13 @@ def held_out(key: str, parts: int, part: int) -> Column:
 
 
 def per_row(
-    df: DataFrame, inputs: list[str], outputs: str, compute: Callable[[list[list]], list[list]],
+    df: DataFrame, inputs: list[str], outputs: str, compute: Callable[[list[list]], list[list]], most: int = 16 << 20,
 ) -> DataFrame:
     """Add columns computed in Python from ``inputs``, one Arrow batch at a time.
 
     ``compute`` gets the input columns of a batch as lists (strings as bytes) and returns
     the output columns as lists. Columns of ``df`` with the name of an output are replaced.
+    ``most`` bounds the bytes of input that it gets at once.
     """
     added = T._parse_datatype_string(outputs)
     kept = [f for f in df.schema.fields if f.name not in added.names]
@@ -53,7 +54,7 @@ def per_row(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, inputs):
+            for part in slices(batch, inputs, most):
                 got = compute([as_list(part.column(c)) for c in inputs])
                 new = [pa.array(values, kind) for values, kind in zip(got, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *new], [*names, *added.names])

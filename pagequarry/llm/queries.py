@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagequarry.llm import (
-    chat, compression, decontaminate, fuzzy_lines, licences, mixing, quality_rules, simhash, toxicity, warc,
+    byte_pairs, chat, compression, decontaminate, fuzzy_lines, licences, merkle, mixing, quality_rules, ranked_search, simhash, toxicity, warc,
 )
 from pagequarry.llm.common import table
 
@@ -50,8 +50,23 @@ def op10_chat(spark: SparkSession, d: str) -> DataFrame:
     return chat.chat_query(table(spark, d, "conversations"))
 
 
+def op11_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return merkle.merkle_query(table(spark, d, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
+    return byte_pairs.tokens_query(table(spark, d, "documents"), byte_pairs.public_vocabulary(spark))
+
+
+def op13_ranked_search(spark: SparkSession, d: str) -> DataFrame:
+    return ranked_search.search_query(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_mixing, op3_quality_rules, op4_simhash, op5_decontamination, op6_quality_classifier, op7_licences, op8_warc,
-    op9_fuzzy_lines, op10_chat,
+    op9_fuzzy_lines, op10_chat, op11_merkle_manifest, op12_byte_bpe, op13_ranked_search,
 )}
-ORACLES = {"op2_mixing": mixing.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op8_warc": warc.ORACLE, "op10_chat": chat.ORACLE}
+ORACLES = {
+    "op2_mixing": mixing.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op8_warc": warc.ORACLE, "op10_chat": chat.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE, "op13_ranked_search": ranked_search.ORACLE,
+}
