@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions.binding import let
+from pagequarry.operators.components import connected_components
 from pagequarry.operators.rules.base import emit, evidence, text, when
 from pagequarry.operators.rules.catalog import rule
 from pagequarry.session import materialize
@@ -121,26 +122,16 @@ def copy_groups(docs: DataFrame, group: str, doc: str, body: str) -> DataFrame:
     return prints.join(firsts, [group, "fingerprint"]).select(group, doc, "representative", "copies")
 
 
-def similar_pairs(
-    docs: DataFrame, group: str, doc: str, body: str, threshold: float = THRESHOLD, block: int = TOKEN_BLOCK,
-) -> DataFrame:
-    """All pairs of distinct texts in a group whose multiset Jaccard is at least ``threshold``.
+def _prefixes(docs: DataFrame, group: str, doc: str, body: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The different texts with their tokens, rarest first, and the prefix that two similar texts must share a token of;
+    and each document with the first one of its copies.
 
-    Exact. Copies are folded to their first document beforehand (``copies_a`` and
-    ``copies_b`` say how many each side stands for; ``copy_groups`` lists them), so a
-    mass of copies gives one row, not its square. Candidates come from prefix
-    filtering: in rare-first token order two texts that similar must share one of
-    the first n - ceil(t n) + 1 tokens, so wording common to a whole site makes no
-    candidates. Tokens still shared by many texts are split into blocks whose pairs
-    are spread over tasks. Texts are read once; each later step starts from a
-    written stage table.
+    A token of the prefix has its ``place`` among all tokens of the text (from 0) and the number ``df`` of texts with it.
     """
     hashed = docs.select(group, doc, shingle_hashes(F.col(body)).alias("hashes")).where(F.size("hashes") > 0)
     prints = materialize(hashed.withColumn("fingerprint", _fingerprint(F.col("hashes"))), "hashes")
-    firsts = (
-        prints.groupBy(group, "fingerprint").agg(F.min(doc).alias(doc), F.count(F.lit(1)).alias("copies")).drop("fingerprint")
-    )
-    kept = prints.drop("fingerprint").join(firsts, [group, doc])
+    firsts = prints.groupBy(group, "fingerprint").agg(F.min(doc).alias(doc), F.count(F.lit(1)).alias("copies"))
+    kept = prints.drop("fingerprint").join(firsts.drop("fingerprint"), [group, doc])
     counted = (
         kept.select(group, doc, "copies", F.size("hashes").alias("size"), F.explode("hashes").alias("h"))
         .groupBy(group, doc, "copies", "size", "h").agg(F.count(F.lit(1)).alias("n"))
@@ -164,10 +155,34 @@ def similar_pairs(
     prefixed = materialize(
         texts.select(
             group, doc, "copies", "size", F.transform("ordered", lambda o: o["token"]).alias("tokens"),
-            F.filter(F.slice("ordered", F.lit(1), prefix_length), lambda o: o["df"] > 1).alias("prefix"),
+            F.filter(
+                F.transform(F.slice("ordered", F.lit(1), prefix_length), lambda o, i: F.struct(o["df"], o["token"], i.alias("place"))),
+                lambda o: o["df"] > 1,
+            ).alias("prefix"),
         ),
         "prefixes",
     )
+    first_of = firsts.select(group, "fingerprint", F.col(doc).alias("representative"))
+    return prefixed, prints.join(first_of, [group, "fingerprint"]).select(group, doc, "representative")
+
+
+def similar_pairs(
+    docs: DataFrame, group: str, doc: str, body: str, threshold: float = THRESHOLD, block: int = TOKEN_BLOCK,
+) -> DataFrame:
+    """All pairs of distinct texts in a group whose multiset Jaccard is at least ``threshold``.
+
+    Exact. Copies are folded to their first document beforehand (``copies_a`` and
+    ``copies_b`` say how many each side stands for; ``copy_groups`` lists them), so a
+    mass of copies gives one row, not its square. Candidates come from prefix
+    filtering: in rare-first token order two texts that similar must share one of
+    the first n - ceil(t n) + 1 tokens, so wording common to a whole site makes no
+    candidates. Tokens still shared by many texts are split into blocks whose pairs
+    are spread over tasks. Texts are read once; each later step starts from a
+    written stage table.
+    """
+    prefixed, _ = _prefixes(docs, group, doc, body, threshold)
+    ratio = Fraction(str(threshold))
+    num, den = ratio.numerator, ratio.denominator
     index = prefixed.select(group, doc, "size", F.inline("prefix"))
     blocks = F.ceil(F.col("df") / F.lit(block)).cast("int")
     mine = F.pmod(F.xxhash64(doc), blocks.cast("bigint")).cast("int")
@@ -204,12 +219,90 @@ def similar_pairs(
     return scored.where(F.col("shared") * F.lit(den) >= either * F.lit(num)).select(group, "a", "b", "copies_a", "copies_b", "score")
 
 
+def _scored(pairs: DataFrame, prefixed: DataFrame, group: str, doc: str, num: int, den: int) -> DataFrame:
+    """``pairs`` (group, a, b) with ``score``, the multiset Jaccard, and whether they are ``similar``, decided in integers."""
+    side = prefixed.select(group, doc, "size", "tokens")
+    both = pairs
+    for end in ("a", "b"):
+        both = both.join(side.select(group, *[F.col(c).alias(f"{c}_{end}" if c != doc else end) for c in (doc, "size", "tokens")]), [group, end])
+    shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    either = F.col("size_a") + F.col("size_b") - F.col("shared")
+    return both.withColumn("shared", shared).select(
+        *pairs.columns, (F.col("shared") / either).alias("score"), (F.col("shared") * F.lit(den) >= either * F.lit(num)).alias("similar")
+    )
+
+
+def similar_clusters(
+    docs: DataFrame, group: str, doc: str, body: str, threshold: float = THRESHOLD, block: int = TOKEN_BLOCK,
+) -> DataFrame:
+    """Documents that similar texts connect: (group, doc, cluster, representative, score, similar).
+
+    ``cluster`` is the first document of those connected, ``representative`` the first copy of the document's text,
+    ``score`` its similarity with the cluster's first document and ``similar`` whether that reaches ``threshold``.
+    Documents that nothing is similar to are left out.
+
+    No two documents that are similar end in different clusters, yet the pairs are not listed: of the texts that share
+    a rare token, all are compared with the first one, and a mass of near copies is connected by that already. Only
+    texts unlike the first one are compared with the others, and only with those that are not connected to them so far,
+    in pieces of ``block``. Pairs whose tokens behind the shared one can't suffice are not compared at all.
+    """
+    ratio = Fraction(str(threshold))
+    num, den = ratio.numerator, ratio.denominator
+    prefixed, copies = _prefixes(docs, group, doc, body, threshold)
+    index = prefixed.select(group, F.col(doc).alias("x"), "size", F.inline("prefix")).drop("df")
+    token = [group, "token"]
+    firsts = materialize(
+        index.groupBy(*token).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("x", "size", "place")).alias("first")).where("n > 1"), "firsts"
+    )
+
+    def may_reach(size: Column, place: Column) -> Column:
+        """The shared token is the first that both have: what stands behind it must suffice."""
+        rest = F.least(F.col("size") - F.col("place"), size - place)
+        near = F.least("size", size) * F.lit(den) >= F.greatest("size", size) * F.lit(num)
+        return near & (rest * F.lit(num + den) >= (F.col("size") + size) * F.lit(num))
+
+    def pair(y: Column) -> list[Column]:
+        return [group, F.least("x", y).alias("a"), F.greatest("x", y).alias("b")]
+
+    def linked(pairs: DataFrame, label: str) -> DataFrame:
+        return materialize(_scored(pairs.distinct(), prefixed, group, doc, num, den).where("similar").select(group, "a", "b"), label)
+
+    y = F.col("first.x")
+    star = index.join(firsts, token).where(F.col("x") != y)
+    links = linked(star.where(may_reach(F.col("first.size"), F.col("first.place"))).select(*pair(y)), "cluster-links")
+    roots = connected_components(links, group, "clusters").withColumnRenamed("node", "x")
+
+    # Texts unlike the first one of a token, against all of that token that are not connected to them.
+    unlike = star.where("n > 2").select(*token, "x", "size", "place", "n", *pair(y)[1:]).join(links, [group, "a", "b"], "left_anti").drop("a", "b")
+    pieces = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    asked = materialize(
+        unlike.join(roots, [group, "x"], "left").select(
+            *token, "x", "size", "place", F.coalesce("root", "x").alias("root"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece")),
+        "cluster-unlike",
+    )
+    if not asked.isEmpty():
+        crowd = index.join(firsts.where("n > 2"), token).where(F.col("x") != F.col("first.x")).join(roots, [group, "x"], "left").select(
+            *token, F.col("x").alias("y"), F.col("size").alias("size_y"), F.col("place").alias("place_y"), F.coalesce("root", "x").alias("root_y"),
+            F.pmod(F.xxhash64("x"), pieces.cast("bigint")).cast("int").alias("piece"),
+        )
+        met = asked.join(crowd, [*token, "piece"]).where("root <> root_y").where(may_reach(F.col("size_y"), F.col("place_y")))
+        more = linked(met.select(*pair(F.col("y"))), "cluster-more")
+        if not more.isEmpty():
+            roots = connected_components(links.unionByName(more), group, "clusters").withColumnRenamed("node", "x")
+
+    texts = prefixed.select(group, F.col(doc).alias("x"), "copies").join(roots, [group, "x"], "left").withColumn("root", F.coalesce("root", "x"))
+    large = texts.groupBy(group, "root").agg(F.sum("copies").alias("n")).where("n > 1").select(group, "root")
+    members = _scored(texts.join(large, [group, "root"], "left_semi").select(group, F.col("root").alias("a"), F.col("x").alias("b")), prefixed, group, doc, num, den)
+    return copies.join(members.withColumnRenamed("b", "representative"), [group, "representative"]).select(
+        group, doc, F.col("a").alias("cluster"), "representative", "score", "similar"
+    )
+
+
 def first_comparisons(profiles: DataFrame, comparisons: int = 60, most: int = 5) -> DataFrame:
     """Similar page pairs among a scan's first comparisons in crawl order.
 
-    The rule looks at pairs (i, j), i < j, in order and stops after ``comparisons``
-    pairs or ``most`` hits; that is its definition, and it bounds the work per scan.
-    ``similar_pairs`` is the unbounded operator.
+    Pairs (i, j), i < j, are looked at in order until ``comparisons`` pairs or ``most``
+    hits: a bounded look for those who want one. ``similar_clusters`` is whole.
     """
     order = Window.partitionBy("scan_id").orderBy("seq")
     first = (
@@ -243,16 +336,29 @@ def first_comparisons(profiles: DataFrame, comparisons: int = 60, most: int = 5)
     )
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("scan_id").orderBy("place")))
     found = ranked.where(F.col("rank") <= most).select("scan_id", "seq_a", "seq_b", "score")
+    return _with_urls(found, profiles)
+
+
+def similar_to_first(profiles: DataFrame) -> DataFrame:
+    """Each page that is similar to the first page of its cluster, with that page: one row a page, however many are alike."""
+    clusters = similar_clusters(profiles.select("scan_id", "seq", "text"), "scan_id", "seq", "text")
+    pairs = clusters.where("similar AND seq <> cluster").select("scan_id", F.col("cluster").alias("seq_a"), F.col("seq").alias("seq_b"), "score")
+    return _with_urls(pairs, profiles)
+
+
+def _with_urls(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     named = profiles.select("scan_id", "seq", "url")
-    return found.join(named.select("scan_id", F.col("seq").alias("seq_a"), F.col("url").alias("url_a")), ["scan_id", "seq_a"]).join(
+    return pairs.join(named.select("scan_id", F.col("seq").alias("seq_a"), F.col("url").alias("url_a")), ["scan_id", "seq_a"]).join(
         named.select("scan_id", F.col("seq").alias("seq_b"), F.col("url").alias("url_b")), ["scan_id", "seq_b"]
     ).select("scan_id", "seq_a", "seq_b", "url_a", "url_b", "score")
 
 
-def similarity_findings(profiles: DataFrame, comparisons: int = 60, most: int = 5) -> DataFrame:
+def similarity_findings(profiles: DataFrame, comparisons: int | None = None, most: int = 5) -> DataFrame:
+    """A finding for each page similar to the first of its cluster; with ``comparisons``, for the pairs of ``first_comparisons``."""
     a, score = F.col("url_a"), F.col("score")
     shown = text("similarity_score=", F.format_string("%.2f", F.round(score, 2)), " vs ", F.col("url_b"))
-    return emit(first_comparisons(profiles, comparisons, most), [
+    pairs = similar_to_first(profiles) if comparisons is None else first_comparisons(profiles, comparisons, most)
+    return emit(pairs, [
         when(rule("CONTENT_POTENTIAL_SIMILARITY"), True, F.lit("Potential content similarity between two pages"), a,
              evidence("METRIC", a, shown, similarity_score=F.round(score, 3)), confidence=F.round(score, 2),
              key1=F.col("seq_a"), key2=F.col("seq_b")),

@@ -338,7 +338,7 @@ for _name, _category in _CATEGORY_QUERIES.items():
     query(_name, f"SELECT {FLAT} FROM fnd WHERE category = '{_category}'")(_by_category)
 
 
-@query("findings_from_html", f"SELECT {FLAT} FROM fnd WHERE rule_id IN (SELECT rule_id FROM fnd EXCEPT SELECT rule_id FROM draft_res)")
+@query("findings_from_html", f"SELECT {FLAT} FROM fnd_html", fnd_html=C.PARTS["fnd"].replace(" UNION ALL SELECT * FROM draft_res", ""))
 def findings_from_html(spark, d):
     """All page rules straight from html, without stage tables."""
     from pagequarry.plans.registry import FAMILIES, AuditInputs, all_findings
@@ -403,6 +403,17 @@ def similar_pairs(spark, d):
     return duplicates.similar_pairs(X.documents(spark, d), "source", "doc_id", "text").withColumn("score", F.round("score", 9))
 
 
+@query("similar_clusters", """SELECT c.source, c.doc_id, c.cluster, r.representative, round(CASE WHEN r.representative = c.cluster THEN 1.0 ELSE coalesce(p.score, 0) END, 9) AS score,
+ r.representative = c.cluster OR coalesce(p.score, 0) >= 0.55 AS similar FROM docroot c JOIN docrep r ON r.doc_id = c.doc_id
+ LEFT JOIN docpair p ON p.source = c.source AND p.a = c.cluster AND p.b = r.representative""",
+       docpair="""SELECT x.source, x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) / (x.size + y.size - sum(least(x.n, y.n))) AS score
+ FROM docsh x JOIN docsh y ON x.source = y.source AND x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY x.source, x.doc_id, y.doc_id, x.size, y.size""",
+       docreach="""SELECT source, a AS doc_id, a AS other FROM docpair WHERE score >= 0.55 UNION SELECT r.source, r.doc_id, p.b FROM docreach r JOIN docpair p ON p.source = r.source AND p.a = r.other WHERE p.score >= 0.55""",
+       docroot="SELECT source, doc_id, min(other) AS cluster FROM docreach GROUP BY source, doc_id", **_DOCS)
+def similar_clusters(spark, d):
+    return duplicates.similar_clusters(X.documents(spark, d), "source", "doc_id", "text").withColumn("score", F.round("score", 9))
+
+
 def _doc_profiles(spark, d):
     return X.documents(spark, d).select(
         F.col("source").alias("scan_id"), F.col("doc_id").alias("seq"), F.concat(F.lit("/d/"), "doc_id").alias("url"), "text",

@@ -175,7 +175,7 @@ def _hit(p: str, category: str, rule_id: str, where: str, title: str, kind: str,
     url = "b.base_url" if base else "f.url"
     return (
         f"SELECT f.scan_id, {lit(category)} AS category, {lit(rule_id)} AS rule_id, 0 AS key1, 0 AS key2, {title} AS title,"
-        f" {url} AS affected_url, {lit(kind)} AS evidence_type, {url} AS evidence_source, {value} AS evidence_value, NULL AS conf"
+        f" {url} AS affected_url, {lit(kind)} AS evidence_type, {url} AS evidence_source, {value} AS evidence_value, CAST(NULL AS DOUBLE) AS conf"
         f" FROM (SELECT scan_id, CAST(sum({weight}) AS BIGINT) AS n, arg_min(url, seq) AS url, arg_min(seq, seq) AS fseq"
         f" FROM prof{p} WHERE {where} GROUP BY scan_id) f JOIN prof{p} x ON x.scan_id = f.scan_id AND x.seq = f.fseq"
         f" JOIN base{p} b ON b.scan_id = f.scan_id WHERE n >= {least}"
@@ -187,7 +187,7 @@ def _home(p: str, category: str, rule_id: str, where: str, title: str, kind: str
              else "NULL AS evidence_type, NULL AS evidence_source, NULL AS evidence_value")
     return (
         f"SELECT scan_id, {lit(category)} AS category, {lit(rule_id)} AS rule_id, 0 AS key1, 0 AS key2, {title} AS title,"
-        f" {affected} AS affected_url, {shown}, NULL AS conf FROM home{p} WHERE {where}"
+        f" {affected} AS affected_url, {shown}, CAST(NULL AS DOUBLE) AS conf FROM home{p} WHERE {where}"
     )
 
 
@@ -261,7 +261,7 @@ def _rule_ctes(p: str) -> dict[str, str]:
                  else "NULL AS evidence_type, NULL AS evidence_source, NULL AS evidence_value")
         return (
             f"SELECT q.scan_id, {lit(category)} AS category, {lit(rule_id)} AS rule_id, {key1} AS key1, {key2} AS key2, {title} AS title,"
-            f" {affected} AS affected_url, {shown}, {conf} AS conf FROM ({body}) q JOIN base{p} b ON b.scan_id = q.scan_id WHERE {where}"
+            f" {affected} AS affected_url, {shown}, CAST({conf} AS DOUBLE) AS conf FROM ({body}) q JOIN base{p} b ON b.scan_id = q.scan_id WHERE {where}"
         )
 
     agg = f"""SELECT scan_id, sum(html_size) AS bytes, sum(len(json_ld)) AS blocks, sum(len(list_filter(json_ld, lambda j: json_valid(j)))) AS valid,
@@ -341,17 +341,16 @@ def _rule_ctes(p: str) -> dict[str, str]:
         largest("PERF_LARGE_CSS", "resource_type = 'CSS' AND size_bytes >= 204800", 3, f"'Large CSS file (' || {kib} || ' KB)'"),
         largest("PERF_LARGE_IMAGE", "resource_type = 'IMAGE' AND size_bytes >= 307200", 8, f"'Oversized image (' || {kib} || ' KB)'"),
     ]
-    shingle_source = (f"SELECT scan_id, seq, url, nth - 1 AS i, least(many, 61) AS many, regexp_extract_all(lower(text), '[a-z0-9]{{3,}}') AS w FROM (SELECT scan_id, seq, url, text,"
-                      f" row_number() OVER (PARTITION BY scan_id ORDER BY seq) AS nth, count(*) OVER (PARTITION BY scan_id) AS many FROM prof{p} WHERE text <> '') WHERE nth <= 61")
+    shingle_source = f"SELECT scan_id, seq, url, regexp_extract_all(lower(text), '[a-z0-9]{{3,}}') AS w FROM prof{p} WHERE text <> ''"
     return {
         f"cookies{p}": f"SELECT scan_id, seq, n, {X.COOKIE_NAME} AS name, {X.COOKIE_DOMAIN} AS domain, {X.COOKIE_SECURE} AS secure, {X.COOKIE_HTTPONLY} AS httponly FROM (SELECT scan_id, seq, page_id, unnest(range(0, page_id % 4)) AS n FROM px{p})",
         f"simwords{p}": shingle_source,
-        f"simsh{p}": f"SELECT scan_id, seq, url, i, many, len(w) - 5 AS size, s, count(*) AS n FROM (SELECT *, unnest(list_transform(range(1, len(w) - 4), lambda k: array_to_string(w[k:k + 5], ' '))) AS s FROM simwords{p} WHERE len(w) >= 20) GROUP BY ALL",
-        f"simfirst{p}": f"""SELECT scan_id, seq_a, seq_b, url_a, url_b, score FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY place) AS r FROM (
- SELECT scan_id, place, seq_a, seq_b, url_a, url_b, sum(m) / (size_a + size_b - sum(m)) AS score FROM (
- SELECT a.scan_id, a.seq AS seq_a, b.seq AS seq_b, a.url AS url_a, b.url AS url_b, a.size AS size_a, b.size AS size_b, least(a.n, b.n) AS m,
- a.i * a.many - a.i * (a.i + 1) // 2 + (b.i - a.i) AS place FROM simsh{p} a JOIN simsh{p} b ON a.scan_id = b.scan_id AND a.s = b.s AND a.i < b.i)
- WHERE place <= 60 GROUP BY scan_id, place, seq_a, seq_b, url_a, url_b, size_a, size_b) WHERE score >= 0.55) WHERE r <= 5""",
+        f"simsh{p}": f"SELECT scan_id, seq, url, len(w) - 5 AS size, s, count(*) AS n FROM (SELECT *, unnest(list_transform(range(1, len(w) - 4), lambda k: array_to_string(w[k:k + 5], ' '))) AS s FROM simwords{p} WHERE len(w) >= 20) GROUP BY ALL",
+        f"simpair{p}": f"""SELECT * FROM (SELECT a.scan_id, a.seq AS seq_a, b.seq AS seq_b, a.url AS url_a, b.url AS url_b, sum(least(a.n, b.n)) / (a.size + b.size - sum(least(a.n, b.n))) AS score
+ FROM simsh{p} a JOIN simsh{p} b ON a.scan_id = b.scan_id AND a.s = b.s AND a.seq <> b.seq GROUP BY a.scan_id, a.seq, b.seq, a.url, b.url, a.size, b.size) WHERE score >= 0.55""",
+        f"simreach{p}": f"SELECT scan_id, seq_a AS seq, seq_a AS other FROM simpair{p} UNION SELECT r.scan_id, r.seq, p.seq_b FROM simreach{p} r JOIN simpair{p} p ON p.scan_id = r.scan_id AND p.seq_a = r.other",
+        f"simroot{p}": f"SELECT scan_id, seq, min(other) AS root FROM simreach{p} GROUP BY scan_id, seq",
+        f"simfirst{p}": f"SELECT p.* FROM simpair{p} p JOIN simroot{p} r ON r.scan_id = p.scan_id AND r.seq = p.seq_b AND r.root = p.seq_a",
         f"draft_pages{p}": " UNION ALL ".join(page_rules),
         f"draft_home{p}": " UNION ALL ".join(home_rules),
         f"draft_site{p}": " UNION ALL ".join(site_rules),
@@ -399,7 +398,7 @@ def _build() -> dict[str, str]:
 
 
 PARTS = _build()
-_HEAVY = re.compile(r"^(px|tok|run|text|prof|fnd|home|lnk|simsh|res)2?$")
+_HEAVY = re.compile(r"^(px|tok|run|text|prof|fnd|home|lnk|simsh|simpair|res)2?$")
 
 
 def sql(final: str, **extra: str) -> str:
@@ -409,11 +408,13 @@ def sql(final: str, **extra: str) -> str:
     parts = PARTS | extra
     names = re.compile(r"\b(" + "|".join(sorted(map(re.escape, parts), key=len, reverse=True)) + r")\b")
     done: dict[str, None] = {}
+    opened: set[str] = set()
 
     def add(text: str) -> None:
         bare = re.sub(r"'(?:[^']|'')*'", "''", text)
         for name in dict.fromkeys(re.findall(r"(?:FROM|JOIN|,)\s+(\w+)", bare)):
-            if name in parts and name not in done:
+            if name in parts and name not in opened:  # a recursive part names itself
+                opened.add(name)
                 add(parts[name])
                 done.setdefault(name)
 
@@ -421,7 +422,7 @@ def sql(final: str, **extra: str) -> str:
     if not done:
         return final
     assert names
-    return "WITH " + ",\n".join(
+    return "WITH RECURSIVE " + ",\n".join(
         f"{n} AS {'MATERIALIZED ' if _HEAVY.match(n) else ''}({parts[n]})" for n in done
     ) + "\n" + final
 
