@@ -91,29 +91,78 @@ def without_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.where(~to_third).unionByName(edges.where(to_third).join(known, ["scan_id", "target"], "left_semi").select(*edges.columns))
 
 
-def layers(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """Longest-path layer of each node (scan_id, node_id), from edges (scan_id, source, target).
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(scan_id, node_id, component) of every node on a cycle, and of some others; ``component`` is the smallest node of those that reach one another.
 
-    Each round moves layers one step along the edges; it ends when nothing rises.
-    Lineage is cut with a written table each round.
+    Every node learns the smallest node that reaches it and the smallest one that it reaches. Where these are one node,
+    it belongs to that node's component. A component can't lie across different pairs of them, so only edges between
+    nodes of one pair go round again. Every round is written; rounds grow with the length of paths, not with the number
+    of nodes.
     """
-    current = materialize(nodes.select("scan_id", "node_id", F.lit(0).cast("bigint").alias("layer")), "layers")
-    for _ in range(rounds):
-        pushed = edges.join(current.select("scan_id", F.col("node_id").alias("source"), "layer"), ["scan_id", "source"]).groupBy(
-            "scan_id", F.col("target").alias("node_id")
-        ).agg((F.max("layer") + 1).alias("pushed"))
-        following = materialize(
-            current.join(pushed, ["scan_id", "node_id"], "left").select(
-                "scan_id", "node_id", F.greatest("layer", F.coalesce("pushed", F.lit(0).cast("bigint"))).alias("layer"),
-                (F.coalesce("pushed", F.lit(0).cast("bigint")) > F.col("layer")).alias("rose"),
-            ),
-            "layers",
-        )
-        rose = not following.where("rose").isEmpty()
-        current = following.select("scan_id", "node_id", "layer")
-        if not rose:
-            break
-    return current
+    scan, node = "scan_id", "node_id"
+    rest = materialize(edges.where("source <> target").select(scan, "source", "target").distinct(), "cyclic")
+    found = None
+    while not rest.isEmpty():
+        ends = rest.select(scan, F.explode(F.array("source", "target")).alias(node)).distinct()
+        state = materialize(ends.select(scan, node, F.col(node).alias("from"), F.col(node).alias("to")), "cyclic-state")
+        while True:
+            down = rest.join(state.select(scan, F.col(node).alias("source"), "from"), [scan, "source"]).select(
+                scan, F.col("target").alias(node), "from", F.lit(None).alias("to"))
+            up = rest.join(state.select(scan, F.col(node).alias("target"), "to"), [scan, "target"]).select(
+                scan, F.col("source").alias(node), F.lit(None).alias("from"), "to")
+            told = down.unionByName(up).groupBy(scan, node).agg(F.min("from").alias("f"), F.min("to").alias("t"))
+            new = state.join(told, [scan, node]).select(
+                scan, node, F.least("from", "f").alias("from"), F.least("to", "t").alias("to"),
+                (F.coalesce(F.col("f") < F.col("from"), F.lit(False)) | F.coalesce(F.col("t") < F.col("to"), F.lit(False))).alias("fell"),
+            )
+            state = materialize(new, "cyclic-state")
+            done = state.where("fell").isEmpty()
+            state = state.drop("fell")
+            if done:
+                break
+        members = state.where("from = to").select(scan, node, F.col("from").alias("component"))
+        found = members if found is None else found.unionByName(members)
+        pair = F.struct("from", "to")
+        a = state.where("from <> to").select(scan, F.col(node).alias("source"), pair.alias("pair"))
+        b = state.where("from <> to").select(scan, F.col(node).alias("target"), pair.alias("pair"))
+        rest = materialize(rest.join(a, [scan, "source"]).join(b, [scan, "target", "pair"]).select(scan, "source", "target"), "cyclic")
+    if found is None:
+        return edges.select(scan, F.col("source").alias(node), F.col("source").alias("component")).where("false")
+    return found
+
+
+def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(scan_id, node_id, layer, component): the longest path to each node, from edges (scan_id, source, target).
+
+    Nodes on a common cycle are one component with one layer; any other node is its own component. Edges of a
+    component within itself and edges with an end that is no node don't count. Each round keeps the edges that leave
+    components which an edge kept so far still reaches, so work shrinks; a component's layer is the last round that
+    reached it.
+    """
+    scan = "scan_id"
+    ends = nodes.select(scan, "node_id").distinct()
+    known = materialize(
+        edges.join(ends.withColumnRenamed("node_id", "source"), [scan, "source"], "left_semi")
+        .join(ends.withColumnRenamed("node_id", "target"), [scan, "target"], "left_semi").select(scan, "source", "target").distinct(),
+        "layer-edges",
+    )
+    of_cycle = strong_components(known)
+    member = materialize(
+        ends.join(of_cycle, [scan, "node_id"], "left").select(scan, "node_id", F.coalesce("component", "node_id").alias("component")), "layer-members"
+    )
+    between = known.join(member.withColumnRenamed("node_id", "source").withColumnRenamed("component", "a"), [scan, "source"]).join(
+        member.withColumnRenamed("node_id", "target").withColumnRenamed("component", "b"), [scan, "target"])
+    rest = materialize(between.where("a <> b").select(scan, "a", "b").distinct(), "layer-edges")
+    entered, layer = None, 0
+    while not rest.isEmpty():
+        layer += 1
+        reached = rest.select(scan, F.col("b").alias("component"), F.lit(layer).cast("bigint").alias("layer"))
+        entered = reached if entered is None else entered.unionByName(reached)
+        rest = materialize(rest.join(reached.select(scan, F.col("component").alias("a")).distinct(), [scan, "a"], "left_semi"), "layer-edges")
+    if entered is None:
+        return member.select(scan, "node_id", F.lit(0).cast("bigint").alias("layer"), "component")
+    last = entered.groupBy(scan, "component").agg(F.max("layer").alias("layer"))
+    return member.join(last, [scan, "component"], "left").select(scan, "node_id", F.coalesce("layer", F.lit(0).cast("bigint")).alias("layer"), "component")
 
 
 def index_in_layer(layered: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions import text as TX
@@ -546,6 +546,31 @@ def graph_layers(spark, d):
     return graph.index_in_layer(graph.layers(nodes, edges))
 
 
+# Pages of a host: page k links to 2k+1 and 2k+2, every fourth page back to its grandparent, and page 5 and 6 to one another.
+_LINKED = """SELECT a.scan_id, a.url AS source, b.url AS target FROM tree a JOIN tree b ON a.scan_id = b.scan_id
+ AND (b.k = 2 * a.k + 1 OR b.k = 2 * a.k + 2 OR (a.k % 4 = 3 AND b.k = ((a.k - 1) // 2 - 1) // 2) OR (a.k = 5 AND b.k = 6) OR (a.k = 6 AND b.k = 5))"""
+
+
+@query("cyclic_layers", """SELECT c.scan_id, c.source AS node_id, c.component, coalesce(max(p.steps), 0) AS layer FROM comp c
+ LEFT JOIN longest p ON p.scan_id = c.scan_id AND p.component = c.component GROUP BY ALL""",
+       tree=f"SELECT {X.HOST} AS scan_id, url, row_number() OVER (PARTITION BY {X.HOST} ORDER BY page_id) - 1 AS k FROM pages",
+       lnks=_LINKED,
+       rch="SELECT scan_id, url AS source, url AS target FROM tree UNION SELECT r.scan_id, r.source, l.target FROM rch r JOIN lnks l ON l.scan_id = r.scan_id AND l.source = r.target",
+       comp="SELECT x.scan_id, x.source, min(x.target) AS component FROM rch x JOIN rch y ON x.scan_id = y.scan_id AND x.source = y.target AND x.target = y.source GROUP BY x.scan_id, x.source",
+       cond="SELECT DISTINCT l.scan_id, a.component AS a, b.component AS b FROM lnks l JOIN comp a ON a.scan_id = l.scan_id AND a.source = l.source JOIN comp b ON b.scan_id = l.scan_id AND b.source = l.target WHERE a.component <> b.component",
+       longest="SELECT scan_id, b AS component, 1::BIGINT AS steps FROM cond UNION SELECT p.scan_id, c.b, p.steps + 1 FROM longest p JOIN cond c ON c.scan_id = p.scan_id AND c.a = p.component")
+def cyclic_layers(spark, d):
+    """Layers and strong components of page links with cycles."""
+    tree = materialize(X.table(spark, d, "pages").select(F.expr(X.HOST).alias("scan_id"), "url", "page_id").withColumn(
+        "k", F.row_number().over(Window.partitionBy("scan_id").orderBy("page_id")) - 1), "tree")
+    k = F.col("k")
+    grandparent = F.floor((F.floor((k - 1) / 2) - 1) / 2)
+    out = F.array(2 * k + 1, 2 * k + 2, F.when(k % 4 == 3, grandparent), F.when(k == 5, 6), F.when(k == 6, 5)).cast("array<bigint>")
+    links = tree.select("scan_id", F.col("url").alias("source"), F.explode(out).alias("to")).join(
+        tree.select("scan_id", F.col("url").alias("target"), k.cast("bigint").alias("to")), ["scan_id", "to"])
+    return graph.layers(tree.select("scan_id", F.col("url").alias("node_id")), links).select("scan_id", "node_id", "component", "layer")
+
+
 # Pages of a host linked as a tree in order of page_id: page k links to 2k+1 and 2k+2.
 _TREE = f"SELECT {X.HOST} AS scan_id, url, page_id, row_number() OVER (PARTITION BY {X.HOST} ORDER BY page_id) - 1 AS k FROM pages"
 
@@ -554,8 +579,6 @@ _TREE = f"SELECT {X.HOST} AS scan_id, url, page_id, row_number() OVER (PARTITION
  AND NOT (k IN (9, 10))""", tree=_TREE)
 def reachable_pages(spark, d):
     """Breadth-first reach over links derived from the pages; the fifth page of each host is refused."""
-    from pyspark.sql import Window
-
     rows = X.table(spark, d, "pages").select(F.expr(X.HOST).alias("scan_id"), "url", "page_id")
     tree = materialize(rows.withColumn("k", F.row_number().over(Window.partitionBy("scan_id").orderBy("page_id")) - 1), "tree")
     child = tree.select("scan_id", F.col("url").alias("to_url"), F.floor((F.col("k") - 1) / 2).alias("parent"), F.pmod(F.col("k") - 1, F.lit(2)).alias("pos"))

@@ -85,8 +85,40 @@ def test_layers(spark):
     e = spark.createDataFrame([("s", *p) for p in edges], "scan_id string, source string, target string")
     rows = graph.index_in_layer(graph.layers(nodes, e)).collect()
     assert {r.node_id: (r.layer, r["index"]) for r in rows} == {"a": (0, 0), "x": (0, 1), "b": (1, 0), "c": (2, 0), "d": (3, 0)}
-    loop = spark.createDataFrame([("s", "a", "b"), ("s", "b", "a")], "scan_id string, source string, target string")
-    assert graph.layers(nodes, loop, rounds=3).agg(F.max("layer")).first()[0] == 3
+    loop = spark.createDataFrame([("s", "a", "b"), ("s", "b", "a"), ("s", "b", "c"), ("s", "c", "c")], "scan_id string, source string, target string")
+    rows = graph.layers(nodes, loop).collect()
+    assert {r.node_id: (r.layer, r.component) for r in rows} == {"a": (0, "a"), "b": (0, "a"), "c": (1, "c"), "d": (0, "d"), "x": (0, "x")}
+
+
+def test_components_and_layers_of_cyclic_graphs(spark):
+    """Random graphs with nested and chained cycles, against closures of reachability."""
+    rng = random.Random(9)
+    names = [f"n{i:02d}" for i in range(26)]
+    pairs = {"s": [(rng.choice(names), rng.choice(names)) for _ in range(30)], "t": [(rng.choice(names), rng.choice(names)) for _ in range(42)]}
+    pairs["u"] = [(names[i], names[(i + 1) % 12]) for i in range(12)] + [(names[i], names[i + 1]) for i in range(12, 25)] + [("n03", "n15"), ("n20", "nowhere")]
+    nodes = spark.createDataFrame([(s, n) for s in pairs for n in names], "scan_id string, node_id string")
+    edges = spark.createDataFrame([(s, *p) for s, own in pairs.items() for p in own * 2], "scan_id string, source string, target string")
+    want = {}
+    for s, own in pairs.items():
+        reach = {n: {n} for n in names}
+        for _ in names:
+            for a, b in own:
+                if b in reach:
+                    for r in reach.values():
+                        if a in r:
+                            r.add(b)
+        component = {n: min(m for m in names if m in reach[n] and n in reach[m]) for n in names}
+        layer = dict.fromkeys(names, 0)
+        for _ in names:
+            for a, b in own:
+                if b in reach and component[a] != component[b]:
+                    for m in names:
+                        if component[m] == component[b]:
+                            layer[m] = max(layer[m], layer[a] + 1)
+        want |= {(s, n): (layer[n], component[n]) for n in names}
+    rows = graph.layers(nodes, edges).collect()
+    assert {(r.scan_id, r.node_id): (r.layer, r.component) for r in rows} == want and len(rows) == len(want)
+    assert any(r.component != r.node_id for r in rows)
 
 
 def test_robots(spark):
