@@ -1,8 +1,11 @@
 """Tree-scoped facts of a page, from one pass over its token array.
 
-"Inside nav", "inside label", "inside an aria-hidden element" are open-element
-counters that the pass carries along. The whole computation is one SQL expression
-on one row: no explode, no sort, no shuffle, whatever the page count.
+The pass carries the stack of open elements as a string ("<html><body><p>"). A start tag first ends what it can't stand
+in (a paragraph before a block, an item before the next one, a cell, a row, an option, a link, a form), an end tag
+ends its element with all that was left open inside, unless a table cell or, for inline elements, a block lies between;
+end tags without an element count for nothing. "Inside nav", "inside label", "inside an aria-hidden element" are read
+off the stack. Elements below the 512th level are not opened, as in browsers. The whole computation is one SQL
+expression on one row: no explode, no sort, no shuffle, whatever the page count.
 """
 
 from __future__ import annotations
@@ -30,34 +33,107 @@ def _filled(name: str) -> str:
     return f"coalesce({_attr(name)} <> '', false)"
 
 
+# Elements that end an open paragraph, blocks whose end tag ends what is open inside, and all elements
+# that an inline element's end tag can't reach past.
+ENDS_PARAGRAPH = (
+    "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption",
+    "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p",
+    "plaintext", "pre", "search", "section", "summary", "table", "ul", "xmp",
+)
+BLOCKS = (
+    "address", "article", "aside", "blockquote", "button", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
+    "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "main", "menu", "nav", "object", "ol",
+    "p", "pre", "search", "section", "summary", "ul",
+)
+TABLE_PARTS = ("caption", "tbody", "td", "tfoot", "th", "thead", "tr")
+ROOTS = ("body", "head", "html", "select", "table", "template")
+SPECIAL = tuple(sorted({*BLOCKS, *TABLE_PARTS, *ROOTS, "iframe", "li", "noscript", "textarea", "title"}))
+SCOPE = ("button", "caption", "html", "object", "table", "td", "template", "th")
+# What a start tag ends, each with the elements that it can't reach past.
+ENDED_BY_START = {
+    ("li",): (("li",), ("menu", "ol", "ul", *SCOPE)),
+    ("dd", "dt"): (("dd", "dt"), ("dl", *SCOPE)),
+    ("optgroup", "option"): (("option",), ("select",)),
+    ("td", "th"): (("td", "th"), ("table",)),
+    ("tr",): (("tr",), ("table",)),
+    ("tbody", "tfoot", "thead"): (("tbody", "tfoot", "thead"), ("table",)),
+    ("a",): (("a",), SCOPE),
+    ("button",): (("button",), ("table", "td", "th")),
+    ("form",): (("form",), ("table", "td", "th")),
+}
+DEEPEST = 512
+
 _OPENED = "(NOT t.is_close)"
 _LINK = "t.tag = 'a'"
 _BUTTON = "t.tag = 'button'"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _any(tags: tuple[str, ...]) -> str:
+    return f"'<({'|'.join(tags)})>'"
+
+
+def _up_to(stack: str, entry: str, within: str) -> str:
+    """``stack`` without its last ``entry`` and all above it, if there is one and ``within`` holds for what is above (u)."""
+    cut = f"substring({stack}, 1, length({stack}) - length(u) - length({entry}))"
+    return f"CASE WHEN contains({stack}, {entry}) THEN {_let('u', f'substring_index({stack}, {entry}, -1)', f'CASE WHEN {within} THEN {cut} ELSE {stack} END')} ELSE {stack} END"
+
+
+def _start_ends() -> str:
+    """The stack when a start tag has ended what it can't stand in."""
+    cases = []
+    for tags, (ended, past) in ENDED_BY_START.items():
+        stack = "s.stack"
+        for e in ended:
+            stack = _let("k", stack, _up_to("k", f"'<{e}>'", f"NOT u rlike {_any(past)}"))
+        cases.append(f"WHEN t.tag IN {_in(tags)} THEN {stack}")
+    own = f"CASE {' '.join(cases)} ELSE s.stack END"
+    return _let("q", own, f"CASE WHEN t.tag IN {_in(ENDS_PARAGRAPH)} THEN {_up_to('q', _PARAGRAPH, f'NOT u rlike {_any(SCOPE)}')} ELSE q END")
+
+
+_PARAGRAPH = "'<p>'"
+_ENDS_ITS_OWN = (
+    f"CASE WHEN t.tag = 'li' THEN NOT u rlike {_any(('menu', 'ol', 'ul', *SCOPE))} WHEN t.tag IN {_in(BLOCKS)} THEN NOT u rlike {_any(SCOPE)}"
+    f" WHEN t.tag IN {_in(TABLE_PARTS)} THEN NOT u rlike '<table>' WHEN t.tag IN {_in(ROOTS)} THEN true ELSE NOT u rlike {_any(SPECIAL)} END"
+)
+# p: the stack after what a token ends, d: its depth.
+_ENTRY = "concat('<', t.tag, '>')"
+_POPPED = f"CASE WHEN t.is_close THEN {_let('y', _ENTRY, _up_to('s.stack', 'y', _ENDS_ITS_OWN))} ELSE {_start_ends()} END"
+_DEPTH = "length(p) - length(replace(p, '<', ''))"
+_PUSHES = f"({_OPENED} AND t.tag NOT IN {_in(VOID_ELEMENTS)} AND d < {DEEPEST})"
 _SAYS = r"""replace(replace(t.text, '&nbsp;', ' '), '&#160;', ' ') rlike '(?U)[^\\s]'"""
 _COUNTED = (
     f"({_OPENED} AND t.tag IN {_in(FIELDS)}"
     f" AND NOT coalesce({_attr('type')} IN {_in(UNCOUNTED_FIELD_TYPES)}, false))"
 )
 _BARE = (
-    f"({_COUNTED} AND s.label_open = 0 AND NOT {_filled('aria-label')} AND NOT {_filled('aria-labelledby')}"
+    f"({_COUNTED} AND NOT contains(p, '<label>') AND NOT {_filled('aria-label')} AND NOT {_filled('aria-labelledby')}"
     f" AND NOT ({_filled('id')} AND coalesce(array_contains(s.label_targets, {_attr('id')}), false)))"
 )
-_FIRST_HEADER = "(s.headers_seen = 0 OR s.header_open > 0)"
-_LINK_ENDS_UNNAMED = f"({_LINK} AND s.link_open AND NOT s.link_named)"
-_BUTTON_ENDS_UNNAMED = f"({_BUTTON} AND s.button_open AND NOT s.button_named)"
+
+
+def _ends(at: str, tag: str) -> str:
+    """Whether the element opened at level ``at`` ends here: with an element around it, or at its own tags."""
+    return f"(s.{at} IS NOT NULL AND (d < s.{at} OR t.tag = '{tag}'))"
+
+
+def _level(at: str, tag: str) -> str:
+    """The level of the open element that is followed, null while there is none."""
+    return f"CASE WHEN {_OPENED} AND t.tag = '{tag}' THEN d + 1 WHEN {_ends(at, tag)} THEN NULL ELSE s.{at} END"
+
+
+_IN_FORM = "(s.form_at IS NOT NULL AND d >= s.form_at)"
+_IN_HEADER = "(s.header_at IS NOT NULL AND d >= s.header_at)"
+_IN_HIDDEN = "(s.hidden_at IS NOT NULL AND d >= s.hidden_at)"
+_LINK_ENDS_UNNAMED = f"({_ends('link_at', 'a')} AND NOT s.link_named)"
+_BUTTON_ENDS_UNNAMED = f"({_ends('button_at', 'button')} AND NOT s.button_named)"
 _HEADING = f"({_OPENED} AND t.tag IN {_in(HEADINGS)})"
 _LEVEL = "CAST(substring(t.tag, 2, 1) AS INT)"
 _SKIP = f"(CASE WHEN {_HEADING} THEN s.heading > 0 AND {_LEVEL} > s.heading + 1 ELSE false END)"
-_DEPTH = (
-    f"CASE WHEN t.tag IN {_in(VOID_ELEMENTS)} THEN s.depth WHEN {_OPENED} THEN s.depth + 1 ELSE s.depth - 1 END"
-)
-
-
-def _open_count(counter: str, tag: str) -> str:
-    return (
-        f"CASE WHEN t.tag <> '{tag}' THEN s.{counter} WHEN {_OPENED} THEN s.{counter} + 1"
-        f" ELSE greatest(s.{counter} - 1, 0) END"
-    )
+_NAVS = "CAST((length(p) - length(replace(p, '<nav>', ''))) / 5 AS INT)"
 
 
 def _first(name: str, hit: str, counter: str, value: str) -> str:
@@ -70,61 +146,55 @@ def _plus_one(counter: str, hit: str) -> str:
 
 # State of the pass: name -> (type, start value, value after a token).
 _STATE = {
-    "nav_open": ("INT", "0", _open_count("nav_open", "nav")),
-    "nav_links": ("INT", "0", f"CASE WHEN {_OPENED} AND {_LINK} THEN s.nav_links + s.nav_open ELSE s.nav_links END"),
+    "stack": ("STRING", "''", f"CASE WHEN {_PUSHES} THEN concat(p, '<', t.tag, '>') ELSE p END"),
+    "nav_links": ("INT", "0", f"CASE WHEN {_OPENED} AND {_LINK} THEN s.nav_links + {_NAVS} ELSE s.nav_links END"),
     "headers_seen": ("INT", "0", _plus_one("headers_seen", f"{_OPENED} AND t.tag = 'header'")),
-    "header_open": (
-        "INT", "0", f"CASE WHEN {_FIRST_HEADER} THEN {_open_count('header_open', 'header')} ELSE s.header_open END"),
-    "header_links": ("INT", "0", _plus_one("header_links", f"{_OPENED} AND {_LINK} AND s.header_open > 0")),
-    "label_open": ("INT", "0", _open_count("label_open", "label")),
+    "header_at": (
+        "INT", "NULL",
+        f"CASE WHEN {_OPENED} AND t.tag = 'header' AND s.headers_seen = 0 THEN d + 1 WHEN {_IN_HEADER} THEN s.header_at END"),
+    "header_links": ("INT", "0", _plus_one("header_links", f"{_OPENED} AND {_LINK} AND {_IN_HEADER}")),
     "unlabeled": ("INT", "0", _plus_one("unlabeled", _BARE)),
     "unlabeled_first": (
         "STRING", "NULL",
         _first("unlabeled_first", _BARE, "unlabeled",
                f"substring(coalesce(nullif({_attr('name')}, ''), nullif({_attr('type')}, ''), 'input'), 1, 120)")),
-    "form_open": ("BOOLEAN", "false", f"CASE WHEN t.tag = 'form' THEN {_OPENED} ELSE s.form_open END"),
+    "form_at": ("INT", "NULL", _level("form_at", "form")),
     "form_fields": (
         "INT", "0",
-        f"CASE WHEN t.tag = 'form' THEN 0 WHEN {_COUNTED} AND s.form_open THEN s.form_fields + 1 ELSE s.form_fields END"),
+        f"CASE WHEN t.tag = 'form' THEN 0 WHEN {_COUNTED} AND {_IN_FORM} THEN s.form_fields + 1 ELSE s.form_fields END"),
     "form_max": (
         "INT", "0",
-        f"CASE WHEN {_COUNTED} AND s.form_open THEN greatest(s.form_max, s.form_fields + 1) ELSE s.form_max END"),
-    # A link ends at its close tag or at the next link, as parsers repair it.
-    "link_open": ("BOOLEAN", "false", f"CASE WHEN {_LINK} THEN {_OPENED} ELSE s.link_open END"),
+        f"CASE WHEN {_COUNTED} AND {_IN_FORM} THEN greatest(s.form_max, s.form_fields + 1) ELSE s.form_max END"),
+    "link_at": ("INT", "NULL", _level("link_at", "a")),
     "link_named": (
         "BOOLEAN", "false",
         f"CASE WHEN {_LINK} THEN {_OPENED} AND ({_SAYS} OR {_filled('aria-label')} OR {_filled('title')})"
-        f" ELSE s.link_named OR (s.link_open AND {_SAYS}) END"),
+        f" ELSE s.link_named OR (s.link_at IS NOT NULL AND d >= s.link_at AND {_SAYS}) END"),
     "link_href": (
         "STRING", "NULL", f"CASE WHEN {_LINK} AND {_OPENED} THEN coalesce({_attr('href')}, '') ELSE s.link_href END"),
     "empty_links": ("INT", "0", _plus_one("empty_links", _LINK_ENDS_UNNAMED)),
     "empty_link_first": (
         "STRING", "NULL", _first("empty_link_first", _LINK_ENDS_UNNAMED, "empty_links", "s.link_href")),
-    "button_open": ("BOOLEAN", "false", f"CASE WHEN {_BUTTON} THEN {_OPENED} ELSE s.button_open END"),
+    "button_at": ("INT", "NULL", _level("button_at", "button")),
     "button_named": (
         "BOOLEAN", "false",
         f"CASE WHEN {_BUTTON} THEN {_OPENED} AND ({_SAYS} OR {_filled('aria-label')})"
-        f" ELSE s.button_named OR (s.button_open AND {_SAYS}) END"),
+        f" ELSE s.button_named OR (s.button_at IS NOT NULL AND d >= s.button_at AND {_SAYS}) END"),
     "empty_buttons": ("INT", "0", _plus_one("empty_buttons", _BUTTON_ENDS_UNNAMED)),
     "heading": ("INT", "0", f"CASE WHEN {_HEADING} THEN {_LEVEL} ELSE s.heading END"),
     "heading_skips": ("INT", "0", _plus_one("heading_skips", _SKIP)),
     "heading_skip_first": (
         "STRING", "NULL",
         _first("heading_skip_first", _SKIP, "heading_skips", "concat('h', s.heading, ' -> ', t.tag)")),
-    "depth": ("INT", "0", _DEPTH),
-    "hidden_depth": (
+    "hidden_at": (
         "INT", "NULL",
-        f"CASE WHEN s.hidden_depth IS NULL AND {_OPENED} AND t.tag NOT IN {_in(VOID_ELEMENTS)}"
-        f" AND coalesce({_attr('aria-hidden')} = 'true', false) THEN s.depth + 1"
-        f" WHEN {_DEPTH} < s.hidden_depth THEN NULL ELSE s.hidden_depth END"),
-    "hidden_role": (
-        "BOOLEAN", "false",
-        f"s.hidden_role OR (s.hidden_depth IS NOT NULL AND {_OPENED} AND {_attr('role')} IS NOT NULL)"),
+        f"CASE WHEN {_IN_HIDDEN} THEN s.hidden_at WHEN {_PUSHES} AND coalesce({_attr('aria-hidden')} = 'true', false) THEN d + 1 END"),
+    "hidden_role": ("BOOLEAN", "false", f"s.hidden_role OR ({_IN_HIDDEN} AND {_OPENED} AND {_attr('role')} IS NOT NULL)"),
 }
 
 # A link or button left open at the end of the page counts as ended there.
-_LEFT_LINK = "(s.link_open AND NOT s.link_named)"
-_LEFT_BUTTON = "(s.button_open AND NOT s.button_named)"
+_LEFT_LINK = "(s.link_at IS NOT NULL AND NOT s.link_named)"
+_LEFT_BUTTON = "(s.button_at IS NOT NULL AND NOT s.button_named)"
 _RESULT = {
     "nav_links": "CASE WHEN s.nav_links > 0 THEN s.nav_links ELSE s.header_links END",
     "unlabeled": "s.unlabeled",
@@ -155,7 +225,8 @@ def scoped_facts(tokens: str) -> Column:
     step = _record(
         {n: f"CAST({v} AS {k})" for n, (k, _, v) in _STATE.items()} | {"label_targets": "s.label_targets"}
     )
-    return F.expr(f"aggregate({tokens}, {start}, (s, t) -> {step}, s -> {_record(_RESULT)})")
+    bound = _let("p", _POPPED, _let("d", _DEPTH, step))
+    return F.expr(f"aggregate({tokens}, {start}, (s, t) -> {bound}, s -> {_record(_RESULT)})")
 
 
 def flat_facts(tokens: str) -> dict[str, Column]:
