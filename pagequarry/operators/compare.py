@@ -86,7 +86,7 @@ def gap_summaries(pairs: DataFrame, gaps: DataFrame) -> DataFrame:
     place = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("dimension"))
 
     def names(condition: Column) -> Column:
-        listed = F.slice(F.sort_array(F.collect_list(F.when(condition, F.struct(place.alias("p"), "dimension")))), 1, 3)
+        listed = F.sort_array(F.collect_list(F.when(condition, F.struct(place.alias("p"), "dimension"))))
         return F.coalesce(F.nullif(F.array_join(F.transform(listed, lambda r: r["dimension"]), ", "), F.lit("")), F.lit("nothing"))
 
     grouped = gaps.groupBy("pair_id").agg(

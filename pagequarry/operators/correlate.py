@@ -9,9 +9,8 @@ from pagequarry.operators import scoring as S
 from pagequarry.operators.templates import DEFAULT_GUIDANCE, TEMPLATES
 
 ORDER = ("rule_order", "key1", "key2")
-CAUSE_FINDINGS = 60
+#: Finding ids that a recommendation shows; ``recommendation_findings`` has them all.
 LISTED_IDS = 10
-KEPT_RECOMMENDATIONS = 12
 SOURCED = ("URL", "RESOURCE", "SCRIPT")
 
 
@@ -25,25 +24,35 @@ def _first_findings(findings: DataFrame, keep: int, *keys: str) -> DataFrame:
     return findings.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= keep)
 
 
-def root_causes(findings: DataFrame) -> DataFrame:
-    """Findings that share a category and an evidence host, among a scan's first sixty."""
+def cause_findings(findings: DataFrame) -> DataFrame:
+    """Each finding with its root cause: the category and the host that its evidence names."""
     sourced = F.filter(
         "evidence", lambda e: e["evidence_type"].isin(*SOURCED) & (F.coalesce(e["source"], F.lit("")) != "")
     )
     source = F.get(sourced, F.lit(0))["source"]
     host = F.when(F.contains(source, F.lit("//")), F.get(F.split(source, "/"), F.lit(2))).otherwise(source)
-    keyed = _first_findings(findings, CAUSE_FINDINGS, "scan_id").select(
-        "scan_id", "category", "rule_id", "nth", F.coalesce(F.nullif(host, F.lit("")), F.lit("general")).alias("source_host")
+    return findings.select(
+        "scan_id", "category", F.coalesce(F.nullif(host, F.lit("")), F.lit("general")).alias("source_host"), "rule_id", "finding_id", *ORDER
     )
-    grouped = keyed.groupBy("scan_id", "category", "source_host").agg(
-        F.min("nth").alias("position"), F.count(F.lit(1)).alias("finding_count"),
-        F.sort_array(F.collect_list(F.struct("nth", "rule_id"))).alias("rows"),
+
+
+def root_causes(findings: DataFrame) -> DataFrame:
+    """Findings that share a category and an evidence host, over all findings of a scan; in the order of their first finding.
+
+    ``affected_findings`` lists the rules, each once, in the order of their first finding; ``cause_findings`` has the
+    findings as rows.
+    """
+    group = ["scan_id", "category", "source_host"]
+    rules = cause_findings(findings).groupBy(*group, "rule_id").agg(F.min(in_order()).alias("first"), F.count(F.lit(1)).alias("n"))
+    grouped = rules.groupBy(*group).agg(
+        F.min("first").alias("first"), F.sum("n").alias("finding_count"),
+        F.sort_array(F.collect_list(F.struct("first", "rule_id"))).alias("rows"),  # as many as there are rules
     )
     return grouped.select(
-        "scan_id", "category", "source_host", F.col("position").cast("bigint").alias("position"), "finding_count",
+        *group, F.row_number().over(Window.partitionBy("scan_id").orderBy("first")).cast("bigint").alias("position"), "finding_count",
         F.concat(F.initcap("category"), F.lit(" issues")).alias("title"),
         F.lit(0.6).cast("double").alias("confidence"),
-        F.transform(F.slice("rows", 1, LISTED_IDS), lambda r: r["rule_id"]).alias("affected_findings"),
+        F.transform("rows", lambda r: r["rule_id"]).alias("affected_findings"),
     )
 
 
@@ -57,17 +66,25 @@ def preliminary_bucket(severity: Column, impact: Column) -> Column:
     return F.when(combined >= 6, "P0").when(combined >= 4, "P1").when(combined >= 2, "P2").otherwise("P3")
 
 
-def recommendations(findings: DataFrame) -> DataFrame:
-    """One recommendation per rule of a scan, the twelve of highest impact."""
+def recommendation_findings(findings: DataFrame) -> DataFrame:
+    """The findings of every recommendation, as rows: (scan_id, rule_id, finding_id, affected_url) in the order of ``ORDER``."""
+    return findings.select("scan_id", "rule_id", "finding_id", "affected_url", *ORDER)
+
+
+def recommendations(findings: DataFrame, most: int | None = None) -> DataFrame:
+    """One recommendation per rule of a scan, those of highest impact first; ``most`` keeps the first of them.
+
+    Counts are over all findings of the rule; ``finding_ids`` shows the first ten.
+    """
     strength = F.struct((-S.severity_points(F.col("severity"))).alias("s"), *ORDER)
     primary = F.struct("category", "title", "description", "severity", "impact", "effort", "confidence")
     groups = findings.groupBy("scan_id", "rule_id").agg(
         F.min_by(primary, strength).alias("p"), F.min(in_order()).alias("first"),
-        F.min_by("severity", in_order()).alias("first_severity"),
+        F.min_by("severity", in_order()).alias("first_severity"), F.count(F.lit(1)).alias("finding_count"),
+        F.greatest(F.lit(1), F.count_distinct("affected_url")).alias("affected_pages"),
     )
     listed = _first_findings(findings, LISTED_IDS, "scan_id", "rule_id").groupBy("scan_id", "rule_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("nth", "finding_id"))), lambda r: r["finding_id"]).alias("finding_ids"),
-        F.greatest(F.lit(1), F.count_distinct("affected_url")).alias("affected_pages"),
     )
     impact_rank = F.when(F.col("p.impact") == "CRITICAL", 0).when(F.col("p.impact") == "HIGH", 1).when(
         F.col("p.impact") == "MEDIUM", 2
@@ -76,7 +93,7 @@ def recommendations(findings: DataFrame) -> DataFrame:
     kept = (
         groups.withColumn("impact_rank", impact_rank)
         .withColumn("position", F.row_number().over(order))
-        .where(F.col("position") <= KEPT_RECOMMENDATIONS)
+        .where(F.lit(True) if most is None else F.col("position") <= most)
         .join(listed, ["scan_id", "rule_id"])
     )
     generic = F.concat(F.lit("Address "), F.lower("p.category"), F.lit(" issue: "), F.col("p.title"))
@@ -89,6 +106,7 @@ def recommendations(findings: DataFrame) -> DataFrame:
         preliminary_bucket(F.col("p.severity"), F.col("p.impact")).alias("preliminary_priority"),
         F.col("p.impact").alias("impact"), F.col("p.effort").alias("effort"), F.col("p.confidence").alias("confidence"),
         F.col("p.title").alias("root_cause"), "finding_ids", F.col("first_severity").alias("severity"), "affected_pages",
+        "finding_count",
     )
 
 
@@ -149,16 +167,16 @@ def ranked_recommendations(recommendations: DataFrame, facts: DataFrame) -> Data
 
 def summaries(scores: DataFrame, findings: DataFrame, recommendations: DataFrame) -> DataFrame:
     """Headline, executive summary, top risks, opportunities and roadmap of each scan with findings."""
-    risks = _first_findings(
-        findings.where(F.col("severity").isin("CRITICAL", "HIGH")).select("scan_id", "title", *ORDER), 4, "scan_id"
-    ).groupBy("scan_id").agg(
+    severe = findings.where(F.col("severity").isin("CRITICAL", "HIGH")).select("scan_id", "title", *ORDER)
+    severe_count = severe.groupBy("scan_id").agg(F.count(F.lit(1)).alias("severe"))
+    risks = _first_findings(severe, 4, "scan_id").groupBy("scan_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("nth", "title"))), lambda r: r["title"]).alias("risks")
     )
     recs = recommendations.where(F.col("position") <= 5).groupBy("scan_id").agg(
         F.sort_array(F.collect_list(F.struct("position", "title", "impact"))).alias("recs")
     )
     measured = findings.select("scan_id").distinct()
-    joined = measured.join(scores, "scan_id", "left").join(risks, "scan_id", "left").join(recs, "scan_id", "left")
+    joined = measured.join(scores, "scan_id", "left").join(risks, "scan_id", "left").join(recs, "scan_id", "left").join(severe_count, "scan_id", "left")
     none = F.array().cast("array<string>")
     slots = F.array(*[
         F.struct(F.col(f"{c.lower()}_score").alias("score"), F.lit(i).alias("i"), F.lit(c).alias("name"))
@@ -171,7 +189,7 @@ def summaries(scores: DataFrame, findings: DataFrame, recommendations: DataFrame
 
     worst_text = F.array_join(F.transform(worst, lambda s: F.concat(s["name"], F.lit(" "), whole(s["score"]))), ", ")
     staged = joined.select(
-        "scan_id", "overall_score", worst_text.alias("worst"), F.coalesce("risks", none).alias("risks"),
+        "scan_id", "overall_score", worst_text.alias("worst"), F.coalesce("severe", F.lit(0)).alias("severe"), F.coalesce("risks", none).alias("risks"),
         F.coalesce(F.transform("recs", lambda r: r["title"]), none).alias("titles"),
         F.coalesce(
             F.transform(
@@ -193,7 +211,7 @@ def summaries(scores: DataFrame, findings: DataFrame, recommendations: DataFrame
         F.concat(
             opening, F.lit(" Weakest areas: "),
             F.when(F.col("worst") == "", F.lit("all categories unmeasured")).otherwise(F.col("worst")),
-            F.lit(". "), F.size("risks").cast("string"), F.lit(" critical/high issues identified. Highest-impact next steps: "),
+            F.lit(". "), F.col("severe").cast("string"), F.lit(" critical/high issues identified. Highest-impact next steps: "),
             F.when(steps == "", F.lit("none recorded")).otherwise(steps), F.lit("."),
         ).alias("executive_summary"),
         F.when(F.size("risks") == 0, F.array(F.lit("No critical or high findings recorded."))).otherwise(F.col("risks")).alias("top_risks"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pagequarry.operators.scoring import CATEGORIES
 
-HEADER_CHARS = 80
 TEXT_DIMENSIONS = ("overall", "SECURITY", "PERFORMANCE", "ACCESSIBILITY", "PRIVACY", "SEO")
 PAIR = ("website_id", "base_scan_id", "compare_scan_id")
 
@@ -79,14 +78,14 @@ def set_changes(labelled: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def header_changes(homes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Headers of the home page whose values differ, as 'old -> new' cut to 80 characters each."""
+    """Headers of the home page whose values differ, as 'old -> new', whole."""
     rows = homes.select("scan_id", F.explode("headers").alias("label", "value"))
     seen = _sides(rows, pairs).groupBy(*PAIR, "label").agg(
         F.max(F.when(F.col("before"), F.col("value"))).alias("old"), F.max(F.when(~F.col("before"), F.col("value"))).alias("new")
     )
 
     def shown(value: str) -> Column:
-        return F.substring(F.coalesce(F.col(value), F.lit("(removed)")), 1, HEADER_CHARS)
+        return F.coalesce(F.col(value), F.lit("(removed)"))
 
     return seen.where(~F.col("old").eqNullSafe(F.col("new"))).select(
         *PAIR, F.lit("header").alias("category"), F.lit("changed").alias("type"), "label",

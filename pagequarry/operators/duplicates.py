@@ -48,23 +48,21 @@ def duplicate_title_findings(profiles: DataFrame) -> DataFrame:
 
 
 def repeated_openings(profiles: DataFrame) -> DataFrame:
-    """Per scan: the earliest opening that two or more pages share, and how many do."""
+    """Per scan: every opening that two or more pages share, how many do, and the first of them."""
     groups = (
         profiles.where(F.col("opening_sha").isNotNull())
         .groupBy("scan_id", "opening_sha")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "url")).alias("first"))
         .where(F.col("n") >= 2)
     )
-    return groups.groupBy("scan_id").agg(F.min_by(F.struct("n", "first"), F.col("first.seq")).alias("g")).select(
-        "scan_id", F.col("g.n").alias("copies"), F.col("g.first.url").alias("url")
-    )
+    return groups.select("scan_id", F.col("n").alias("copies"), F.col("first.url").alias("url"), F.col("first.seq").alias("seq"))
 
 
 def repeated_opening_findings(profiles: DataFrame) -> DataFrame:
     url, n = F.col("url"), F.col("copies")
     return emit(repeated_openings(profiles), [
         when(rule("CONTENT_REPEATED"), True, text("Repeated content across ", n, " page(s)"), url,
-             evidence("PAGE", url, text(n, " pages share identical text prefix"))),
+             evidence("PAGE", url, text(n, " pages share identical text prefix")), key1=F.col("seq")),
     ])
 
 

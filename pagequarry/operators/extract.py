@@ -32,7 +32,6 @@ INLINE_SCRIPT = r"(?is)<script\b((?:(?!\ssrc\s*=)[^>])*)>(.*?)</script\s*>"
 
 DESCRIPTION_CHARS = 500
 OPENING_CHARS = 400
-INLINE_SCRIPTS_PER_PAGE = 20
 
 
 def _last_of_name(entries: Column) -> Callable[[Column, Column], Column]:
@@ -328,15 +327,16 @@ def links(pages: DataFrame) -> DataFrame:
     return found.withColumn("pos", F.col("pos").cast("bigint"))
 
 
-def resources(pages: DataFrame, inline_per_page: int = INLINE_SCRIPTS_PER_PAGE) -> DataFrame:
-    """Referenced resources, then inline scripts as JS rows carrying the page's own URL."""
+def resources(pages: DataFrame, inline_per_page: int | None = None) -> DataFrame:
+    """Referenced resources, then inline scripts (the first ``inline_per_page``, if given) as JS rows carrying the page's own URL."""
     base = F.coalesce(F.col("final_url"), F.col("url"))
     listed = F.transform(
         resource_list(F.col("tokens"), base),
         lambda r: F.struct(r["url"].alias("url"), r["resource_type"].alias("resource_type"), F.lit(False).alias("is_inline")),
     )
+    scripts = inline_scripts(F.coalesce(F.col("html"), F.lit("")))
     inline = F.transform(
-        F.slice(inline_scripts(F.coalesce(F.col("html"), F.lit(""))), 1, inline_per_page),
+        scripts if inline_per_page is None else F.slice(scripts, 1, inline_per_page),
         lambda _b: F.struct(F.col("url").alias("url"), F.lit("JS").alias("resource_type"), F.lit(True).alias("is_inline")),
     )
     staged = pages.withColumn("tokens", M.tokens(F.col("html")))

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from pagequarry.functions.urls import hostname_of
 from pagequarry.session import materialize
 
-TOP_DOMAINS = 20
-RESOURCES_PER_PAGE = 15
-
 
 def _base_hosts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("scan_id").agg(F.min_by("url", "seq").alias("base_url")).select(
@@ -18,10 +15,13 @@ def _base_hosts(pages: DataFrame) -> DataFrame:
     )
 
 
-def graph_nodes(pages: DataFrame, resources: DataFrame, technologies: DataFrame) -> DataFrame:
-    """Nodes of every site graph: domain, pages, technologies, top resource domains, first resources of each page.
+def graph_nodes(
+    pages: DataFrame, resources: DataFrame, technologies: DataFrame, domains: int | None = None, per_page: int | None = None,
+) -> DataFrame:
+    """Nodes of every site graph: domain, pages, technologies, resource domains, resources.
 
-    A node seen more than once keeps the label of its last occurrence.
+    For a small picture, ``domains`` keeps a scan's most frequent resource domains and ``per_page`` the first resources
+    of each page. A node seen more than once keeps the label of its last occurrence.
     """
     hosts = _base_hosts(pages)
     domain = hosts.select("scan_id", F.lit("DOMAIN").alias("node_type"), F.col("base_host").alias("name"), F.lit("Site domain").alias("label"))
@@ -37,21 +37,26 @@ def graph_nodes(pages: DataFrame, resources: DataFrame, technologies: DataFrame)
         F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "ord")).alias("first_seen")
     )
     order = Window.partitionBy("scan_id").orderBy(F.desc("n"), "first_seen")
+    if domains is not None:
+        counted = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= domains)
     third = (
-        counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP_DOMAINS)
-        .join(hosts, "scan_id").where(F.col("domain") != F.col("base_host"))
+        counted.join(hosts, "scan_id").where(F.col("domain") != F.col("base_host"))
         .select("scan_id", F.lit("THIRD_PARTY").alias("node_type"), F.col("domain").alias("name"), F.col("domain").alias("label"))
     )
-    shown = resources.where(F.col("ord") < RESOURCES_PER_PAGE).groupBy("scan_id", "url").agg(
+    shown = _first_of_page(resources, per_page).groupBy("scan_id", "url").agg(
         F.max_by("resource_type", F.struct("seq", "ord")).alias("kind")
     ).select(
         "scan_id", F.lit("RESOURCE").alias("node_type"), F.col("url").alias("name"),
-        F.concat("kind", F.lit(": "), F.substring("url", 1, 80)).alias("label"),
+        F.concat("kind", F.lit(": "), "url").alias("label"),
     )
     return domain.unionByName(page).unionByName(technology).unionByName(third).unionByName(shown)
 
 
-def graph_edges(pages: DataFrame, resources: DataFrame) -> DataFrame:
+def _first_of_page(resources: DataFrame, per_page: int | None) -> DataFrame:
+    return resources if per_page is None else resources.where(F.col("ord") < per_page)
+
+
+def graph_edges(pages: DataFrame, resources: DataFrame, per_page: int | None = None) -> DataFrame:
     """Edges before dangling ones are dropped: hosts, references, loaded from."""
     def edge(source_type: str, source, target_type: str, target, relationship: str):
         return F.struct(
@@ -64,7 +69,7 @@ def graph_edges(pages: DataFrame, resources: DataFrame) -> DataFrame:
     )
     loaded = F.col("is_external") & (F.coalesce("domain", F.lit("")) != "")
     of_resources = (
-        resources.where(F.col("ord") < RESOURCES_PER_PAGE)
+        _first_of_page(resources, per_page)
         .join(pages.select("scan_id", "seq", F.col("url").alias("page_url")), ["scan_id", "seq"])
         .select(
             "scan_id",
@@ -83,7 +88,7 @@ def graph_edges(pages: DataFrame, resources: DataFrame) -> DataFrame:
 def without_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose two ends are nodes.
 
-    Only third-party ends can lack a node (domains outside the top twenty), so only
+    Only third-party ends can lack a node (domains that a limit left out), so only
     those edges meet the node table.
     """
     known = nodes.where(F.col("node_type") == "THIRD_PARTY").select("scan_id", F.col("name").alias("target"))

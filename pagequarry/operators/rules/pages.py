@@ -20,7 +20,6 @@ LONG_TITLE = 65
 LARGE_HTML_BYTES = 1.5 * 1024 * 1024
 LONG_FORM_FIELDS = 8
 NAV_LINKS = 12
-PURPOSE_PAGES = 8
 HSTS_SECONDS = 15_552_000
 HEADER_CHARS = 2000
 COOKIE_NAMES = 8
@@ -281,19 +280,13 @@ def tracker_hints_in(mask: Column) -> Column:
     return F.filter(found, lambda h: h.isNotNull())
 
 
-def unclear_purpose(profiles: DataFrame) -> DataFrame:
-    """Among a scan's first pages, those with neither title nor first-level heading.
-
-    The row limit is applied per task before the shuffle, so big scans send few rows.
-    """
-    order = Window.partitionBy("scan_id").orderBy("seq")
-    first_pages = (
-        profiles.select("scan_id", "seq", "url", "title", "h1_count", "has_html")
-        .withColumn("nth", F.row_number().over(order))
-        .where(F.col("nth") <= PURPOSE_PAGES)
-    )
+def unclear_purpose(profiles: DataFrame, most: int | None = None) -> DataFrame:
+    """Pages with neither title nor first-level heading; with ``most``, among a scan's first pages."""
+    pages = profiles.select("scan_id", "seq", "url", "title", "h1_count", "has_html")
+    if most is not None:
+        pages = pages.withColumn("nth", F.row_number().over(Window.partitionBy("scan_id").orderBy("seq"))).where(F.col("nth") <= most)
     unclear = F.col("has_html") & (F.col("h1_count") == 0) & (F.coalesce("title", F.lit("")) == "")
-    per_scan = first_pages.where(unclear).groupBy("scan_id").agg(
+    per_scan = pages.where(unclear).groupBy("scan_id").agg(
         F.count(F.lit(1)).alias("n"), F.min_by("url", "seq").alias("url")
     )
     url = F.col("url")

@@ -31,12 +31,12 @@ SOCIAL_NEEDLES = (
     "pinterest.com", "tiktok.com", "x.com", "twitter.com",
 )
 
-# Largest-file rules as (rule id, type or any, least bytes, how many).
-LARGEST_FILES = (
-    ("PERF_HUGE_RESOURCE", None, 2 * KIB * KIB, 5),
-    ("PERF_LARGE_JS", "JS", 400 * KIB, 5),
-    ("PERF_LARGE_CSS", "CSS", 200 * KIB, 3),
-    ("PERF_LARGE_IMAGE", "IMAGE", 300 * KIB, 8),
+# Large-file rules as (rule id, type or any, least bytes).
+LARGE_FILES = (
+    ("PERF_HUGE_RESOURCE", None, 2 * KIB * KIB),
+    ("PERF_LARGE_JS", "JS", 400 * KIB),
+    ("PERF_LARGE_CSS", "CSS", 200 * KIB),
+    ("PERF_LARGE_IMAGE", "IMAGE", 300 * KIB),
 )
 
 
@@ -164,26 +164,23 @@ def resource_rule_findings(resources: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def largest_files(resources: DataFrame) -> DataFrame:
-    """The largest files of each class and scan, one finding each.
+def large_files(resources: DataFrame, most: int | None = None) -> DataFrame:
+    """A finding for every large file of a scan, in crawl order; with ``most``, for the largest of each rule only.
 
-    All classes share one ranking; its limit is applied before the shuffle too.
+    Without a limit nothing is ranked or shuffled. A limit is applied before the shuffle too.
     """
     size = F.coalesce("size_bytes", F.lit(0))
     classes = F.filter(
         F.array(*[
             F.when((size >= least) & (F.lit(kind is None) | (F.col("resource_type") == F.lit(kind))), F.lit(name))
-            for name, kind, least, _ in LARGEST_FILES
+            for name, kind, least in LARGE_FILES
         ]),
         lambda c: c.isNotNull(),
     )
-    order = Window.partitionBy("scan_id", "rule").orderBy(F.desc("size_bytes"), "seq", "ord")
-    most = max(keep for *_, keep in LARGEST_FILES)
-    ranked = (
-        resources.select("scan_id", "seq", "ord", "url", "resource_type", "size_bytes", F.explode(classes).alias("rule"))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= most)
-    )
+    found = resources.select("scan_id", "seq", "ord", "url", "resource_type", "size_bytes", F.explode(classes).alias("rule"))
+    if most is not None:
+        order = Window.partitionBy("scan_id", "rule").orderBy(F.desc("size_bytes"), "seq", "ord")
+        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     kib = F.round(F.col("size_bytes") / KIB).cast("bigint")
     mib = F.format_string("%.1f", F.round(F.col("size_bytes") / (KIB * KIB), 1))
     titles = {
@@ -195,11 +192,8 @@ def largest_files(resources: DataFrame) -> DataFrame:
     shown = evidence("RESOURCE", F.col("url"), text("size_bytes=", F.col("size_bytes")),
                      size_bytes=F.col("size_bytes"), type=F.col("resource_type"))
     return emit(
-        ranked,
-        [
-            when(rule(name), (F.col("rule") == name) & (F.col("rank") <= keep), titles[name], F.col("url"), shown, key1=F.col("rank"))
-            for name, _, _, keep in LARGEST_FILES
-        ],
+        found,
+        [when(rule(name), F.col("rule") == name, titles[name], F.col("url"), shown, key1=F.col("seq"), key2=F.col("ord")) for name, *_ in LARGE_FILES],
     )
 
 

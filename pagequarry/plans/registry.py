@@ -41,7 +41,7 @@ FAMILIES: dict[str, Family] = {
     "openings": lambda i: duplicates.repeated_opening_findings(i.profiles),
     "similarity": lambda i: duplicates.similarity_findings(i.profiles),
     "resources": lambda i: resource_rules.resource_rule_findings(i.resources, i.facts),
-    "largest files": lambda i: resource_rules.largest_files(i.resources),
+    "large files": lambda i: resource_rules.large_files(i.resources),
 }
 
 

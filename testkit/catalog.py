@@ -125,7 +125,7 @@ _RES_FIRST = """SELECT scan_id, seq, rank, pos, url, CASE WHEN rel = 'icon' THEN
  WHEN tag IN ('img', 'source') AND regexp_matches(url, '(?i)\\.(woff2?|ttf|otf|eot)($|\\?)') THEN 'FONT' WHEN tag = 'script' THEN 'JS' WHEN tag IN ('img', 'source') THEN 'IMAGE'
  WHEN tag IN ('video', 'audio') THEN 'VIDEO' ELSE 'OTHER' END AS resource_type, row_number() OVER (PARTITION BY scan_id, seq, url ORDER BY rank, pos) AS nth FROM reslisted"""
 _RES_ALL = """SELECT scan_id, seq, 0 AS part, rank * 100000 + pos AS place, url, resource_type, false AS is_inline FROM resfirst WHERE nth = 1
- UNION ALL SELECT scan_id, seq, 1, i, url, 'JS', true FROM (SELECT p.scan_id, p.seq, p.url, unnest(range(least(20, len(inline_scripts)))) AS i FROM prof p)"""
+ UNION ALL SELECT scan_id, seq, 1, i, url, 'JS', true FROM (SELECT p.scan_id, p.seq, p.url, unnest(range(len(inline_scripts))) AS i FROM prof p)"""
 _RES_CTES = dict(restags=_RES_TAGS, reslisted=_RES_LISTED, resfirst=_RES_FIRST, resall=_RES_ALL)
 
 
@@ -345,7 +345,7 @@ def findings_from_html(spark, d):
 
     profiles = materialize(extract.page_profiles(X.pages(spark, d)), "profiles")
     facts = page_rules.page_facts(profiles)
-    wanted = {n: f for n, f in FAMILIES.items() if n not in ("resources", "largest files")}
+    wanted = {n: f for n, f in FAMILIES.items() if n not in ("resources", "large files")}
     return flat(all_findings(AuditInputs(profiles, facts, facts), wanted))
 
 
@@ -438,8 +438,8 @@ def duplicate_titles(spark, d):
     return duplicates.duplicate_titles(_doc_profiles(spark, d))
 
 
-@query("repeated_openings", """SELECT source AS scan_id, arg_min(n, first) AS copies, '/d/' || min(first) AS url FROM (
- SELECT source, sha256(substr(text, 1, 400)) AS s, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY source""")
+@query("repeated_openings", """SELECT source AS scan_id, count(*) AS copies, '/d/' || min(doc_id) AS url, min(doc_id) AS seq
+ FROM documents GROUP BY source, sha256(substr(text, 1, 400)) HAVING count(*) >= 2""")
 def repeated_openings(spark, d):
     return duplicates.repeated_openings(_doc_profiles(spark, d))
 
@@ -514,8 +514,8 @@ _GRAPH = _TECH | {
     "nodes": f"""SELECT scan_id, 'DOMAIN' AS node_type, {C.host_of('base_url')} AS name, 'Site domain' AS label FROM base
  UNION ALL SELECT scan_id, 'PAGE', url, arg_max(CASE WHEN title <> '' THEN title ELSE url END, seq) FROM prof GROUP BY scan_id, url
  UNION ALL SELECT scan_id, 'TECHNOLOGY', name, category || ' · ' || CAST(round(confidence * 100) AS INT) || '%' FROM tech
- UNION ALL SELECT scan_id, 'THIRD_PARTY', domain, domain FROM (SELECT scan_id, domain, row_number() OVER (PARTITION BY scan_id ORDER BY count(*) DESC, min(seq * 100 + ord)) AS r FROM res GROUP BY scan_id, domain) WHERE r <= 20 AND domain <> scan_id
- UNION ALL SELECT scan_id, 'RESOURCE', url, arg_max(resource_type, seq * 100 + ord) || ': ' || substr(url, 1, 80) FROM res WHERE ord < 15 GROUP BY scan_id, url""",
+ UNION ALL SELECT scan_id, 'THIRD_PARTY', domain, domain FROM (SELECT DISTINCT scan_id, domain FROM res) WHERE domain <> scan_id
+ UNION ALL SELECT scan_id, 'RESOURCE', url, arg_max(resource_type, seq * 100 + ord) || ': ' || url FROM res GROUP BY scan_id, url""",
     "edges": f"""SELECT DISTINCT b.scan_id, 'DOMAIN' AS source_type, {C.host_of('base_url')} AS source, 'PAGE' AS target_type, url AS target, 'HOSTS' AS relationship FROM px p JOIN base b ON b.scan_id = p.scan_id
  UNION SELECT r.scan_id, 'PAGE', p.url, 'RESOURCE', r.url, 'REFERENCES' FROM res r JOIN px p ON p.scan_id = r.scan_id AND p.seq = r.seq
  UNION SELECT r.scan_id, 'RESOURCE', r.url, 'THIRD_PARTY', r.domain, 'LOADED_FROM' FROM res r JOIN nodes n ON n.scan_id = r.scan_id AND n.node_type = 'THIRD_PARTY' AND n.name = r.domain WHERE is_external""",
@@ -631,16 +631,17 @@ def analyzer_status(spark, d):
 
 _RANKS = dict(
     rk="SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY rule_order, key1, key2) AS nth, CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END AS sev FROM fnd",
-    causes="""SELECT scan_id, category, source_host, min(nth) AS position, count(*) AS finding_count, string_agg(rule_id, ',' ORDER BY nth) FILTER (g <= 10) AS affected_findings FROM (
- SELECT *, row_number() OVER (PARTITION BY scan_id, category, source_host ORDER BY nth) AS g FROM (SELECT scan_id, category, rule_id, nth, CASE WHEN evidence_type IN ('URL', 'RESOURCE', 'SCRIPT') AND evidence_source <> ''
- THEN CASE WHEN contains(evidence_source, '//') THEN string_split(evidence_source, '/')[3] ELSE evidence_source END ELSE 'general' END AS source_host FROM rk WHERE nth <= 60)) GROUP BY scan_id, category, source_host""",
+    causes="""SELECT scan_id, category, source_host, row_number() OVER (PARTITION BY scan_id ORDER BY min(nth)) AS position, count(*) AS finding_count,
+ string_agg(rule_id, ',' ORDER BY nth) FILTER (g = 1) AS affected_findings FROM (
+ SELECT *, row_number() OVER (PARTITION BY scan_id, category, source_host, rule_id ORDER BY nth) AS g FROM (SELECT scan_id, category, rule_id, nth, CASE WHEN evidence_type IN ('URL', 'RESOURCE', 'SCRIPT') AND evidence_source <> ''
+ THEN CASE WHEN contains(evidence_source, '//') THEN string_split(evidence_source, '/')[3] ELSE evidence_source END ELSE 'general' END AS source_host FROM rk)) GROUP BY scan_id, category, source_host""",
     recgroup="""SELECT scan_id, rule_id, min(nth) AS first, arg_min(severity, nth) AS first_severity, arg_min(category, 1000000 * (4 - sev) + nth) AS category, arg_min(title, 1000000 * (4 - sev) + nth) AS p_title,
  arg_min(severity, 1000000 * (4 - sev) + nth) AS p_severity, arg_min(impact, 1000000 * (4 - sev) + nth) AS impact, arg_min(effort, 1000000 * (4 - sev) + nth) AS effort, arg_min(confidence, 1000000 * (4 - sev) + nth) AS confidence FROM rk GROUP BY scan_id, rule_id""",
-    recids="""SELECT scan_id, rule_id, string_agg(finding_id, ',' ORDER BY nth) AS finding_ids, greatest(1, count(DISTINCT affected_url)) AS affected_pages FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, rule_id ORDER BY nth) AS g FROM rk) WHERE g <= 10 GROUP BY scan_id, rule_id""",
-    recs="""SELECT g.*, i.finding_ids, i.affected_pages, coalesce(t.title, 'Address ' || lower(category) || ' issue: ' || p_title) AS title, CASE WHEN bucket >= 6 THEN 'P0' WHEN bucket >= 4 THEN 'P1' WHEN bucket >= 2 THEN 'P2' ELSE 'P3' END AS preliminary_priority FROM (
+    recids="""SELECT scan_id, rule_id, string_agg(finding_id, ',' ORDER BY nth) FILTER (g <= 10) AS finding_ids, count(*) AS finding_count, greatest(1, count(DISTINCT affected_url)) AS affected_pages FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, rule_id ORDER BY nth) AS g FROM rk) GROUP BY scan_id, rule_id""",
+    recs="""SELECT g.*, i.finding_ids, i.finding_count, i.affected_pages, coalesce(t.title, 'Address ' || lower(category) || ' issue: ' || p_title) AS title, CASE WHEN bucket >= 6 THEN 'P0' WHEN bucket >= 4 THEN 'P1' WHEN bucket >= 2 THEN 'P2' ELSE 'P3' END AS preliminary_priority FROM (
  SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY CASE impact WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, first) AS position,
  CASE p_severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END + CASE impact WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END AS bucket FROM recgroup) g
- JOIN recids i ON i.scan_id = g.scan_id AND i.rule_id = g.rule_id LEFT JOIN rectitles t ON t.rule_id = g.rule_id WHERE position <= 12""",
+ JOIN recids i ON i.scan_id = g.scan_id AND i.rule_id = g.rule_id LEFT JOIN rectitles t ON t.rule_id = g.rule_id""",
     ranked="""SELECT *, CASE WHEN priority_score >= 24 THEN 'P0' WHEN priority_score >= 12 THEN 'P1' WHEN priority_score >= 5 THEN 'P2' ELSE 'P3' END AS priority,
  row_number() OVER (PARTITION BY scan_id ORDER BY priority_score DESC, position) AS rank FROM (
  SELECT r.*, round(CASE first_severity WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END * CASE impact WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END * confidence
@@ -665,11 +666,17 @@ def root_causes(spark, d):
     )
 
 
-@query("recommendations", "SELECT scan_id, rule_id, position, title, category, preliminary_priority, impact, effort, confidence, p_title AS root_cause, finding_ids, first_severity AS severity, affected_pages FROM recs", **_REC)
+@query("cause_findings", """SELECT scan_id, category, CASE WHEN evidence_type IN ('URL', 'RESOURCE', 'SCRIPT') AND evidence_source <> ''
+ THEN CASE WHEN contains(evidence_source, '//') THEN string_split(evidence_source, '/')[3] ELSE evidence_source END ELSE 'general' END AS source_host, rule_id, finding_id FROM rk""", **_REC)
+def cause_findings(spark, d):
+    return correlate.cause_findings(audited(spark, d).findings).select("scan_id", "category", "source_host", "rule_id", "finding_id")
+
+
+@query("recommendations", "SELECT scan_id, rule_id, position, title, category, preliminary_priority, impact, effort, confidence, p_title AS root_cause, finding_ids, finding_count, first_severity AS severity, affected_pages FROM recs", **_REC)
 def recommendations(spark, d):
     r = correlate.recommendations(audited(spark, d).findings)
     return r.select("scan_id", "rule_id", "position", "title", "category", "preliminary_priority", "impact", "effort", "confidence", "root_cause",
-                    F.array_join("finding_ids", ",").alias("finding_ids"), "severity", big("affected_pages").alias("affected_pages"))
+                    F.array_join("finding_ids", ",").alias("finding_ids"), "finding_count", "severity", big("affected_pages").alias("affected_pages"))
 
 
 @query("ranked_recommendations", """SELECT scan_id, rule_id, rank, priority, priority_score, 'Severity ' || first_severity || ' × impact ' || impact || ' × confidence '
@@ -699,7 +706,7 @@ def resolved_references(spark, d):
 _SUMMARY = _SCORES | _REC | {
     "worst": f"""SELECT scan_id, string_agg(category || ' ' || CAST(round(score) AS INT), ', ' ORDER BY r) AS worst FROM (SELECT scan_id, category, score,
  row_number() OVER (PARTITION BY scan_id ORDER BY score, list_position({_S}, category)) AS r FROM cat) WHERE r <= 3 GROUP BY scan_id""",
-    "risks": "SELECT scan_id, count(*) AS n, string_agg(title, ' / ' ORDER BY r) AS risks FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY nth) AS r FROM rk WHERE severity IN ('CRITICAL', 'HIGH')) WHERE r <= 4 GROUP BY scan_id",
+    "risks": "SELECT scan_id, count(*) AS n, string_agg(title, ' / ' ORDER BY r) FILTER (r <= 4) AS risks FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY nth) AS r FROM rk WHERE severity IN ('CRITICAL', 'HIGH')) GROUP BY scan_id",
     "opps": "SELECT scan_id, string_agg(title, ' / ' ORDER BY position) AS opps, string_agg(title, ', ' ORDER BY position) FILTER (o <= 2) AS steps FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY position) AS o FROM recs WHERE position <= 3 AND impact IN ('HIGH', 'MEDIUM')) GROUP BY scan_id",
     "road": "SELECT scan_id, string_agg(position || '. ' || title, ' / ' ORDER BY position) AS road FROM recs WHERE position <= 5 GROUP BY scan_id",
 }
@@ -955,7 +962,7 @@ def _gap_pairs(spark, d):
 
 
 @query("gap_summaries", f"""SELECT b.scan_id AS pair_id, coalesce(behind, 'nothing') AS behind, coalesce(ahead, 'nothing') AS ahead, coalesce('Improve ' || first || ' first (gap ' || CAST(round(gap) AS INT) || ' points).', 'Insufficient measured data to compare.') AS summary
- FROM base b LEFT JOIN (SELECT pair_id, string_agg(dimension, ', ' ORDER BY i) FILTER (gap < -1 AND rb <= 3) AS behind, string_agg(dimension, ', ' ORDER BY i) FILTER (gap > 1 AND ra <= 3) AS ahead,
+ FROM base b LEFT JOIN (SELECT pair_id, string_agg(dimension, ', ' ORDER BY i) FILTER (gap < -1) AS behind, string_agg(dimension, ', ' ORDER BY i) FILTER (gap > 1) AS ahead,
  arg_min(dimension, gap * 100 + i) AS first, min(gap) AS gap FROM (SELECT *, list_position({_S}, dimension) AS i, row_number() OVER (PARTITION BY pair_id, gap < -1 ORDER BY list_position({_S}, dimension)) AS rb,
  row_number() OVER (PARTITION BY pair_id, gap > 1 ORDER BY list_position({_S}, dimension)) AS ra FROM gaps) GROUP BY pair_id) g ON g.pair_id = b.scan_id""", **_GAPS)
 def gap_summaries(spark, d):
@@ -976,7 +983,7 @@ _DIFF = _LATEST | _TECH | C.suffixed(_TECH, "2") | {
     "setdiff": """SELECT website_id, base_scan_id, compare_scan_id, category, 'added' AS type, label FROM pairs p JOIN labels l ON l.scan_id = p.compare_scan_id WHERE NOT EXISTS (SELECT 1 FROM labels k WHERE k.scan_id = p.base_scan_id AND k.category = l.category AND k.label = l.label)
  UNION ALL SELECT website_id, base_scan_id, compare_scan_id, category, 'removed', label FROM pairs p JOIN labels l ON l.scan_id = p.base_scan_id WHERE NOT EXISTS (SELECT 1 FROM labels k WHERE k.scan_id = p.compare_scan_id AND k.category = l.category AND k.label = l.label)""",
     "headlong": " UNION ALL ".join(f"""SELECT scan_id, '{h}' AS label, "{h}" AS value FROM home WHERE "{h}" IS NOT NULL UNION ALL SELECT scan_id, '{h}', "{h}" FROM home2 WHERE "{h}" IS NOT NULL""" for h in X.HEADERS),
-    "headdiff": """SELECT website_id, base_scan_id, compare_scan_id, label, substr(coalesce(b.value, '(removed)'), 1, 80) || ' -> ' || substr(coalesce(a.value, '(removed)'), 1, 80) AS detail FROM pairs
+    "headdiff": """SELECT website_id, base_scan_id, compare_scan_id, label, coalesce(b.value, '(removed)') || ' -> ' || coalesce(a.value, '(removed)') AS detail FROM pairs
  JOIN (SELECT DISTINCT regexp_replace(scan_id, '@2$', '') AS w, label FROM headlong) k ON k.w = website_id LEFT JOIN headlong b ON b.scan_id = base_scan_id AND b.label = k.label LEFT JOIN headlong a ON a.scan_id = compare_scan_id AND a.label = k.label
  WHERE b.value IS DISTINCT FROM a.value""".replace("base_scan_id, compare_scan_id, label,", "base_scan_id, compare_scan_id, k.label AS label,"),
     "scorediff": "SELECT website_id, base_scan_id, compare_scan_id, b.label, b.score AS before, a.score AS after, (CAST(a.score AS DECIMAL(6,1)) - CAST(b.score AS DECIMAL(6,1)))::DOUBLE AS delta FROM pairs JOIN long b ON b.scan_id = base_scan_id JOIN long a ON a.scan_id = compare_scan_id AND a.label = b.label",

@@ -223,7 +223,7 @@ def _rule_ctes(p: str) -> dict[str, str]:
         _hit(p, s, "SEO_NOINDEX_PAGES", "noindex_metas > 0", "n || ' page(s) blocked from indexing (noindex)'", "HTML_ELEMENT", "'noindex count=' || n", "noindex_metas", base=True),
         _hit(p, u, "UX_MULTIPLE_H1", "h1_count > 1", "'Multiple H1 headings on ' || n || ' page(s)'", "HTML_ELEMENT", "'multiple h1'"),
         _hit(p, u, "UX_CONTENT_DENSITY", "word_count > 4000", "'Very dense content on ' || n || ' page(s)'", "PAGE", "'words=' || x.word_count"),
-        _hit(p, u, "UX_UNCLEAR_PURPOSE", f"h1_count = 0 AND coalesce(title, '') = '' AND (scan_id, seq) IN (SELECT (scan_id, seq) FROM (SELECT scan_id, seq, row_number() OVER (PARTITION BY scan_id ORDER BY seq) AS r FROM px{p}) WHERE r <= 8)",
+        _hit(p, u, "UX_UNCLEAR_PURPOSE", "h1_count = 0 AND coalesce(title, '') = ''",
              "'Unclear page purpose on ' || n || ' page(s)'", "PAGE", "'no title and no h1'"),
         _hit(p, "CONTENT", "CONTENT_THIN", "word_count < 150", "'Thin content on ' || n || ' page(s)'", "PAGE",
              f"(SELECT substr(string_agg(e, ', ' ORDER BY seq), 1, 1000) FROM (SELECT scan_id, seq, url || ' (' || word_count || 'w)' AS e, row_number() OVER (PARTITION BY scan_id ORDER BY seq) AS r FROM prof{p} WHERE word_count < 150) q WHERE q.scan_id = f.scan_id AND r <= 5)"),
@@ -278,8 +278,8 @@ def _rule_ctes(p: str) -> dict[str, str]:
     bad = (f"SELECT scan_id, seq, i FROM (SELECT scan_id, seq, unnest(json_ld) AS j, unnest(range(len(json_ld))) AS i FROM prof{p}) WHERE NOT json_valid(j)")
     dup = (f"SELECT scan_id, count(*) AS n, arg_min(url, seq) AS url, arg_min(title, seq) AS title FROM (SELECT scan_id, seq, url, title,"
            f" row_number() OVER (PARTITION BY scan_id, lower(trim(title)) ORDER BY seq) AS r FROM prof{p} WHERE trim(title) <> '') WHERE r > 1 GROUP BY scan_id")
-    rep = (f"SELECT scan_id, arg_min(n, first_seq) AS n, arg_min(url, first_seq) AS url FROM (SELECT scan_id, opening_sha, count(*) AS n, min(seq) AS first_seq, arg_min(url, seq) AS url"
-           f" FROM prof{p} WHERE opening_sha IS NOT NULL GROUP BY scan_id, opening_sha HAVING count(*) >= 2) GROUP BY scan_id")
+    rep = (f"SELECT scan_id, count(*) AS n, min(seq) AS first_seq, arg_min(url, seq) AS url FROM prof{p} WHERE opening_sha IS NOT NULL"
+           f" GROUP BY scan_id, opening_sha HAVING count(*) >= 2")
     site_rules = [
         site("PERFORMANCE", "PERF_LARGE_HTML", agg, "bytes > 1572864", "'Large HTML payload'", "METRIC", "'pages'", "'html_bytes=' || bytes", "NULL"),
         site("PRIVACY", "PRIV_PRIVACY_POLICY_MISSING", agg, "NOT privacy", "'No privacy policy reference detected'", "HTML_ELEMENT", "base_url", "'no privacy policy reference found'", "base_url"),
@@ -295,7 +295,7 @@ def _rule_ctes(p: str) -> dict[str, str]:
         site("SECURITY", "SEC_PUBLIC_EMAIL", found(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"), "true", "'Public email address(es) exposed on the site'", "HTML_ELEMENT", "base_url", "shown", "base_url"),
         site("SECURITY", "SEC_EXPOSED_SECRET_PATTERN", keys, "true", "'Possible API key or secret pattern in page code'", "SCRIPT", "base_url", "shown", "base_url"),
         site(s, "SEO_DUPLICATE_TITLES", dup, "true", "'Duplicate page titles (' || n || ' page(s))'", "PAGE", "q.url", "q.title", "q.url"),
-        site("CONTENT", "CONTENT_REPEATED", rep, "true", "'Repeated content across ' || n || ' page(s)'", "PAGE", "q.url", "n || ' pages share identical text prefix'", "q.url"),
+        site("CONTENT", "CONTENT_REPEATED", rep, "true", "'Repeated content across ' || n || ' page(s)'", "PAGE", "q.url", "n || ' pages share identical text prefix'", "q.url", "first_seq"),
         site("CONTENT", "CONTENT_POTENTIAL_SIMILARITY", f"SELECT * FROM simfirst{p}", "true", "'Potential content similarity between two pages'", "METRIC", "q.url_a",
              "'similarity_score=' || printf('%.2f', round(score, 2)) || ' vs ' || q.url_b", "q.url_a", "seq_a", "seq_b", "round(score, 2)"),
     ]
@@ -321,9 +321,8 @@ def _rule_ctes(p: str) -> dict[str, str]:
     tracker = (f"SELECT scan_id, count(*) AS n, string_agg(h, ', ' ORDER BY i) AS shown FROM (SELECT DISTINCT scan_id, i, h FROM prof{p}, (VALUES {hint_rows}) v(i, h)"
                f" WHERE contains(lower(list_aggregate(inline_scripts, 'string_agg', chr(10))), h)) WHERE scan_id IN (SELECT scan_id FROM res{p} WHERE is_external AND domain <> '') GROUP BY scan_id")
 
-    def largest(rule_id: str, where: str, keep: int, title: str) -> str:
-        body = f"SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY size_bytes DESC, seq, ord) AS r FROM res{p} WHERE {where}"
-        return site("PERFORMANCE", rule_id, body, f"r <= {keep}", title, "RESOURCE", "q.url", "'size_bytes=' || size_bytes", "q.url", "r")
+    def large(rule_id: str, where: str, title: str) -> str:
+        return site("PERFORMANCE", rule_id, f"SELECT * FROM res{p} WHERE {where}", "true", title, "RESOURCE", "q.url", "'size_bytes=' || size_bytes", "q.url", "seq", "ord")
 
     kib = "CAST(round(size_bytes / 1024) AS BIGINT)"
     resource_rules = [
@@ -336,10 +335,10 @@ def _rule_ctes(p: str) -> dict[str, str]:
         site("PRIVACY", "PRIV_SOCIAL_WIDGETS", domains(social, 10), "true", "'Potential social media widgets (' || n || ')'", "URL", "base_url", "shown", "NULL"),
         site("PRIVACY", "PRIV_TRACKER_SCRIPT_PATTERNS", tracker, "n >= 2", "'Potential tracking-related script patterns observed'", "SCRIPT", "base_url", "shown", "NULL"),
         site("SECURITY", "SEC_MIXED_CONTENT", urls("url LIKE 'http://%' AND url NOT LIKE 'http://localhost%'", 1000), "base_url LIKE 'https://%'", "'Mixed content: HTTP resources loaded by an HTTPS page'", "URL", "base_url", "shown", "NULL"),
-        largest("PERF_HUGE_RESOURCE", "size_bytes >= 2097152", 5, "'Very large ' || lower(resource_type) || ' resource (' || printf('%.1f', round(size_bytes / 1048576, 1)) || ' MB)'"),
-        largest("PERF_LARGE_JS", "resource_type = 'JS' AND size_bytes >= 409600", 5, f"'Large JavaScript file (' || {kib} || ' KB)'"),
-        largest("PERF_LARGE_CSS", "resource_type = 'CSS' AND size_bytes >= 204800", 3, f"'Large CSS file (' || {kib} || ' KB)'"),
-        largest("PERF_LARGE_IMAGE", "resource_type = 'IMAGE' AND size_bytes >= 307200", 8, f"'Oversized image (' || {kib} || ' KB)'"),
+        large("PERF_HUGE_RESOURCE", "size_bytes >= 2097152", "'Very large ' || lower(resource_type) || ' resource (' || printf('%.1f', round(size_bytes / 1048576, 1)) || ' MB)'"),
+        large("PERF_LARGE_JS", "resource_type = 'JS' AND size_bytes >= 409600", f"'Large JavaScript file (' || {kib} || ' KB)'"),
+        large("PERF_LARGE_CSS", "resource_type = 'CSS' AND size_bytes >= 204800", f"'Large CSS file (' || {kib} || ' KB)'"),
+        large("PERF_LARGE_IMAGE", "resource_type = 'IMAGE' AND size_bytes >= 307200", f"'Oversized image (' || {kib} || ' KB)'"),
     ]
     shingle_source = f"SELECT scan_id, seq, url, regexp_extract_all(lower(text), '[a-z0-9]{{3,}}') AS w FROM prof{p} WHERE text <> ''"
     return {
