@@ -83,14 +83,14 @@ def scan_scores(scans: DataFrame, findings: DataFrame, weights: dict[str, int] =
     )
 
 
-def analyzer_status(scans: DataFrame, pages: DataFrame) -> DataFrame:
-    """Status of each category per scan: those that need pages fail where there are none."""
+def analyzer_status(scans: DataFrame, pages: DataFrame, failed: frozenset[str] = frozenset()) -> DataFrame:
+    """Status of each category per scan: those that need pages fail where there are none, those in ``failed`` everywhere."""
     counted = pages.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
     joined = scans.select("scan_id").join(counted, "scan_id", "left")
     slots = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(c in PAGE_NEEDING_CATEGORIES).alias("needs")) for c in CATEGORIES])
     rows = joined.select("scan_id", "n", F.inline(slots))
-    failed = F.col("needs") & F.col("n").isNull()
-    return rows.select("scan_id", "category", F.when(failed, "FAILED").otherwise("COMPLETED").alias("status"))
+    fails = (F.col("needs") & F.col("n").isNull()) | F.col("category").isin(*failed)
+    return rows.select("scan_id", "category", F.when(fails, "FAILED").otherwise("COMPLETED").alias("status"))
 
 
 def priority_score(

@@ -9,24 +9,30 @@ from pyspark.sql import functions as F
 
 from pagequarry.operators import correlate, extract, graph, scoring, technology
 from pagequarry.operators.rules.pages import page_facts
-from pagequarry.plans.registry import AuditInputs, Family, all_findings
+from pagequarry.plans.registry import AuditInputs, Family, failed_categories, guarded_findings
 from pagequarry.session import materialize
 from pagequarry.sources.tables import write_run
 
 
 @dataclass(frozen=True)
 class Audit:
-    """Results of an audit, keyed by scan_id throughout."""
+    """Results of an audit, keyed by scan_id throughout; ``scans`` are all of them, with pages or without.
 
+    ``status`` has COMPLETED or FAILED for each scan and category, ``failures`` what rule families failed with.
+    """
+
+    scans: DataFrame
     pages: DataFrame
     profiles: DataFrame
     facts: DataFrame
     resources: DataFrame
     technologies: DataFrame
     findings: DataFrame
+    status: DataFrame
     scores: DataFrame
     recommendations: DataFrame
     summaries: DataFrame
+    failures: dict[str, str]
 
     def nodes(self) -> DataFrame:
         return graph.graph_nodes(self.profiles, self.resources, self.technologies)
@@ -37,12 +43,15 @@ class Audit:
 
 def audit(
     pages: DataFrame, resources: DataFrame | None = None, families: dict[str, Family] | None = None, stage: bool = True,
+    scans: DataFrame | None = None,
 ) -> Audit:
     """Audit all scans in ``pages`` (rows as made by ``page_rows``).
 
     Html is parsed once: profiles, facts and findings are written as stage tables
     and read back by whatever needs them. ``resources`` default to those found in
-    the html, with sizes unknown.
+    the html, with sizes unknown. ``scans`` (scan_id) names scans that may have no pages;
+    without it, the scans are those of ``pages``. A rule family that fails doesn't
+    end the audit: its categories are FAILED and left out of the scores.
     """
     keep = materialize if stage else (lambda df, _label: df)
     profiles = keep(extract.page_profiles(pages), "profiles")
@@ -51,11 +60,13 @@ def audit(
         resources = extract.resources(pages).withColumn("size_bytes", F.lit(None).cast("bigint"))
     resources = keep(resources, "resources")
     technologies = technology.technologies(pages, resources)
-    findings = keep(all_findings(AuditInputs(profiles, facts, resources), families), "findings")
-    scores = keep(scoring.scan_scores(facts, findings), "scores")
+    findings, failures = guarded_findings(AuditInputs(profiles, facts, resources), families, keep)
+    every = facts.select("scan_id") if scans is None else keep(scans.select("scan_id").unionByName(facts.select("scan_id")).distinct(), "scans")
+    status = scoring.analyzer_status(every, profiles, failed_categories(failures))
+    scores = keep(scoring.scan_scores(every, findings), "scores")
     ranked = keep(correlate.ranked_recommendations(correlate.recommendations(findings), facts), "recommendations")
     summaries = correlate.summaries(scores, findings, ranked)
-    return Audit(pages, profiles, facts, resources, technologies, findings, scores, ranked, summaries)
+    return Audit(every, pages, profiles, facts, resources, technologies, findings, status, scores, ranked, summaries, failures)
 
 
 def write_audit(result: Audit, folder: str) -> None:
@@ -65,10 +76,11 @@ def write_audit(result: Audit, folder: str) -> None:
         "resources": result.resources,
         "technologies": result.technologies,
         "findings": result.findings,
+        "status": result.status,
         "scores": result.scores,
         "recommendations": result.recommendations,
         "summaries": result.summaries,
         "graph_nodes": result.nodes(),
         "graph_edges": result.edges(),
     }
-    write_run(tables, result.facts, folder)
+    write_run(tables, result.scans, folder)

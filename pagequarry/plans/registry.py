@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from pagequarry.operators import duplicates
 from pagequarry.operators.rules import pages as page_rules
 from pagequarry.operators.rules import resources as resource_rules
-from pagequarry.operators.rules.base import emit, evidence, text, when
+from pagequarry.operators.rules.base import FINDING_FIELDS, emit, evidence, text, when
 from pagequarry.operators.rules.catalog import Rule
+from pagequarry.operators.scoring import CATEGORIES
+from pagequarry.session import materialize
 
 
 @dataclass(frozen=True)
@@ -45,9 +47,19 @@ FAMILIES: dict[str, Family] = {
 }
 
 
-def family(name: str) -> Callable[[Family], Family]:
+#: The categories whose findings a family gives; all of them fail with it.
+FAMILY_CATEGORIES: dict[str, tuple[str, ...]] = {
+    "page facts": CATEGORIES, "first pages": ("UX",), "listed pages": ("CONTENT", "SEO"), "exposure": ("SECURITY",), "json-ld": ("SEO",),
+    "titles": ("SEO",), "openings": ("CONTENT",), "similarity": ("CONTENT",), "resources": ("ARCHITECTURE", "PERFORMANCE", "PRIVACY", "SECURITY"),
+    "large files": ("PERFORMANCE",),
+}
+
+
+def family(name: str, categories: tuple[str, ...] = ()) -> Callable[[Family], Family]:
+    """Register a family; should it fail, the scores of ``categories`` count as not measured."""
     def register(fn: Family) -> Family:
         FAMILIES[name] = fn
+        FAMILY_CATEGORIES[name] = categories
         return fn
 
     return register
@@ -69,3 +81,39 @@ def all_findings(inputs: AuditInputs, families: dict[str, Family] | None = None)
     """Findings of every family. Rows carry their own order key, so a plain union is enough."""
     parts = [fn(inputs) for fn in (FAMILIES if families is None else families).values()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def guarded_findings(
+    inputs: AuditInputs, families: dict[str, Family] | None = None, keep: Callable[[DataFrame, str], DataFrame] = materialize,
+) -> tuple[DataFrame, dict[str, str]]:
+    """Findings of the families that work, written, and what the others failed with.
+
+    Families that can't be planned are left out at once. The rest run as one job; only if that fails does each run by
+    itself, to find the ones at fault. Findings of a category that a failed family belongs to are dropped: half of a
+    category would be scored as all of it.
+    """
+    planned: dict[str, DataFrame] = {}
+    failed: dict[str, str] = {}
+    for name, fn in (FAMILIES if families is None else families).items():
+        try:
+            planned[name] = fn(inputs).select(*FINDING_FIELDS)
+        except Exception as error:  # noqa: BLE001
+            failed[name] = str(error)
+    try:
+        found = keep(reduce(DataFrame.unionByName, planned.values()), "findings") if planned else None
+    except Exception:  # noqa: BLE001
+        parts = []
+        for name, rows in planned.items():
+            try:
+                parts.append(keep(rows, "findings"))
+            except Exception as error:  # noqa: BLE001
+                failed[name] = str(error)
+        found = reduce(DataFrame.unionByName, parts) if parts else None
+    if found is None:
+        raise RuntimeError(f"no rule family works: {failed}")
+    lost = failed_categories(failed)
+    return (found.where(~F.col("category").isin(*lost)) if lost else found), failed
+
+
+def failed_categories(failed: dict[str, str]) -> frozenset[str]:
+    return frozenset(c for name in failed for c in FAMILY_CATEGORIES.get(name, ()))
