@@ -24,6 +24,11 @@ FONT_ENDING = r"(?i)\.(woff2?|ttf|otf|eot)($|\?)"
 LOADING_RELATIONS = ("stylesheet", "preload", "prefetch", "modulepreload", "icon")
 SKIPPED_TARGETS = r"^(#|mailto:|tel:|javascript:|data:)"
 JSON_LD = r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'
+# Strings, numbers, words, brackets, blanks; any other character is a token that fits nowhere.
+JSON_TOKEN = (
+    r"""(?s)"(?:[^"\\\x00-\x1F]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+\""""
+    r"""|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+|true|false|null|NaN|-?Infinity|[ \t\n\r]++|."""
+)
 ROBOTS_META = r'(?i)<meta\s+name="robots"\s+content="([^"]*)"'
 API_PATH = r"/api/v?\d?/?"
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
@@ -235,7 +240,35 @@ def json_ld_blocks(html: Column) -> Column:
 
 
 def json_is_valid(block: Column) -> Column:
-    return F.try_parse_json(block).isNotNull()
+    """Whether the whole text is one JSON value. Keys may repeat, and NaN and the infinities count as numbers.
+
+    The text is cut into tokens, and a fold over them carries the open brackets and what may come next: a value (v), an
+    element or the end of the list (f), a key or the end of the object (k), a key (K), a colon (c), or the end of a
+    value (e). Whatever fits nowhere ends in x.
+    """
+    found = F.filter(F.regexp_extract_all(block, F.lit(JSON_TOKEN), F.lit(0)), lambda t: ~t.rlike(r"^[ \t\n\r]"))
+    first = F.struct(F.lit("").alias("open"), F.lit("v").alias("next"))
+
+    def after(s: Column, t: Column) -> Column:
+        head, now, top = F.substring(t, 1, 1), s["next"], F.substring(s["open"], -1, 1)
+        outer = F.left(s["open"], F.length(s["open"]) - 1)
+        value = now.isin("v", "f")
+        text = (head == '"') & (F.length(t) > 1)
+        plain = t.rlike(r"^(-?[0-9]|true$|false$|null$|NaN$|-?Infinity$)")
+        opens = value & head.isin("{", "[")
+        closes = ((head == "}") & (top == "{") & now.isin("k", "e")) | ((head == "]") & (top == "[") & now.isin("f", "e"))
+        following = (
+            F.when(opens, F.when(head == "{", "k").otherwise("f"))
+            .when(closes | (value & (text | plain)), "e")
+            .when(text & now.isin("k", "K"), "c")
+            .when((head == ":") & (now == "c"), "v")
+            .when((head == ",") & (now == "e") & (top == "{"), "K")
+            .when((head == ",") & (now == "e") & (top == "["), "v")
+            .otherwise("x")
+        )
+        return F.struct(F.when(opens, F.concat(s["open"], head)).when(closes, outer).otherwise(s["open"]).alias("open"), following.alias("next"))
+
+    return F.aggregate(found, first, after, lambda s: (s["open"] == "") & (s["next"] == "e"))
 
 
 def page_profiles(pages: DataFrame) -> DataFrame:

@@ -154,6 +154,16 @@ def json_ld_blocks(spark, d):
     return rows.select("scan_id", "seq", big("pos").alias("pos"), "block", extract.json_is_valid(F.col("block")).alias("valid"))
 
 
+_JSON = """CASE page_id % 8 WHEN 0 THEN '{"a": ' || page_id || ', "a": "' || url || '", "a": {"a": []}}' WHEN 1 THEN '[{"k": "' || url || '", "k": null, "k": -1.5e3}, []]'
+ WHEN 2 THEN '{"a": 1, "a": }' WHEN 3 THEN '[' || page_id || ' ' || page_id || ']' WHEN 4 THEN ' {"' || url || '" : true , "b":[1,[2,{}]] } ' WHEN 5 THEN '{"a": "' || url || '}'
+ WHEN 6 THEN '{"a": 0' || page_id || '}' ELSE '"' || url || '"' END"""
+
+
+@query("json_texts", f"SELECT page_id, json_valid({_JSON}) AS valid FROM pages")
+def json_texts(spark, d):
+    return X.table(spark, d, "pages").select("page_id", extract.json_is_valid(F.expr(_JSON)).alias("valid"))
+
+
 _SOURCE = "source || '.example.org'"
 
 
