@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,5 +53,44 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{stage_root(spark).rstrip('/')}/pagequarry-stages/{label}-{uuid.uuid4().hex}"
+    for scope in _open_scopes:
+        scope.paths.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class StageTables:
+    """The stage tables written while a scope is open."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def drop(self, spark: SparkSession) -> None:
+        """Delete the tables; for a time when nothing that reads them will run again."""
+        for path in self.paths:
+            found = spark._jvm.org.apache.hadoop.fs.Path(path)
+            found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+        self.paths.clear()
+
+
+_open_scopes: list[StageTables] = []
+
+
+@contextmanager
+def stage_tables() -> Iterator[StageTables]:
+    """Notes the stage tables that the body writes."""
+    scope = StageTables()
+    _open_scopes.append(scope)
+    try:
+        yield scope
+    finally:
+        _open_scopes.remove(scope)
+
+
+def settle(build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What ``build`` gives, written once; the stage tables that it wrote on its way are deleted after that."""
+    with stage_tables() as made:
+        rows = build()
+    out = materialize(rows, label)
+    made.drop(rows.sparkSession)
+    return out
