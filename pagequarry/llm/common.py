@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequarry.session import materialize
+from pagequarry.session import materialize, settle
 
 #: A word is a run of anything but blank, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -116,6 +116,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
+    """``component_rounds``, written; the tables of the rounds are deleted."""
+    return settle(lambda: component_rounds(edges, label), label)
+
+
+def component_rounds(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node that can be reached.
 
     Alternating large-star and small-star steps; each round is a few aggregates and joins and is
@@ -166,17 +171,17 @@ def links_of_blocks(
     few = blocked.where(F.col("size") <= small).groupBy("block").agg(F.sort_array(F.collect_list(member)).alias("all"))  # ``small`` members at most
     each = few.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.slice("all", F.col("i") + 2, F.lit(small))).alias("y"))
     a_b = [F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")]
-    links = materialize(verified(each.where(fits).select(*a_b).distinct()), f"{label}-links")
+    links = settle(lambda: verified(each.where(fits).select(*a_b).distinct()), f"{label}-links")
 
     crowded = materialize(blocked.where(F.col("size") > small).select("block", "size", "n", member.alias("x")), f"{label}-crowded")
     if not crowded.take(1):
         return links
     leaders = crowded.groupBy("block").agg(F.max(F.struct("n", "x")).alias("top")).select("block", F.col("top.x").alias("y"))
     star = crowded.join(leaders, "block").where("x.h <> y.h")
-    led = materialize(verified(star.where(fits).select(*a_b).distinct()), f"{label}-leaders")
+    led = settle(lambda: verified(star.where(fits).select(*a_b).distinct()), f"{label}-leaders")
     pieces = F.ceil(F.col("size") / piece).cast("int")
     others = star.select("block", "size", "x", *a_b).join(led, ["a", "b"], "left_anti").select(
         "block", "x", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
     all_of = crowded.select("block", F.col("x").alias("y"), F.pmod(F.col("x.h"), pieces.cast("bigint")).cast("int").alias("piece"))
     met = others.join(all_of, ["block", "piece"]).where("x.h <> y.h").where(fits).select(*a_b).distinct()
-    return links.unionByName(led).unionByName(materialize(verified(met), f"{label}-others"))
+    return links.unionByName(led).unionByName(settle(lambda: verified(met), f"{label}-others"))

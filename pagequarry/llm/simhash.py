@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.common import SMALL_BLOCK, connected_components, links_of_blocks, per_row, shared_blocks, slices
-from pagequarry.session import materialize
+from pagequarry.session import materialize, settle
 
 SEED = 42
 BITS = 64
@@ -235,7 +235,6 @@ def near_copies(
     dealt = per_row(rows, ["body"], "shingles int, blocks array<bigint>", lambda c: list(zip(*map(firsts, c[0]), strict=True))).where("shingles > 0")
     texts = materialize(
         dealt.groupBy("t1", "t2").agg(F.min("key").alias("key"), F.first("shingles").alias("shingles"), F.first("blocks").alias("blocks")), "texts")
-    shared = shared_blocks(texts.select(F.col("t1").alias("h"), F.explode("blocks").alias("block")), "text")
     facts = texts.select(F.col("t1").alias("h"), F.lit(1).alias("n"), "shingles")
     least, most = F.least("x.shingles", "y.shingles"), F.greatest("x.shingles", "y.shingles")
 
@@ -250,7 +249,11 @@ def near_copies(
         both = pairs.join(sets.select(F.col("t1").alias("a"), "s"), "a").join(sets.select(F.col("t1").alias("b"), F.col("s").alias("r")), "b")
         return both.where(F.size(F.array_intersect("s", "r")) >= F.lit(similarity) * F.size(F.array_union("s", "r")) - 1e-9).select("a", "b")
 
-    links = links_of_blocks(shared, facts, least >= F.lit(similarity) * most - 1e-9, verified, "text", small)
+    def similar() -> DataFrame:
+        shared = shared_blocks(texts.select(F.col("t1").alias("h"), F.explode("blocks").alias("block")), "text")
+        return links_of_blocks(shared, facts, least >= F.lit(similarity) * most - 1e-9, verified, "text", small)
+
+    links = settle(similar, "text-similar")
     roots = connected_components(links, "near-copies").select(F.col("node").alias("t1"), "root")
     placed = materialize(texts.select("t1", "t2", "key").join(roots, "t1", "left").withColumn("root", F.coalesce("root", "t1")), "near-groups")
     smallest = placed.groupBy("root").agg(F.min("key").alias("group_id"))
@@ -267,7 +270,7 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", body: str = "text", *
         "t1", "t2", F.col(key).alias("k"))
     t1, t2 = _text_key(body)
     free = F.col(key).isNull() | ~F.coalesce(F.col(body).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), t1, t2, F.col(key).alias("k"), free.alias("free"))
+    marked = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), t1, t2, F.col(key).alias("k"), free.alias("free"))
     counted = docs.where(~free).select(F.col(key).alias("k"), *_text_key(body)).groupBy("k", "t1", "t2").count()
     once = kept.join(counted, ["k", "t1", "t2"])
     match = ["k", "t1", "t2"]
