@@ -1,18 +1,19 @@
-"""Benchmark decontamination: short runs of equal words find passages, and overlaps around them are checked word by word."""
+"""Benchmark decontamination: spaced seeds of test and training texts meet in a join, and overlaps around the hits are checked word by word."""
 
 from __future__ import annotations
 
 import functools
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import per_row
+from pagequarry.llm.common import per_row, slices
+from pagequarry.session import materialize, settle
 
 #: Items of fewer words match everywhere and prove nothing; they are left out.
 LEAST_WORDS = 5
@@ -20,8 +21,12 @@ LEAST_WORDS = 5
 SIMILAR = 0.75
 #: ... of the whole item, or over at least so many words.
 LEAST_OVERLAP = 12
-#: Words of benchmark text that are sent to tasks at once; larger benchmarks take several passes.
-SLICE_WORDS = 1_000_000
+#: The places that each mask looks at; those between are ignored. Wherever a quarter of 5 or more words is substituted,
+#: one of these masks fits somewhere between the substitutions (a test counts this for every length).
+MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4), (0, 3, 4, 5))
+#: Bits that tell which seeds the benchmark may hold (4 MB). A larger benchmark sets more of them, so more seeds go to the join; none is lost.
+FILTER_BITS = 1 << 25
+_BUCKET = 1 << 15
 #: Letters of scripts without blanks are words of their own.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORD = re.compile(rf"[^\W_{_UNSPACED}]+|(?!_)\w")
@@ -34,79 +39,32 @@ def words_of(text: bytes | None) -> np.ndarray:
     return np.fromiter(map(_hash, words), np.uint64, len(words))
 
 
-def run_length(n: int) -> int:
-    """Words in a row that an item of ``n`` words keeps, wherever the substitutions that ``SIMILAR`` allows lie."""
-    edits = int((1 - SIMILAR) * n + 1e-9)
-    return -(-(n - edits) // (edits + 1))
-
-
-def _mixed(words: np.ndarray, run: int) -> np.ndarray:
-    """A hash of each run of so many words."""
-    windows = len(words) - run + 1
-    if windows <= 0:
-        return np.zeros(0, np.uint64)
-    total = np.full(windows, (run * 0x9E3779B97F4A7C15) % (1 << 64), np.uint64)
-    for p in range(run):
+def seeds(words: np.ndarray, number: int) -> np.ndarray:
+    """A hash of the words under a mask, for each place where the mask fits."""
+    mask = MASKS[number]
+    windows = max(0, len(words) - mask[-1])
+    total = np.full(windows, (number + 1) * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)
+    for p in mask:
         total = (total ^ words[p:p + windows]) * np.uint64(0xD6E8FEB86659FD93)
         total ^= total >> np.uint64(32)
-    return total
-
-
-@dataclass
-class Index:
-    """Hashes of word runs of a slice of the benchmark, sorted, with their items and places."""
-
-    items: list[tuple[int, np.ndarray]]
-    runs: list[int]
-    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-
-    @staticmethod
-    def build(items: list[tuple[int, np.ndarray]]) -> Index:
-        """Each item by all its runs of ``run_length`` words, but no more than 3, so that long passages of an item are found too."""
-        own = [min(3, run_length(len(w))) for _, w in items]
-        runs, tables = sorted(set(own)), []
-        for run in runs:
-            found = [(_mixed(w, run), k) for k, (_, w) in enumerate(items) if own[k] == run]
-            hashes = np.concatenate([h for h, _ in found] or [np.zeros(0, np.uint64)])
-            item = np.concatenate([np.full(len(h), k, np.int64) for h, k in found] or [np.zeros(0, np.int64)])
-            place = np.concatenate([np.arange(len(h)) for h, _ in found] or [np.zeros(0, np.int64)])
-            order = np.argsort(hashes, kind="stable")
-            tables.append((hashes[order], item[order], place[order]))
-        return Index(items, runs, tables)
-
-    def hits(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(item, offset of the item's first word in the text) of every run in common; an offset may be negative."""
-        found: set[tuple[int, int]] = set()
-        for run, (hashes, item, place) in zip(self.runs, self.tables, strict=True):
-            mine = _mixed(words, run)
-            if not len(mine) or not len(hashes):
-                continue
-            low = np.searchsorted(hashes, mine, "left")
-            at = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == mine)
-            if not len(at):
-                continue
-            high = np.searchsorted(hashes, mine[at], "right")
-            for start, a, b in zip(at.tolist(), low[at].tolist(), high.tolist(), strict=True):
-                found.update(zip(item[a:b].tolist(), (start - place[a:b]).tolist(), strict=True))
-        return found
-
-    def overlaps(self, words: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item id, first word of the text, words, equal words) of the best checked overlap with each item."""
-        best: dict[int, tuple[int, int, int]] = {}
-        for item, offset in self.hits(words):
-            own = self.items[item][1]
-            low, high = max(0, -offset), min(len(own), len(words) - offset)
-            equal = own[low:high] == words[low + offset:high + offset]
-            total = int(equal.sum())
-            if total <= best.get(item, (0, 0, 0))[2]:
-                continue
-            if total >= SIMILAR * len(own):
-                best[item] = (low + offset, high - low, total)
-                continue
-            start, length, same = _best_stretch(equal)
-            if length >= min(LEAST_OVERLAP, len(own)) and same >= SIMILAR * length and same > best.get(item, (0, 0, 0))[2]:
-                best[item] = (low + offset + start, length, same)
-        return sorted((self.items[k][0], *v) for k, v in best.items())
+    return total.view(np.int64)
+
+
+def overlap(own: np.ndarray, item: np.ndarray, offset: int) -> tuple[int, int, int] | None:
+    """(first word of the text, words, equal words) of the overlap of an item laid at ``offset``, or null if too few agree.
+
+    ``own`` are the words of the text from ``max(0, offset)`` on.
+    """
+    low = max(0, -offset)
+    length = min(len(own), len(item) - low)
+    equal = own[:length] == item[low:low + length]
+    total = int(equal.sum())
+    if total >= SIMILAR * len(item):
+        return low + offset, length, total
+    start, stretch, same = _best_stretch(equal)
+    if stretch >= min(LEAST_OVERLAP, len(item)) and same >= SIMILAR * stretch:
+        return low + offset + start, stretch, same
+    return None
 
 
 def _best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
@@ -118,58 +76,107 @@ def _best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end - start, int(equal[start:end].sum())
 
 
-def _slices(benchmark: DataFrame, item_key: str, body: str) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """The items in bounded slices, as word hashes; rows with a null id or too few words are left out."""
-    rows = benchmark.where(F.col(item_key).isNotNull()).select(F.col(item_key).cast("bigint").alias("item"), F.col(body).cast("string").alias("body"))
-    own, size = [], 0
-    for row in rows.distinct().orderBy("item", "body").toLocalIterator():
-        words = words_of((row.body or "").encode("utf-8", "replace"))
-        if len(words) < LEAST_WORDS:
-            continue
-        own.append((row.item, words))
-        size += len(words)
-        if size >= SLICE_WORDS:
-            yield own
-            own, size = [], 0
-    if own:
-        yield own
+def _benchmark(items: DataFrame, key: str, body: str) -> DataFrame:
+    """(item, item_id, n, words) of the different items with an id and enough words, written once."""
+    rows = items.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("item_id"), F.col(body).cast("string").alias("body")).distinct()
+    worded = per_row(rows, ["body"], "words binary", lambda columns: [[words_of(t).tobytes() for t in columns[0]]])
+    long_enough = worded.select("item_id", F.floor(F.length("words") / 8).alias("n"), "words").where(F.col("n") >= LEAST_WORDS)
+    return materialize(long_enough.select(F.monotonically_increasing_id().alias("item"), "item_id", "n", "words"), "benchmark-words")
 
 
-FOUND = "found array<struct<item_id:bigint,first_word:bigint,n_words:bigint,n_equal:bigint>>"
+def _benchmark_seeds(items: DataFrame) -> DataFrame:
+    """(item, n, seed, place) of every item under every mask, written once."""
+    def compute(columns: list[list]) -> list[list]:
+        out = []
+        for raw in columns[0]:
+            words = np.frombuffer(raw, np.uint64)
+            found = [seeds(words, m) for m in range(len(MASKS))]
+            out.append([{"seed": s, "place": p} for own in found for p, s in enumerate(own.tolist())])
+        return [out]
 
+    dealt = per_row(items.select("item", "n", "words"), ["words"], "seeds array<struct<seed:bigint,place:bigint>>", compute, 1 << 20)
+    return materialize(dealt.select("item", "n", F.inline("seeds")), "benchmark-seeds")
 
-def _found(docs: DataFrame, items: list[tuple[int, np.ndarray]], body: str, column: str = "found") -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(items)  # SLICE_WORDS words at most, and one item
-    kept: list[Index] = []
 
-    def compute(columns: list[list]) -> list[list]:
-        if not kept:
-            kept.append(Index.build(sent.value))
-        return [[[dict(zip(("item_id", "first_word", "n_words", "n_equal"), o, strict=True)) for o in kept[0].overlaps(words_of(t))] for t in columns[0]]]
+def _filter(dealt: DataFrame) -> np.ndarray:
+    """The bits of all seeds; ``FILTER_BITS`` at most come to the driver, whatever the benchmark's size."""
+    slot = F.col("seed").bitwiseAND(FILTER_BITS - 1)
+    buckets = dealt.groupBy(F.floor(slot / _BUCKET).alias("bucket")).agg(F.bitmap_construct_agg(slot % _BUCKET).alias("bits"))
+    bits = np.zeros((FILTER_BITS // _BUCKET, _BUCKET // 8), np.uint8)
+    for row in buckets.collect():
+        bits[row.bucket] = np.frombuffer(bytes(row.bits), np.uint8)
+    return bits.ravel()
+
 
-    return per_row(docs, [body], FOUND.replace("found", column, 1), compute)
+def _hit_texts(rows: DataFrame, dealt: DataFrame) -> DataFrame:
+    """(row, id, words, seed places) of the texts with a seed that the filter lets through, written once."""
+    sent = rows.sparkSession.sparkContext.broadcast(_filter(dealt))
+
+    def compute(columns: list[list]) -> list[list]:
+        bits, raw, hits = sent.value, [], []
+        for text in columns[0]:
+            words = words_of(text)
+            found = []
+            for m in range(len(MASKS)):
+                mine = seeds(words, m)
+                slot = mine & (FILTER_BITS - 1)
+                at = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                found += zip(mine[at].tolist(), at.tolist(), strict=True)
+            hits.append([{"seed": s, "at": p} for s, p in found])
+            raw.append(words.tobytes() if found else None)
+        return [raw, hits]
+
+    passed = per_row(rows, ["body"], "words binary, hits array<struct<seed:bigint,at:bigint>>", compute).where("words is not null")
+    return materialize(passed.select(F.monotonically_increasing_id().alias("row"), "id", "words", "hits"), "seed-hits")
+
+
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, ["own", "theirs"]):
+            pairs = zip(batch.column("own").to_pylist(), batch.column("theirs").to_pylist(), batch.column("place").to_pylist(), strict=True)
+            found = [overlap(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), o) for a, b, o in pairs]
+            kept = pa.array([f is not None for f in found], pa.bool_())
+            out = pa.array([f and dict(zip(("first_word", "n_words", "n_equal"), f, strict=True)) for f in found], _OVERLAP)
+            names = ["row", "id", "item", "item_id"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), out], [*names, "found"]).filter(kept)
+
+
+_OVERLAP = pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("n_equal", pa.int64())])
+
+
+def _best_overlaps(rows: DataFrame, benchmark: DataFrame, item_key: str, item_body: str) -> DataFrame:
+    items = _benchmark(benchmark, item_key, item_body)
+    dealt = _benchmark_seeds(items)
+    texts = _hit_texts(rows, dealt)
+    hits = texts.select("row", F.inline("hits"))
+    # The same item at the same place is hit by many seeds and checked once.
+    laid = hits.join(dealt, "seed").select("row", "item", "n", (F.col("at") - F.col("place")).alias("place")).distinct()
+    first = F.greatest(F.lit(0), F.col("place"))
+    own = F.substring("words", (8 * first + 1).cast("int"), (8 * (F.col("n") - first + F.col("place"))).cast("int"))
+    cut = laid.join(texts.select("row", "id", "words"), "row").select("row", "id", "item", "place", own.alias("own"))
+    pairs = cut.join(items.select("item", "item_id", F.col("words").alias("theirs")), "item")
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = f"row bigint, id {kind}, item bigint, item_id bigint, found struct<first_word:bigint,n_words:bigint,n_equal:bigint>"
+    checked = pairs.mapInArrow(_check, schema)
+    order = F.struct("found.n_equal", -F.col("found.first_word"), -F.col("found.n_words"))
+    best = checked.groupBy("row", "item_id").agg(F.first("id").alias("id"), F.max_by("found", order).alias("found"))
+    return best.select("id", "item_id", "found.*")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", body: str = "text", item_key: str = "item_id", item_body: str = "text") -> DataFrame:
     """(key, item_id, first_word, n_words, n_equal): each document's best overlap with each benchmark item that it repeats.
 
-    Texts are read whole, in one pass for each slice of the benchmark, without a shuffle. Null and empty texts and
-    items, and items of fewer than five words, match nothing. Repeated rows give repeated results.
+    The best overlap has the most equal words, then the first place. Texts are read whole and once. Null and empty texts
+    and items, and items of fewer than five words, match nothing. Repeated rows give repeated results; an id with several
+    texts as benchmark item is one item of which the best counts.
     """
     rows = docs.select(F.col(key).alias("id"), F.col(body).cast("string").alias("body"))
-    out = None
-    for items in _slices(benchmark, item_key, item_body):
-        got = _found(rows, items, "body").select(F.col("id").alias(key), F.inline("found"))
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        return rows.where("false").select(F.col("id").alias(key), *[F.lit(0).cast("bigint").alias(c) for c in ("item_id", "first_word", "n_words", "n_equal")])
-    return out
+    return settle(lambda: _best_overlaps(rows, benchmark, item_key, item_body), "overlaps").withColumnRenamed("id", key)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, body: str = "text") -> DataFrame:
-    """The documents that repeat no benchmark item, with their columns as they were."""
-    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
-    kept = docs.select(row.alias("row"), F.col(body).cast("string").alias("body"))
-    for items in _slices(benchmark, "item_id", "text"):
-        kept = _found(kept, items, "body").where(F.size("found") == 0).drop("found")
-    return kept.select("row.*")
+    """The documents that repeat no benchmark item, with their columns as they were; texts are known by their SHA-256."""
+    digest = F.sha2(F.col(f"`{body}`").cast("string"), 256)
+    found = contamination(docs.select(digest.alias("digest"), F.col(f"`{body}`").alias("text")), benchmark, "digest")
+    gone = found.select(F.col("digest").alias("gone_digest")).distinct()
+    return docs.join(gone, digest == gone["gone_digest"], "left_anti")
