@@ -24,8 +24,10 @@ LEAST_OVERLAP = 12
 #: The places that each mask looks at; those between are ignored. Wherever a quarter of 5 or more words is substituted,
 #: one of these masks fits somewhere between the substitutions (a test counts this for every length).
 MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4), (0, 3, 4, 5))
-#: Bits that tell which seeds the benchmark may hold (4 MB). A larger benchmark sets more of them, so more seeds go to the join; none is lost.
+#: Bits that tell which seeds the benchmark may hold (4 MB), two for each seed. A larger benchmark sets more of them, so more
+#: seeds go to the join; none is lost.
 FILTER_BITS = 1 << 25
+_SECOND = 25
 _BUCKET = 1 << 15
 #: Letters of scripts without blanks are words of their own.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -100,14 +102,22 @@ def _benchmark_seeds(items: DataFrame) -> DataFrame:
 
 def _filter(dealt: DataFrame) -> np.ndarray:
     """The bits of all seeds; ``FILTER_BITS`` at most come to the driver, whatever the benchmark's size."""
-    slot = F.col("seed").bitwiseAND(FILTER_BITS - 1)
-    buckets = dealt.groupBy(F.floor(slot / _BUCKET).alias("bucket")).agg(F.bitmap_construct_agg(slot % _BUCKET).alias("bits"))
+    slots = F.transform(F.array(F.col("seed"), F.shiftright("seed", _SECOND)), lambda s: s.bitwiseAND(FILTER_BITS - 1))
+    slot = F.col("slot")
+    buckets = dealt.select(F.explode(slots).alias("slot")).groupBy(F.floor(slot / _BUCKET).alias("bucket")).agg(
+        F.bitmap_construct_agg(slot % _BUCKET).alias("bits"))
     bits = np.zeros((FILTER_BITS // _BUCKET, _BUCKET // 8), np.uint8)
     for row in buckets.collect():
         bits[row.bucket] = np.frombuffer(bytes(row.bits), np.uint8)
     return bits.ravel()
 
 
+def _set(bits: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """The bit of each seed's low part."""
+    slot = seed & (FILTER_BITS - 1)
+    return bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1
+
+
 def _hit_texts(rows: DataFrame, dealt: DataFrame) -> DataFrame:
     """(row, id, words, seed places) of the texts with a seed that the filter lets through, written once."""
     sent = rows.sparkSession.sparkContext.broadcast(_filter(dealt))
@@ -119,8 +129,8 @@ def _hit_texts(rows: DataFrame, dealt: DataFrame) -> DataFrame:
             found = []
             for m in range(len(MASKS)):
                 mine = seeds(words, m)
-                slot = mine & (FILTER_BITS - 1)
-                at = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                at = np.flatnonzero(_set(bits, mine))
+                at = at[_set(bits, mine[at] >> _SECOND).astype(bool)]
                 found += zip(mine[at].tolist(), at.tolist(), strict=True)
             hits.append([{"seed": s, "at": p} for s, p in found])
             raw.append(words.tobytes() if found else None)
