@@ -123,20 +123,23 @@ def _hit_texts(rows: DataFrame, dealt: DataFrame) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(_filter(dealt))
 
     def compute(columns: list[list]) -> list[list]:
-        bits, raw, hits = sent.value, [], []
-        for text in columns[0]:
-            words = words_of(text)
-            found = []
-            for m in range(len(MASKS)):
-                mine = seeds(words, m)
-                at = np.flatnonzero(_set(bits, mine))
-                at = at[_set(bits, mine[at] >> _SECOND).astype(bool)]
-                found += zip(mine[at].tolist(), at.tolist(), strict=True)
-            hits.append([{"seed": s, "at": p} for s, p in found])
-            raw.append(words.tobytes() if found else None)
-        return [raw, hits]
-
-    passed = per_row(rows, ["body"], "words binary, hits array<struct<seed:bigint,at:bigint>>", compute).where("words is not null")
+        bits, texts = sent.value, [words_of(t) for t in columns[0]]
+        # All texts of the batch at once; seeds that run over the end of a text are left out.
+        words, ends = np.concatenate(texts), np.cumsum([len(w) for w in texts])
+        hits: list[list[dict]] = [[] for _ in texts]
+        for number, mask in enumerate(MASKS):
+            mine = seeds(words, number)
+            at = np.flatnonzero(_set(bits, mine))
+            at = at[_set(bits, mine[at] >> _SECOND).astype(bool)]
+            text = np.searchsorted(ends, at, "right")
+            inside = at + mask[-1] < ends[text]
+            at, text = at[inside], text[inside]
+            first = ends[text] - np.array([len(w) for w in texts])[text]
+            for seed, t, place in zip(mine[at].tolist(), text.tolist(), (at - first).tolist(), strict=True):
+                hits[t].append({"seed": seed, "at": place})
+        return [[w.tobytes() if h else None for w, h in zip(texts, hits, strict=True)], hits]
+
+    passed = per_row(rows, ["body"], "words binary, hits array<struct<seed:bigint,at:bigint>>", compute, 4 << 20).where("words is not null")
     return materialize(passed.select(F.monotonically_increasing_id().alias("row"), "id", "words", "hits"), "seed-hits")
 
 
