@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import ipaddress
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from pagequarry.functions.binding import let
 from pagequarry.functions.urls import hostname_of, scheme_of
@@ -26,6 +24,11 @@ REFUSED_IPV4 = (
     "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
 )
 PUBLIC_EXCEPTIONS = ("192.0.0.9", "192.0.0.10")
+REFUSED_IPV6 = (
+    "::/8", "100::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20", "4000::/3",
+    "6000::/3", "8000::/3", "a000::/3", "c000::/3", "e000::/4", "f000::/5", "f800::/6", "fc00::/7", "fe00::/9", "fe80::/10", "ff00::/8",
+)
+PUBLIC_EXCEPTIONS_IPV6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
 
 
 def registrable_domains(hosts: DataFrame, suffixes: DataFrame, host: str = "host") -> DataFrame:
@@ -104,19 +107,60 @@ def ipv4_number(ip: Column) -> Column:
     return let(F.split(ip, r"\."), number)
 
 
-@F.pandas_udf(BooleanType())
-def _ipv6_is_public(ips: pd.Series) -> pd.Series:
-    """Public IPv6 addresses; only strings with a colon get here, as Arrow batches."""
-    def check(text: str | None) -> bool:
-        try:
-            ip = ipaddress.ip_address(text)
-        except ValueError:
-            return False
-        return not (
-            ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved or ip.is_multicast or ip.is_unspecified
-        )
+def _half(text: Column) -> Column:
+    """The groups of an address before or after its ``::``."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
+
+
+def ipv6_numbers(ip: Column) -> Column:
+    """An IPv6 address, perhaps with a zone or a dotted end, as struct (high, low) of 64 bits each; null for anything else."""
+    def number(groups: Column) -> Column:
+        return F.aggregate(groups, F.lit(0).cast("bigint"), lambda acc, g: F.shiftleft(acc, 16).bitwiseOR(F.conv(g, 16, 10).cast("bigint")))
+
+    def of_groups(groups: Column) -> Column:
+        valid = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-fA-F]{1,4}$"))
+        return F.when(valid, F.struct(number(F.slice(groups, 1, 4)).alias("high"), number(F.slice(groups, 5, 4)).alias("low")))
+
+    def of_halves(halves: Column) -> Column:
+        def joined(sides: Column) -> Column:
+            left, right = sides["left"], sides["right"]
+            zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right))
+            # Two colons stand for one group at least.
+            return F.when(F.size(left) + F.size(right) < 8, F.concat(left, zeros, right))
+
+        two = let(F.struct(_half(F.get(halves, F.lit(0))).alias("left"), _half(F.get(halves, F.lit(1))).alias("right")), joined)
+        return let(F.when(F.size(halves) == 1, F.split(F.get(halves, F.lit(0)), ":")).when(F.size(halves) == 2, two), of_groups)
+
+    def undotted(text: Column) -> Column:
+        tail = F.substring_index(text, ":", -1)
+        start = F.substring(text, F.lit(1), F.length(text) - F.length(tail))
+        hexed = let(ipv4_number(tail), lambda n: F.concat(start, F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(0xFFFF))))
+        return F.when(F.contains(tail, F.lit(".")), hexed).otherwise(text)
+
+    return let(undotted(F.regexp_replace(ip, "%[^%]+$", "")), lambda text: let(F.split(text, "::"), of_halves))
 
-    return ips.map(check)
+
+def _signed(number: int) -> int:
+    return number - (1 << 64) if number >> 63 else number
+
+
+def _within(numbers: Column, network: str) -> Column:
+    net = ipaddress.IPv6Network(network)
+    high, low = int(net.network_address) >> 64, int(net.network_address) & ((1 << 64) - 1)
+    if net.prefixlen == 128:
+        return (numbers["high"] == _signed(high)) & (numbers["low"] == _signed(low))
+    rest = 64 - net.prefixlen
+    return F.shiftrightunsigned(numbers["high"], rest) == F.lit(high >> rest)
+
+
+def _ipv6_is_public(numbers: Column) -> Column:
+    """By the leading bits; addresses that wrap IPv4 ones are reserved."""
+    refused, excepted = F.lit(False), F.lit(False)
+    for network in REFUSED_IPV6:
+        refused = refused | _within(numbers, network)
+    for network in PUBLIC_EXCEPTIONS_IPV6:
+        excepted = excepted | _within(numbers, network)
+    return F.coalesce(~refused | excepted, F.lit(False))
 
 
 def _ipv4_is_public(number: Column) -> Column:
@@ -128,14 +172,11 @@ def _ipv4_is_public(number: Column) -> Column:
 
 
 def address_policy(hosts: DataFrame, resolved: DataFrame, host: str = "host") -> DataFrame:
-    """Whether every address of a host is public; a host without addresses is refused.
-
-    IPv4 is arithmetic on columns. Only the distinct IPv6 addresses go through Python.
-    """
-    v6 = resolved.where(F.contains("ip", F.lit(":"))).select("ip").distinct().withColumn("public6", _ipv6_is_public("ip"))
-    v4 = resolved.where(~F.contains("ip", F.lit(":"))).select(host, let(ipv4_number(F.col("ip")), _ipv4_is_public).alias("public"))
-    six = resolved.where(F.contains("ip", F.lit(":"))).join(v6, "ip").select(host, F.col("public6").alias("public"))
-    per_host = v4.unionByName(six).groupBy(host).agg(F.bool_and("public").alias("public"), F.count(F.lit(1)).alias("addresses"))
+    """Whether every address of a host is public; a host without addresses is refused. All of it is arithmetic on columns."""
+    ip = F.col("ip")
+    public = F.when(F.contains(ip, F.lit(":")), let(ipv6_numbers(ip), _ipv6_is_public)).otherwise(let(ipv4_number(ip), _ipv4_is_public))
+    per_host = resolved.select(host, F.coalesce(public, F.lit(False)).alias("public")).groupBy(host).agg(
+        F.bool_and("public").alias("public"), F.count(F.lit(1)).alias("addresses"))
     return hosts.join(per_host, host, "left").select(
         *hosts.columns, F.coalesce("addresses", F.lit(0)).cast("bigint").alias("addresses"),
         F.coalesce("public", F.lit(False)).alias("allowed"),

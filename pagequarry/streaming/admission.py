@@ -122,3 +122,91 @@ def admit_stream(events: DataFrame, limit: int = LIMIT, window_seconds: int = WI
         statefulProcessor=AdmissionProcessor(limit, window_seconds), outputStructType=ADMISSION_SCHEMA,
         outputMode="Append", timeMode="ProcessingTime",
     )
+
+
+class EventTimeAdmission(StatefulProcessor):
+    """Decides a key's events in the order of their times, once the watermark has passed them.
+
+    State is the events that wait, the admitted times of the last window, and the time up to which the key is decided.
+    An event older than that is late: it comes out undecided. A timer wakes the key for its first waiting event, and
+    once more a window after its last admitted one, when its state goes.
+    """
+
+    def __init__(self, limit: int = LIMIT, window_seconds: int = WINDOW_SECONDS):
+        self.limit = limit
+        self.window_micros = window_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        micros = StructField("micros", LongType())
+        self.waiting = handle.getListState("waiting", StructType([micros, StructField("event_id", LongType())]))
+        self.admitted = handle.getListState("admitted", StructType([micros]))
+        self.decided = handle.getValueState("decided", StructType([micros]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = self.decided.get()
+        # A key without state was never seen or is done with everything behind the watermark.
+        open_from = known[0] if known else timerValues.getCurrentWatermarkInMs() * 1000
+        first = None
+        for batch in rows:
+            late = batch["micros"] < open_from
+            if late.any():
+                yield self._out(key, batch.loc[late, "event_id"].tolist(), batch.loc[late, "micros"].tolist(), None)
+            kept = batch[~late]
+            if len(kept):
+                self.waiting.appendList(list(zip(kept["micros"].tolist(), kept["event_id"].tolist(), strict=True)))
+                first = min(kept["micros"].min(), first if first is not None else kept["micros"].min())
+        if first is not None:
+            self.handle.registerTimer(int(first) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        events = sorted((r[0], r[1]) for r in self.waiting.get())
+        due = [e for e in events if e[0] < until]
+        rest = events[len(due):]
+        admitted = deque(r[0] for r in self.admitted.get())
+        flags = [_admit(admitted, micros, self.limit, self.window_micros) for micros, _ in due]
+        while admitted and until - admitted[0] > self.window_micros:
+            admitted.popleft()
+        for state, values in ((self.waiting, rest), (self.admitted, [(t,) for t in admitted])):
+            if values:
+                state.put(values)
+            else:
+                state.clear()
+        if rest:
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        elif admitted:
+            self.handle.registerTimer((admitted[-1] + self.window_micros) // 1000 + 1)
+        if rest or admitted:
+            self.decided.update((until,))
+        else:
+            self.decided.clear()
+        if due:
+            yield self._out(key, [e[1] for e in due], [e[0] for e in due], flags)
+
+    @staticmethod
+    def _out(key, ids: list, micros: list, flags: list | None) -> pd.DataFrame:
+        admitted = pd.array(flags if flags is not None else [None] * len(ids), dtype="boolean")
+        return pd.DataFrame({"key": key[0], "event_id": ids, "micros": micros, "admitted": admitted, "late": flags is None})
+
+    def close(self) -> None:
+        pass
+
+
+def admit_stream_by_event_time(
+    events: DataFrame, delay: str = "1 minute", limit: int = LIMIT, window_seconds: int = WINDOW_SECONDS,
+) -> DataFrame:
+    """Admission over a stream of (key, event_id, ts) by event time: (key, event_id, micros, admitted, late).
+
+    Events may come out of order by ``delay``; at whatever speed they come, the decisions are those of ``admit`` over
+    the table. Older events come out with ``late`` and no decision and take no room. An event is decided when the
+    watermark is past it, so the last ones wait for later events of any key. Events without a time are left out. Needs
+    the RocksDB state store.
+    """
+    timed = events.where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    # The time column itself stays out, so that Spark doesn't drop late rows before they are reported.
+    rows = timed.select(F.col("key").cast("string").alias("key"), "event_id", _micros("ts").alias("micros"))
+    return rows.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=EventTimeAdmission(limit, window_seconds),
+        outputStructType=StructType([*ADMISSION_SCHEMA.fields, StructField("late", BooleanType())]), outputMode="Append", timeMode="EventTime",
+    )
