@@ -75,6 +75,13 @@ def _by_name(name: Column) -> Column:
     return F.try_element_at(F.str_to_map(F.lit(_named_references()), F.lit("\u0001"), F.lit("\u0002")), name)
 
 
+@functools.cache
+def _legacy() -> str:
+    """Names that browsers also know without a semicolon, longest first, and numbers without one."""
+    names = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    return rf"^({'|'.join(names)}|#[xX][0-9a-fA-F]{{1,6}}(?![0-9a-fA-F])|#[0-9]{{1,7}}(?![0-9]))"
+
+
 def _code_point(ref: Column) -> Column:
     digits = F.regexp_extract(ref, r"^#[xX]?([0-9a-fA-F]+)$", 1)
     is_hex = F.lower(F.substring(ref, 2, 1)) == "x"
@@ -87,23 +94,29 @@ def _code_point(ref: Column) -> Column:
     return let(number, to_char)
 
 
-def _decode(text: Column) -> Column:
+def _decode(text: Column, legacy: bool) -> Column:
     def piece(p: Column, i: Column) -> Column:
-        def of(ref: Column) -> Column:
+        def of(ref: Column, behind: int) -> Column:
             char = F.when(F.startswith(ref, F.lit("#")), _code_point(ref)).otherwise(_by_name(ref))
-            return F.coalesce(F.concat(char, F.substring(p, F.length(ref) + 2, F.length(p))), F.concat(F.lit("&"), p))
+            return F.concat(char, F.substring(p, F.length(ref) + 1 + behind, F.length(p)))
 
-        return F.when(i == 0, p).otherwise(let(F.regexp_extract(p, _REFERENCE, 1), of))
+        found = [let(F.regexp_extract(p, _REFERENCE, 1), lambda ref: of(ref, 1))]
+        if legacy:
+            found.append(let(F.regexp_extract(p, _legacy(), 1), lambda ref: of(ref, 0)))
+        return F.when(i == 0, p).otherwise(F.coalesce(*found, F.concat(F.lit("&"), p)))
 
     return F.array_join(F.transform(F.split(text, "&"), piece), "")
 
 
-def decode_entities(text: Column) -> Column:
-    """Decode all named and numeric character references, each once, from left to right; unknown names stay."""
-    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), _decode(t)).otherwise(t))
+def decode_entities(text: Column, legacy: bool = False) -> Column:
+    """Decode all named and numeric character references, each once, from left to right; unknown names stay.
+
+    With ``legacy`` also those without a semicolon that browsers know in text (in attributes, ``?a=1&copy=2`` is a link).
+    """
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), _decode(t, legacy)).otherwise(t))
 
 
 def visible_text(html: Column) -> Column:
     """Readable text: raw-text elements, comments and tags out, entities decoded, blanks collapsed."""
     bare = F.regexp_replace(F.regexp_replace(html, RAW_TEXT_ELEMENTS, " "), ANY_TAG, " ")
-    return normalize_whitespace(decode_entities(bare))
+    return normalize_whitespace(decode_entities(bare, legacy=True))
