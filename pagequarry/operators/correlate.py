@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.operators import scoring as S
 from pagequarry.operators.templates import DEFAULT_GUIDANCE, TEMPLATES
+from pagequarry.session import materialize
 
 ORDER = ("rule_order", "key1", "key2")
 #: Finding ids that a recommendation shows; ``recommendation_findings`` has them all.
@@ -222,22 +223,27 @@ def summaries(scores: DataFrame, findings: DataFrame, recommendations: DataFrame
     )
 
 
-def evidence_context(findings: DataFrame, most: int = 80, evidences: int = 6, max_chars: int = 24_000) -> DataFrame:
-    """One compact JSON text per scan: its first findings with short evidence."""
-    entry = F.struct(
+def _context_entry(evidences: int | None) -> Column:
+    """What a context says of a finding: short texts, and ``evidences`` pieces of evidence (all if None)."""
+    shown = F.col("evidence") if evidences is None else F.slice("evidence", 1, evidences)
+    return F.struct(
         "finding_id", "rule_id", "category", "title", F.substring("description", 1, 300).alias("description"),
         "severity", "impact", "effort", "confidence", "affected_url",
         F.transform(
-            F.slice("evidence", 1, evidences),
+            shown,
             lambda e: F.struct(
                 e["evidence_type"].alias("type"), F.substring(F.coalesce(e["source"], F.lit("")), 1, 150).alias("source"),
                 F.substring(F.coalesce(e["value"], F.lit("")), 1, 200).alias("value"),
             ),
         ).alias("evidence"),
     )
+
+
+def evidence_context(findings: DataFrame, most: int = 80, evidences: int = 6, max_chars: int = 24_000) -> DataFrame:
+    """One compact JSON text per scan: its first findings with short evidence. ``evidence_chunks`` has all of them."""
     listed = _first_findings(findings, most, "scan_id").groupBy("scan_id").agg(
         F.count(F.lit(1)).alias("finding_count"),
-        F.transform(F.sort_array(F.collect_list(F.struct("nth", entry.alias("entry")))), lambda r: r["entry"]).alias("findings"),
+        F.transform(F.sort_array(F.collect_list(F.struct("nth", _context_entry(evidences).alias("entry")))), lambda r: r["entry"]).alias("findings"),
     )
     body = F.to_json(F.struct(F.create_map().cast("map<string,string>").alias("metrics"), F.col("findings")))
     with_text = listed.select("scan_id", "finding_count", body.alias("body"))
@@ -245,3 +251,37 @@ def evidence_context(findings: DataFrame, most: int = 80, evidences: int = 6, ma
     return with_text.select(
         "scan_id", "finding_count", F.when(F.length("body") > max_chars, cut).otherwise(F.col("body")).alias("context")
     )
+
+
+#: Findings of a rule within a scan are dealt to so many buckets; a running sum over a scan has one row for each rule and bucket.
+BUCKETS = 1024
+_OPEN, _CLOSE = '{"metrics":{},"findings":[', "]}"
+
+
+def evidence_chunks(findings: DataFrame, max_chars: int = 24_000) -> DataFrame:
+    """(scan_id, chunk_start, finding_count, context): all findings of a scan as JSON texts of at most ``max_chars``
+    characters, in the order of ``chunk_start``; each text is whole JSON and each finding stands in one of them.
+
+    Findings are packed by the running sum of their lengths: those that begin in the same stretch of half a text go
+    together, so a text is at least half full where more findings follow. A finding longer than half a text has a
+    text of its own, which alone may be longer than ``max_chars``. Running sums go over (rule, bucket) first and then
+    within a bucket, so a scan with very many findings is no task of its own. Scans without findings have no text.
+    """
+    room = (max_chars - len(_OPEN) - len(_CLOSE)) // 2
+    if room <= 0:
+        raise ValueError("max_chars leaves no room for findings")
+    place = ["scan_id", "rule_order", "bucket"]
+    bucket = F.pmod(F.xxhash64("finding_id"), F.lit(BUCKETS)).cast("int")
+    entries = materialize(
+        findings.select("scan_id", "rule_order", bucket.alias("bucket"), "finding_id", F.to_json(_context_entry(None)).alias("entry"))
+        .withColumn("size", F.length("entry").cast("bigint") + 1), "context-entries")
+    ahead = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = entries.groupBy(*place).agg(F.sum("size").alias("size"))
+    before = sums.select(*place, ahead(Window.partitionBy("scan_id").orderBy("rule_order", "bucket")).alias("before"))
+    placed = entries.join(before, place).withColumn("start", F.col("before") + ahead(Window.partitionBy(*place).orderBy("finding_id", "entry")))
+    alone = F.col("size") > room
+    packed = placed.withColumn("alone", F.when(alone, F.col("start"))).withColumn("stretch", F.floor(F.col("start") / room))
+    return packed.groupBy("scan_id", "stretch", "alone").agg(
+        F.min("start").alias("chunk_start"), F.count(F.lit(1)).alias("finding_count"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "entry"))), lambda r: r["entry"]), ",").alias("body"),  # ``max_chars`` bounds it
+    ).select("scan_id", "chunk_start", "finding_count", F.concat(F.lit(_OPEN), "body", F.lit(_CLOSE)).alias("context"))

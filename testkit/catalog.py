@@ -756,6 +756,16 @@ def evidence_context(spark, d):
         "scan_id", "finding_count", first["rule_id"].alias("first_rule"), F.get(first["evidence"], F.lit(0))["value"].alias("first_value"))
 
 
+@query("evidence_chunks", "SELECT scan_id, category, rule_id, title, affected_url, substr(coalesce(evidence_value, ''), 1, 200) AS first_value FROM fnd WHERE evidence_type IS NOT NULL", **_REC)
+def evidence_chunks(spark, d):
+    """The findings with evidence as they come back from the texts."""
+    entry = "struct<category:string,rule_id:string,title:string,affected_url:string,evidence:array<struct<value:string>>>"
+    parsed = F.from_json("context", f"struct<findings:array<{entry}>>")
+    chunks = correlate.evidence_chunks(audited(spark, d).findings)
+    rows = chunks.select("scan_id", F.inline(parsed["findings"])).where(F.size("evidence") > 0)
+    return rows.select("scan_id", "category", "rule_id", "title", "affected_url", F.get("evidence", F.lit(0))["value"].alias("first_value"))
+
+
 # ---------------------------------------------------------------- reports and listings
 
 
