@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions.urls import hostname_of
+from pagequarry.operators.reports import scan_by_id
 from pagequarry.session import materialize
 
 
@@ -21,17 +22,21 @@ def graph_nodes(
     """Nodes of every site graph: domain, pages, technologies, resource domains, resources.
 
     For a small picture, ``domains`` keeps a scan's most frequent resource domains and ``per_page`` the first resources
-    of each page. A node seen more than once keeps the label of its last occurrence.
+    of each page. A node seen more than once keeps the label and metadata of its last occurrence. ``metadata`` has the
+    status and depth of pages, category and confidence of technologies, resources of a domain, type and size of resources.
     """
     hosts = _base_hosts(pages)
-    domain = hosts.select("scan_id", F.lit("DOMAIN").alias("node_type"), F.col("base_host").alias("name"), F.lit("Site domain").alias("label"))
-    page = pages.groupBy("scan_id", "url").agg(F.max_by(F.coalesce(F.nullif("title", F.lit("")), "url"), "seq").alias("label")).select(
-        "scan_id", F.lit("PAGE").alias("node_type"), F.col("url").alias("name"), "label"
+    domain = hosts.select("scan_id", F.lit("DOMAIN").alias("node_type"), F.col("base_host").alias("name"), F.lit("Site domain").alias("label"), _metadata())
+    last = F.max_by(F.struct(F.coalesce(F.nullif("title", F.lit("")), "url").alias("label"), "status_code", "depth"), "seq").alias("last")
+    page = pages.groupBy("scan_id", "url").agg(last).select(
+        "scan_id", F.lit("PAGE").alias("node_type"), F.col("url").alias("name"), "last.label",
+        _metadata(status_code=F.col("last.status_code"), depth=F.col("last.depth")),
     )
     percent = F.round(F.col("confidence") * 100).cast("int").cast("string")
     technology = technologies.select(
         "scan_id", F.lit("TECHNOLOGY").alias("node_type"), "name",
         F.concat("category", F.lit(" · "), percent, F.lit("%")).alias("label"),
+        _metadata(category=F.col("category"), confidence=F.col("confidence")),
     )
     counted = resources.where(F.coalesce("domain", F.lit("")) != "").groupBy("scan_id", "domain").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "ord")).alias("first_seen")
@@ -41,17 +46,31 @@ def graph_nodes(
         counted = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= domains)
     third = (
         counted.join(hosts, "scan_id").where(F.col("domain") != F.col("base_host"))
-        .select("scan_id", F.lit("THIRD_PARTY").alias("node_type"), F.col("domain").alias("name"), F.col("domain").alias("label"))
+        .select("scan_id", F.lit("THIRD_PARTY").alias("node_type"), F.col("domain").alias("name"), F.col("domain").alias("label"), _metadata(resource_count=F.col("n")))
     )
     shown = _first_of_page(resources, per_page).groupBy("scan_id", "url").agg(
-        F.max_by("resource_type", F.struct("seq", "ord")).alias("kind")
+        F.max_by(F.struct("resource_type", "size_bytes"), F.struct("seq", "ord")).alias("last")
     ).select(
         "scan_id", F.lit("RESOURCE").alias("node_type"), F.col("url").alias("name"),
-        F.concat("kind", F.lit(": "), "url").alias("label"),
+        F.concat("last.resource_type", F.lit(": "), "url").alias("label"),
+        _metadata(resource_type=F.col("last.resource_type"), size_bytes=F.col("last.size_bytes")),
     )
     return domain.unionByName(page).unionByName(technology).unionByName(third).unionByName(shown)
 
 
+def _metadata(**facts: Column) -> Column:
+    """What is known of a node besides its label, as texts by name; facts that are null are left out."""
+    entries = F.array(*[F.struct(F.lit(name).alias("key"), value.cast("string").alias("value")) for name, value in facts.items()]) if facts else (
+        F.array().cast("array<struct<key:string,value:string>>"))
+    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias("metadata")
+
+
+def graph_of_scan(nodes: DataFrame, edges: DataFrame, scans: DataFrame, websites: DataFrame, user_id: int, scan_id: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes and edges of one stored scan, if it belongs to a website of the user; else none."""
+    mine = scan_by_id(scans, websites, user_id, scan_id).select("scan_id")
+    return tuple(rows.where(F.col("scan_id") == scan_id).join(mine, "scan_id", "left_semi") for rows in (nodes, edges))
+
+
 def _first_of_page(resources: DataFrame, per_page: int | None) -> DataFrame:
     return resources if per_page is None else resources.where(F.col("ord") < per_page)
 

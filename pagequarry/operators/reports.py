@@ -18,6 +18,36 @@ def owned(rows: DataFrame, websites: DataFrame, user_id: Column | int, key: str
     return rows.join(websites.where(F.col("user_id") == user_id).select(key), key, "left_semi")
 
 
+def scan_by_id(scans: DataFrame, websites: DataFrame, user_id: Column | int, scan_id: str) -> DataFrame:
+    """The scan, if it belongs to a website of the user; else no row."""
+    return owned(scans.where(F.col("scan_id") == scan_id), websites, user_id)
+
+
+def of_owner(rows: DataFrame, scans: DataFrame, websites: DataFrame, user_id: Column | int) -> DataFrame:
+    """Rows (findings, recommendations, ...) whose scan belongs to a website of the user."""
+    return rows.join(owned(scans, websites, user_id).select("scan_id"), "scan_id", "left_semi")
+
+
+def finding_by_id(findings: DataFrame, scans: DataFrame, websites: DataFrame, user_id: Column | int, finding_id: str) -> DataFrame:
+    """The finding, if its scan is the user's; else no row."""
+    return of_owner(findings.where(F.col("finding_id") == finding_id), scans, websites, user_id)
+
+
+def recommendation_of_rule(
+    recommendations: DataFrame, scans: DataFrame, websites: DataFrame, user_id: Column | int, scan_id: str, rule_id: str,
+) -> DataFrame:
+    """The recommendation of a rule in a scan of the user; a scan has one for each rule."""
+    wanted = recommendations.where((F.col("scan_id") == scan_id) & (F.col("rule_id") == rule_id))
+    return of_owner(wanted, scans, websites, user_id)
+
+
+def competitors_of_owner(competitors: DataFrame, websites: DataFrame, user_id: Column | int, website_id: str | None = None) -> DataFrame:
+    """The competitors of one website of the user, or of all of them; none of a website of somebody else."""
+    wanted = competitors if website_id is None else competitors.where(F.col("website_id") == website_id)
+    return owned(wanted, websites, user_id)
+
+
+
 def list_findings(
     findings: DataFrame, scan_id: str | None = None, category: str | None = None, severity: str | None = None,
     status: str | None = None, limit: int | None = None, offset: int = 0,

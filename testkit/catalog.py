@@ -534,7 +534,20 @@ _GRAPH = _TECH | {
 
 @query("graph_nodes", "SELECT scan_id, node_type, name, label FROM nodes", **_GRAPH)
 def graph_nodes(spark, d):
-    return audited(spark, d).nodes()
+    return audited(spark, d).nodes().drop("metadata")
+
+
+@query("graph_node_facts", """SELECT scan_id, node_type, name, status_code, depth, category, confidence, resource_count, resource_type, size_bytes FROM (
+ SELECT scan_id, node_type, name, NULL AS status_code, NULL AS depth, NULL AS category, NULL AS confidence, NULL AS resource_count, NULL AS resource_type, NULL AS size_bytes FROM nodes WHERE node_type = 'DOMAIN'
+ UNION ALL SELECT scan_id, 'PAGE', url, CAST(arg_max(status_code, seq) AS BIGINT), CAST(arg_max(depth, seq) AS BIGINT), NULL, NULL, NULL, NULL, NULL FROM px GROUP BY scan_id, url
+ UNION ALL SELECT scan_id, 'TECHNOLOGY', name, NULL, NULL, category, CAST(confidence AS DOUBLE), NULL, NULL, NULL FROM tech
+ UNION ALL SELECT scan_id, 'THIRD_PARTY', domain, NULL, NULL, NULL, NULL, count(*), NULL, NULL FROM res WHERE domain <> scan_id GROUP BY scan_id, domain
+ UNION ALL SELECT scan_id, 'RESOURCE', url, NULL, NULL, NULL, NULL, NULL, arg_max(resource_type, seq * 100 + ord), CAST(arg_max(size_bytes, seq * 100 + ord) AS BIGINT) FROM res GROUP BY scan_id, url)""", **_GRAPH)
+def graph_node_facts(spark, d):
+    fact = lambda name, kind="bigint": F.try_element_at("metadata", F.lit(name)).cast(kind).alias(name)
+    return audited(spark, d).nodes().select(
+        "scan_id", "node_type", "name", fact("status_code"), fact("depth"), fact("category", "string"), fact("confidence", "double"),
+        fact("resource_count"), fact("resource_type", "string"), fact("size_bytes"))
 
 
 @query("graph_edges", "SELECT scan_id, source_type, source, target_type, target, relationship FROM edges", **_GRAPH)
@@ -862,8 +875,8 @@ def owned_scans(spark, d):
 
 @query("finding_lookup", f"SELECT {FLAT} FROM fnd f WHERE rule_id = 'SEC_HSTS_MISSING' AND scan_id IN (SELECT s.scan_id FROM scans s JOIN websites w ON w.website_id = s.website_id WHERE user_id = 2)")
 def finding_lookup(spark, d):
-    mine = reports.owned(X.scans(spark, d), X.websites(spark, d), 2)
-    return flat(audited(spark, d).findings.where(F.col("rule_id") == "SEC_HSTS_MISSING").join(mine.select("scan_id"), "scan_id", "left_semi"))
+    found = audited(spark, d).findings.where(F.col("rule_id") == "SEC_HSTS_MISSING")
+    return flat(reports.of_owner(found, X.scans(spark, d), X.websites(spark, d), 2))
 
 
 @query("dashboard", """SELECT w.website_id, s.scan_id, s.started_at, s.status FROM (SELECT website_id FROM websites UNION ALL SELECT 'new.' || website_id FROM websites) w
@@ -941,9 +954,9 @@ def competitor_scans(spark, d):
     return compare.resolve_competitors(X.competitors(spark, d), X.websites(spark, d), X.scans(spark, d))
 
 
-@query("site_competitors", "SELECT website_id, competitor_id, normalized_url FROM competitors WHERE website_id LIKE 'm.%'")
+@query("site_competitors", "SELECT website_id, competitor_id, c.normalized_url FROM competitors c JOIN websites w USING (website_id) WHERE user_id = 1")
 def site_competitors(spark, d):
-    return X.competitors(spark, d).where(F.startswith("website_id", F.lit("m."))).select("website_id", "competitor_id", "normalized_url")
+    return reports.competitors_of_owner(X.competitors(spark, d), X.websites(spark, d), 1).select("website_id", "competitor_id", "normalized_url")
 
 
 @query("compared_sites", """SELECT comparison_id, key, scan_id, label AS dimension, score FROM (
