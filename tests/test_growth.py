@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 from pagequarry.operators import duplicates
+from pagequarry.sources import tables
 
 DOCS = "site string, doc bigint, body string"
 WORDS = [f"word{i:03d}" for i in range(30)]
@@ -27,3 +28,26 @@ def test_shingles_of_a_row_are_counted_within_it(spark):
     got = duplicates.shingle_counts(spark.createDataFrame(rows, DOCS), "site", "doc", "body")
     assert {(r.site, r.doc, r.shingle): r.n for r in got.collect()} == dict(counts_of(rows))
     assert "Generate inline(" in got._jdf.queryExecution().toString()
+
+
+def test_tokens_of_texts_are_not_written_or_sent_back_whole(spark, monkeypatch):
+    """Only tokens that several texts have go back to their texts, with places as if all were sorted, rarest first."""
+    written, materialize = [], duplicates.materialize
+    monkeypatch.setattr(duplicates, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    common = WORDS[:24]
+    rows = [("a", i, " ".join([*common, *[f"own{i}x{k}" for k in range(16)]])) for i in range(5)] + [("b", 9, " ".join(WORDS))]
+    prefixed, _ = duplicates._prefixes(spark.createDataFrame(rows, DOCS), "site", "doc", "body", 0.3)
+    got = {r.doc: r for r in prefixed.collect()}
+    assert "tokens" not in written
+    assert {len(set(r.tokens)) for r in got.values()} == {35, 25} and got[9].prefix == []
+    # 16 tokens of 35 stand in one text alone; the prefix has 35 - ceil(0.3 * 35) + 1 = 25, so nine that all five share.
+    assert all([(p.df, p.place) for p in got[i].prefix] == [(5, 16 + k) for k in range(9)] for i in range(5))
+
+
+def test_a_table_in_few_splits_gets_several_per_core(spark):
+    few = spark.range(0, 1000, 1, 1)
+    wanted = tables.SPLITS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert tables.SPLITS_PER_CORE > 1
+    assert tables.spread(few).rdd.getNumPartitions() == wanted
+    many = spark.range(0, 1000, 1, wanted + 1)
+    assert tables.spread(many) is many
