@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pagequarry.operators import duplicates
+from pagequarry.operators import duplicates, graph
 from pagequarry.sources import tables
 
 DOCS = "site string, doc bigint, body string"
@@ -51,3 +51,19 @@ def test_a_table_in_few_splits_gets_several_per_core(spark):
     assert tables.spread(few).rdd.getNumPartitions() == wanted
     many = spark.range(0, 1000, 1, wanted + 1)
     assert tables.spread(many) is many
+
+
+def test_rounds_of_layers_send_nothing_through_the_driver(spark, monkeypatch):
+    plans, materialize = [], graph.materialize
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, label)
+
+    monkeypatch.setattr(graph, "materialize", noted)
+    links = [("s", "a", "b"), ("s", "b", "c"), ("s", "c", "b"), ("s", "c", "d")]
+    nodes = spark.createDataFrame([("s", n) for n in "abcd"], "scan_id string, node_id string")
+    got = graph.layers(nodes, spark.createDataFrame(links, "scan_id string, source string, target string"))
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert {(r.node_id, r.layer, r.component) for r in got.collect()} == {("a", 0, "a"), ("b", 1, "b"), ("c", 1, "b"), ("d", 2, "d")}
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
