@@ -67,3 +67,29 @@ def test_rounds_of_layers_send_nothing_through_the_driver(spark, monkeypatch):
     plans.append(got._jdf.queryExecution().executedPlan().toString())
     assert {(r.node_id, r.layer, r.component) for r in got.collect()} == {("a", 0, "a"), ("b", 1, "b"), ("c", 1, "b"), ("d", 2, "d")}
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
+
+
+def test_tokens_are_numbered_once_before_they_meet(spark, monkeypatch):
+    """A filter on the size of the tokens would sort all shingles of a text a second time, ahead of the join."""
+    plans, materialize = {}, duplicates.materialize
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return materialize(df, label)
+
+    monkeypatch.setattr(duplicates, "materialize", noted)
+    duplicates._prefixes(spark.createDataFrame([("a", 1, " ".join(WORDS))], DOCS), "site", "doc", "body", 0.55)
+    assert not [line for line in plans["prefixes"].splitlines() if "Filter" in line and "transform(" in line]
+
+
+def test_an_audit_makes_what_is_asked_for(spark, monkeypatch):
+    from pagequarry.operators.extract import page_rows
+    from pagequarry.plans import audit as plan
+
+    labels, materialize = [], plan.materialize
+    monkeypatch.setattr(plan, "materialize", lambda df, label: labels.append(label) or materialize(df, label))
+    raw = spark.createDataFrame([("s", 1, "https://s.example/", "<html><body><p>hello</p></body></html>")], "scan_id string, seq bigint, url string, html string")
+    found = plan.audit(page_rows(raw))
+    assert found.findings.count() > 0 and "scores" not in labels and "recommendations" not in labels
+    assert found.scores.count() == 1 and found.scores is found.scores and labels.count("scores") == 1
+    assert found.summaries.count() == 1 and labels.count("recommendations") == 1
