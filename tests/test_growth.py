@@ -93,3 +93,15 @@ def test_an_audit_makes_what_is_asked_for(spark, monkeypatch):
     assert found.findings.count() > 0 and "scores" not in labels and "recommendations" not in labels
     assert found.scores.count() == 1 and found.scores is found.scores and labels.count("scores") == 1
     assert found.summaries.count() == 1 and labels.count("recommendations") == 1
+
+
+def test_technology_changes_need_no_audit(spark, monkeypatch):
+    from testkit import catalog
+
+    def no_audit(*args):
+        raise AssertionError("an audit for technologies alone")
+
+    monkeypatch.setattr(catalog, "audited", no_audit)
+    folder = "/root/testdata/sf0.001"
+    assert catalog.QUERIES["technology_changes"](spark, folder).count() > 0
+    assert catalog.QUERIES["set_changes"](spark, folder).count() > 0
